@@ -103,12 +103,12 @@ def rate_rolling(
         Window.partitionBy("_key", "_slice").orderBy("_us").rangeBetween(-(width - 1), 0)
     )
     counted = (
-        pieces.withColumn("trailing", F.sum("_n").over(trailing))
+        pieces.withColumn("in_window", F.sum("_n").over(trailing))
         .filter(F.col("_own") == F.col("_slice"))
-        .select("_key", "_us", "trailing")
+        .select("_key", "_us", "in_window")
     )
     return (
         keyed.join(counted, ["_key", "_us"], "left")
-        .withColumn("breached", F.col("trailing") > limit)
+        .withColumn("breached", F.col("in_window") > limit)
         .drop("_key", "_us")
     )

@@ -10,8 +10,8 @@ from storeloom.operators.knn_join import knn_join
 from storeloom.plans.fixtures import table
 from storeloom.plans.registry import query
 
-DISTANCE = """round(1 - list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]),
-    CAST({b}.embedding AS DOUBLE[])), 6)"""
+DISTANCE = """round(round(1 - list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]),
+    CAST({b}.embedding AS DOUBLE[])), 9), 6)"""
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -75,7 +75,7 @@ def knn_governed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "knn_join",
     f"""
-    SELECT query_id, corpus_id, rank, round(distance, 6) AS distance FROM (
+    SELECT query_id, corpus_id, rank, distance FROM (
         SELECT q.vec_id AS query_id, c.vec_id AS corpus_id,
                {DISTANCE.format(a="q", b="c")} AS distance,
                row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(

@@ -88,9 +88,9 @@ def rate_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROLLING_ORACLE = """
-    SELECT event_id, ts, trailing, trailing > {limit} AS breached FROM (
+    SELECT event_id, ts, in_window, in_window > {limit} AS breached FROM (
         SELECT event_id, ts, count(*) OVER ({part} ORDER BY ts
-            RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW) AS trailing
+            RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW) AS in_window
         FROM events)
 """
 
@@ -232,16 +232,16 @@ LOG_LINE = """CASE event_type
     WITH lines AS (
         SELECT user_id, event_id, event_type,
                {LOG_LINE.format(stamp="strftime(ts, '%Y-%m-%d %H:%M:%S')")} AS line,
-               date_trunc('second', ts) AS at
+               date_trunc('second', ts) AS said_at
         FROM events WHERE event_type IN ('error', 'click', 'view')
     ), last AS (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn,
                count(*) OVER (PARTITION BY user_id) AS n_lines
         FROM lines
     )
-    SELECT user_id, n_lines, CASE WHEN event_type = 'error' THEN at END AS retry_at_utc,
+    SELECT user_id, n_lines, CASE WHEN event_type = 'error' THEN said_at END AS retry_at_utc,
            CASE WHEN event_type = 'error'
-                THEN strftime(at - INTERVAL 3 HOUR, '%d/%m/%Y às %H:%M:%S') END AS retry_local,
+                THEN strftime(said_at - INTERVAL 3 HOUR, '%d/%m/%Y às %H:%M:%S') END AS retry_local,
            CASE event_type WHEN 'click' THEN line WHEN 'view' THEN 'Bloqueio ACME 429' END
                AS reason
     FROM last WHERE rn = 1
