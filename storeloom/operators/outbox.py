@@ -12,6 +12,9 @@ from storeloom.functions.ordered import running_count
 # Fixed value: the status of a message that waits to be sent.
 PENDING = "pendente"
 
+# Parts a worker's queue is cut into before its oldest messages are known.
+PARTS = 64
+
 
 def claim(
     queue: DataFrame,
@@ -28,18 +31,28 @@ def claim(
     """Hand due messages to workers: disjoint, each once, the oldest first.
 
     A message's worker follows from its id, so no two workers can claim the same one.
-    Spark limits each worker's rows inside every task before the shuffle, so a worker's
-    final sort sees at most ``per_worker`` rows per task.
+    There are few workers and many messages, so each worker's queue is first cut into
+    parts that keep their own oldest ``per_worker`` rows (Spark applies that limit inside
+    every task, before the shuffle); the worker's task orders what the parts kept.
     """
     open_ = (F.col(status) == pending) & (F.col(due) <= as_of)
     if max_attempts is not None:
         open_ = open_ & (F.col(attempts) < max_attempts)
+    in_part = Window.partitionBy("worker", "_part").orderBy(due, row_id)
     oldest = Window.partitionBy("worker").orderBy(due, row_id)
     return (
         queue.filter(open_)
-        .withColumn("worker", F.pmod(F.col(row_id), F.lit(workers)))
+        .withColumns(
+            {
+                "worker": F.pmod(F.col(row_id), F.lit(workers)),
+                "_part": F.pmod(F.xxhash64(row_id), F.lit(PARTS)),
+            }
+        )
+        .withColumn("_turn", F.row_number().over(in_part))
+        .filter(F.col("_turn") <= per_worker)
         .withColumn("turn", F.row_number().over(oldest))
         .filter(F.col("turn") <= per_worker)
+        .drop("_part", "_turn")
     )
 
 

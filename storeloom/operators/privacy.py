@@ -12,8 +12,10 @@ OPTOUT_WORDS = ("Parar", "Sair", "Cancelar")
 # Fixed value: days without activity after which a lead is scrubbed.
 INACTIVE_DAYS = 30
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
+# Enough of an address or number to tell that one is there: a text is searched for the
+# "@" with one character before it, not for every run of characters that might lead to one.
+EMAIL = r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"[0-9][0-9 ().-]{7,}[0-9]"
 
 
 def refusal(text: Column, words: Sequence[str] = OPTOUT_WORDS, mode: str = "message") -> Column:

@@ -6,6 +6,7 @@ from storeloom.plans import (  # noqa: F401  (each module registers its queries)
     search_queries,
     shop_queries,
     stream_queries,
+    sync_queries,
     tables_queries,
     traffic_queries,
 )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from storeloom.operators.dedup import last_by_key
 from storeloom.operators.keyed import upsert_latest
 from storeloom.plans.fixtures import TABLES, table
-from storeloom.plans.keyed_queries import TTL_ORACLE
+from storeloom.plans.inbound import accepted
+from storeloom.plans.keyed_queries import APP_KEY, TTL_ORACLE
 from storeloom.plans.registry import REGISTRY, query
 from storeloom.plans.traffic_queries import OPTOUT_WORDS, REFUSED
 from storeloom.session import work_folder
@@ -101,3 +102,49 @@ def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = _stream(spark, sf_dir, "events").filter(F.col("event_type") == "error")
     gone = streams.stream_failures(errors, "props", "40")
     return _run(spark, gone.select("event_id", "user_id", "props"), "stream_failures")
+
+
+ACCEPTED_ORACLE = """
+    WITH RECURSIVE deliveries AS (
+        SELECT event_id, event_type || props AS body, ts FROM events
+        UNION ALL SELECT event_id, event_type || props, ts + INTERVAL 1 HOUR FROM events
+        UNION ALL SELECT -event_id - 1, event_type || props, ts + INTERVAL 1 MINUTE FROM events
+    ), kept(body, ts) AS (
+        SELECT body, min(ts) FROM deliveries GROUP BY body
+        UNION ALL
+        SELECT k.body, min(d.ts) FROM kept k JOIN deliveries d
+          ON d.body = k.body AND d.ts >= k.ts + INTERVAL 5 MINUTE
+        GROUP BY k.body
+    )
+    SELECT event_id, min(ts) AS ts FROM (
+        SELECT min(event_id) AS event_id, ts FROM deliveries JOIN kept USING (body, ts)
+        GROUP BY body, ts)
+    GROUP BY event_id
+"""
+
+
+def _deliveries(events: DataFrame) -> DataFrame:
+    """Each event comes three times: as it is, an hour later with the same id, and a
+    minute later under another id."""
+    body = F.concat("event_type", "props").alias("body")
+    first = events.select("event_id", "ts", body)
+    later = events.select("event_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), body)
+    renamed = events.select(
+        (-F.col("event_id") - 1).alias("event_id"),
+        (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"),
+        body,
+    )
+    return first.unionByName(later).unionByName(renamed)
+
+
+@query("inbound_events", ACCEPTED_ORACLE)
+def inbound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deliveries = _deliveries(table(spark, sf_dir, "events"))
+    return accepted(deliveries, APP_KEY, "event_id", "ts", "body").select("event_id", "ts")
+
+
+@query("stream_inbound", "SELECT DISTINCT event_id FROM (" + ACCEPTED_ORACLE + ")")
+def stream_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deliveries = _deliveries(_stream(spark, sf_dir, "events"))
+    fresh = accepted(deliveries, APP_KEY, "event_id", "ts", "body").select("event_id")
+    return _run(spark, fresh, "stream_inbound")

@@ -151,7 +151,10 @@ def snapshot_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "snapshot_latest")
     events = table(spark, sf_dir, "events").withColumn("snapshot_date", F.to_date("ts"))
-    events.repartition("snapshot_date").write.partitionBy("snapshot_date").parquet(f"{root}/events")
+    # Rebalancing gathers a day's rows into few files, and splits a day that is too big.
+    events.hint("rebalance", "snapshot_date").write.partitionBy("snapshot_date").parquet(
+        f"{root}/events"
+    )
     return latest_snapshot(spark, root, "events")
 
 

@@ -57,7 +57,8 @@ def outbox_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def drain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return outbox.drain_plan(requests, "user_id", ["ts", "event_id"], F.to_date("ts"), 5)
+    minute = F.window("ts", "1 minute").start
+    return outbox.drain_plan(requests, "user_id", ["ts", "event_id"], minute, 5)
 
 
 LEVELS = (
@@ -188,10 +189,12 @@ def inactive_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def pii_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents")
+    # Texts are searched where they lie; only the narrow columns meet the labels.
+    in_text = privacy.pii_residue(docs, text_cols=["text"])
+    labelled = docs.select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     erased = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    return privacy.pii_residue(labelled, erased, ["source"], ["text"])
+    return privacy.pii_residue(labelled, erased, ["source"]).unionByName(in_text)
 
 
 @query(
