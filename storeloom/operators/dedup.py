@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storeloom.functions.clock import micros
+from storeloom.functions.ttl_slices import carry, slice_kept, slice_steps
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -61,27 +60,26 @@ def dedup_ttl(
     rows = clocked.filter(comparable).withColumn("_slice", F.floor(F.col("_us") / F.lit(width)))
     slices = rows.groupBy(key, "_slice").agg(F.sort_array(F.collect_set("_us")).alias("_at"))
 
-    key_type = df.schema[key].dataType
-    long_list = T.ArrayType(T.LongType())
-    steps = slices.mapInPandas(
-        lambda batches: _slice_steps(batches, ttl, width),
-        _schema((key, key_type), ("_slice", T.LongType()), ("_upto", long_list), ("_exit", long_list)),
+    key_field = T.StructField(key, df.schema[key].dataType)
+    slice_field = T.StructField("_slice", T.LongType())
+    instants = T.ArrayType(T.LongType())
+    steps = slices.mapInArrow(
+        lambda batches: slice_steps(batches, ttl, width),
+        T.StructType(
+            [key_field, slice_field, T.StructField("_upto", instants), T.StructField("_exit", instants)]
+        ),
     )
     carried = (
         steps.repartition(key)
         .sortWithinPartitions(key, "_slice")
-        .mapInPandas(
-            lambda batches: _carry(batches, key, ttl),
-            _schema((key, key_type), ("_slice", T.LongType()), ("_anchor", T.LongType())),
+        .mapInArrow(
+            lambda batches: carry(batches, ttl),
+            T.StructType([key_field, slice_field, T.StructField("_since", T.LongType())]),
         )
     )
-    kept = (
-        slices.join(carried, [key, "_slice"])
-        .mapInPandas(
-            lambda batches: _slice_kept(batches, key, ttl),
-            _schema((key, key_type), ("_slice", T.LongType()), ("_kept", long_list)),
-        )
-        .select(key, F.explode("_kept").alias("_us"))
+    kept = slices.join(carried, [key, "_slice"]).mapInArrow(
+        lambda batches: slice_kept(batches, ttl),
+        T.StructType([key_field, T.StructField("_us", T.LongType())]),
     )
     firsts = first_by_key(rows.drop("_slice"), [key, "_us"], [row_id])
     return (
@@ -90,63 +88,3 @@ def dedup_ttl(
         .unionByName(clocked.filter(~comparable).select(*df.columns))
     )
 
-
-def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in fields])
-
-
-def ttl_exits(at: np.ndarray, ttl: int) -> np.ndarray:
-    """For each instant: the last one kept if counting resumes there."""
-    n = len(at)
-    hop = np.append(np.searchsorted(at, at + ttl), n)
-    last = np.arange(n + 1)
-    while True:
-        ahead = hop[last]
-        more = ahead < n
-        if not more.any():
-            return at[last[:n]]
-        last = np.where(more, ahead, last)
-
-
-def _slice_steps(batches: Iterator[pd.DataFrame], ttl: int, width: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        upto, exits = [], []
-        for piece, instants in zip(pdf["_slice"], pdf["_at"]):
-            at = np.asarray(instants, dtype=np.int64)
-            # Counting resumes at the latest one TTL into the slice.
-            entries = int(np.searchsorted(at, piece * width + ttl)) + 1
-            out = ttl_exits(at, ttl)[:entries]
-            ends = np.append(np.flatnonzero(np.diff(out)), len(out) - 1)
-            upto.append(at[ends])
-            exits.append(out[ends])
-        yield pdf.drop(columns="_at").assign(_upto=upto, _exit=exits)
-
-
-def _carry(batches: Iterator[pd.DataFrame], key: str, ttl: int) -> Iterator[pd.DataFrame]:
-    current, anchor = None, None
-    for pdf in batches:
-        anchors = []
-        for k, upto, exits in zip(pdf[key], pdf["_upto"], pdf["_exit"]):
-            if k != current:
-                current, anchor = k, None
-            anchors.append(anchor)
-            step = 0 if anchor is None else int(np.searchsorted(upto, anchor + ttl))
-            if step < len(upto):
-                anchor = int(exits[step])
-        yield pd.DataFrame(
-            {key: pdf[key], "_slice": pdf["_slice"], "_anchor": pd.array(anchors, dtype="Int64")}
-        )
-
-
-def _slice_kept(batches: Iterator[pd.DataFrame], key: str, ttl: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        kept = []
-        for instants, anchor in zip(pdf["_at"], pdf["_anchor"]):
-            at = np.asarray(instants, dtype=np.int64)
-            place = 0 if pd.isna(anchor) else int(np.searchsorted(at, int(anchor) + ttl))
-            stay = []
-            while place < len(at):
-                stay.append(int(at[place]))
-                place = int(np.searchsorted(at, at[place] + ttl))
-            kept.append(stay)
-        yield pd.DataFrame({key: pdf[key], "_slice": pdf["_slice"], "_kept": kept})
