@@ -1,8 +1,9 @@
 """Ordered computations inside a key that may hold most of the rows.
 
-A plain ``partitionBy(key)`` window sends all rows of a key to one task.  Here the
-key's rows are first cut into buckets along the order column, every (key, bucket) is
-worked on by itself, and only one total per bucket is carried along the key.
+A plain ``partitionBy(key)`` window sends all rows of a key to one task.  That is fine
+for most keys; the rows of a hot one are first cut into buckets along the order column,
+every (key, bucket) is worked on by itself, and only one total per bucket is carried
+along the key.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storeloom.functions.hot import HOT_ROWS, mark_hot
+
 
 def running_sum(
     df: DataFrame,
@@ -21,38 +24,44 @@ def running_sum(
     measure: Column,
     out: str,
     newest_first: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``measure`` over the key's rows up to and with this one.
 
     ``bucket`` must move with ``order``: every row of a lower bucket sorts before every
     row of a higher one (the other way round with ``newest_first``).  The rows are
-    shuffled once, on (key, bucket); the totals that follow the key's order have one
-    row per bucket.
+    shuffled once, on the key and, for a hot key, the bucket.
     """
-    key = F.struct(*keys) if keys else F.lit(0)
-    rows = df.withColumns({"_key": key, "_bucket": bucket})
-    totals = rows.groupBy("_key", "_bucket").agg(F.sum(measure).alias("_total"))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    marked = mark_hot(df.withColumn("_key", key), "_key", hot_rows)
+    rows = marked.withColumn("_bucket", F.when(F.col("_hot"), bucket))
+    totals = (
+        rows.filter("_hot").groupBy("_key", "_bucket").agg(F.sum(measure).alias("_total"))
+    )
     along = F.col("_bucket").desc() if newest_first else F.col("_bucket").asc()
     before = (
         Window.partitionBy("_key").orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = totals.select(
-        "_key", "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before")
-    )
+    offsets = totals.select("_key", "_bucket", F.sum("_total").over(before).alias("_before"))
     inside = (
         Window.partitionBy("_key", "_bucket")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        rows.join(offsets, ["_key", "_bucket"])
-        .withColumn(out, F.sum(measure).over(inside) + F.col("_before"))
-        .drop("_key", "_bucket", "_before")
+        rows.join(offsets, ["_key", "_bucket"], "left")
+        .withColumn(out, F.sum(measure).over(inside) + F.coalesce("_before", F.lit(0)))
+        .drop("_key", "_bucket", "_before", "_hot")
     )
 
 
 def running_count(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    out: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the row's place (from 1) among the rows of its key."""
-    return running_sum(df, keys, bucket, order, F.lit(1), out)
+    return running_sum(df, keys, bucket, order, F.lit(1), out, hot_rows=hot_rows)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storeloom.functions.hot import HOT_ROWS, mark_hot
+
 # The stages of the lead funnel, in order.
 FUNNEL_STAGES = ("Frio", "Morno", "Quente", "Convertido")
 # Digits in a person's and in a company's document.
@@ -51,32 +53,39 @@ def orders_by_status(
 
 
 def transitions(
-    events: DataFrame, key: str, status: str, order: Sequence[str], bucket: Column
+    events: DataFrame,
+    key: str,
+    status: str,
+    order: Sequence[str],
+    bucket: Column,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """How often one status directly follows another for the same entity.
 
-    ``bucket`` cuts an entity's history along ``order`` (a day, say), so that an entity
-    with very many events is not one task.  Pairs inside a bucket come from ``lag``;
-    the pairs across buckets come from one first and one last status per bucket.
+    The history of an entity with very many events is cut into buckets along ``order``
+    (minutes, say).  Pairs inside a bucket come from ``lag``; the pairs across buckets
+    from the first and last event of each bucket.
     """
-    rows = events.filter(F.col(key).isNotNull()).select(key, status, *order, bucket.alias("_b"))
-    place = F.struct(*order)
+    rows = events.filter(F.col(key).isNotNull()).select(key, status, *order, bucket.alias("_at"))
+    marked = mark_hot(rows, key, hot_rows).withColumn("_b", F.when(F.col("_hot"), F.col("_at")))
     by_order = [F.col(c) for c in order]
-    inside = rows.select(
-        F.lag(F.struct(status)).over(Window.partitionBy(key, "_b").orderBy(*by_order)).alias("_p"),
-        F.struct(status).alias("_c"),
-    )
-    ends = rows.groupBy(key, "_b").agg(
-        F.min_by(F.struct(status), place).alias("_c"),
-        F.max_by(F.struct(status), place).alias("_last"),
+    inside = Window.partitionBy(key, "_b").orderBy(*by_order)
+    paired = marked.withColumns(
+        {
+            "_p": F.lag(F.struct(status)).over(inside),
+            "_last": F.lead(F.lit(True)).over(inside).isNull(),
+        }
     )
-    across = ends.select(
-        F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_p"), "_c"
+    edges = paired.filter(F.col("_hot") & (F.col("_p").isNull() | F.col("_last")))
+    across = edges.withColumn(
+        "_before", F.lag(F.struct(status)).over(Window.partitionBy(key).orderBy(*by_order))
+    ).filter(F.col("_p").isNull())
+    pairs = paired.select("_p", status).unionByName(
+        across.select(F.col("_before").alias("_p"), status)
     )
     return (
-        inside.unionByName(across)
-        .filter(F.col("_p").isNotNull())
-        .groupBy(F.col(f"_p.{status}").alias("previous"), F.col(f"_c.{status}").alias("current"))
+        pairs.filter(F.col("_p").isNotNull())
+        .groupBy(F.col(f"_p.{status}").alias("previous"), F.col(status).alias("current"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storeloom.functions.clock import micros
+from storeloom.functions.hot import HOT_ROWS, mark_hot
 from storeloom.functions.ttl_slices import carry, slice_kept, slice_steps
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The earliest row of every key.  Combined before the shuffle, so a key with many
-    copies sends one row per task."""
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
-    return picked.select("_r.*")
+    """The earliest row of every key.
+
+    Spark keeps one row per key inside every task before the shuffle, so a key with many
+    copies sends one row per task.
+    """
+    return _one_by_key(df, keys, [F.col(c).asc() for c in order])
 
 
 def last_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The latest row of every key, combined before the shuffle."""
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
-    return picked.select("_r.*")
+    """The latest row of every key, also limited before the shuffle."""
+    return _one_by_key(df, keys, [F.col(c).desc() for c in order])
+
+
+def _one_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
 def dedup_hash(body: Column, app_key: Column) -> Column:
@@ -30,25 +37,31 @@ def dedup_hash(body: Column, app_key: Column) -> Column:
     return F.sha2(F.concat(body, app_key), 256)
 
 
-# Slices of a key's time line are this many TTLs long.
+# Slices of a hot key's time line are this many TTLs long.
 SLICE_TTLS = 8
 
 
 def dedup_ttl(
-    df: DataFrame, key: str, ts: str, row_id: str, ttl_seconds: int, slice_ttls: int = SLICE_TTLS
+    df: DataFrame,
+    key: str,
+    ts: str,
+    row_id: str,
+    ttl_seconds: int,
+    slice_ttls: int = SLICE_TTLS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Drop rows whose key was already kept less than the TTL ago.
 
     The TTL runs from the row that was kept and is not renewed by dropped copies, so
-    what is kept depends on the whole past of the key.  To keep a hot key off a single
+    what is kept depends on the whole past of the key.  Every key is reduced to its
+    distinct instants, and these are followed in order.  To keep a hot key off a single
     task its time line is cut into slices:
 
-    1. every (key, slice) is reduced to its distinct instants;
-    2. every slice on its own works out, for each point at which counting could resume,
+    1. every slice on its own works out, for each point at which counting could resume,
        the last instant it would keep - a step function with few steps;
-    3. one light pass per key strings the step functions together, giving each slice
-       the instant kept last before it;
-    4. every slice then lists what it keeps.
+    2. one light pass per key strings the step functions together, giving each slice
+       the instant from which it may keep something again;
+    3. every slice then lists what it keeps.
 
     Of several rows at one kept instant the lowest id stays.  Rows with a null key or
     time cannot be compared and are all kept.
@@ -57,13 +70,17 @@ def dedup_ttl(
     width = ttl * slice_ttls
     clocked = df.withColumn("_us", micros(df, ts))
     comparable = F.col(key).isNotNull() & F.col("_us").isNotNull()
-    rows = clocked.filter(comparable).withColumn("_slice", F.floor(F.col("_us") / F.lit(width)))
-    slices = rows.groupBy(key, "_slice").agg(F.sort_array(F.collect_set("_us")).alias("_at"))
+    rows = clocked.filter(comparable)
+    narrow = mark_hot(rows.select(key, "_us"), key, hot_rows)
+    piece = F.when(F.col("_hot"), F.floor(F.col("_us") / F.lit(width)))
+    slices = narrow.groupBy(key, piece.alias("_slice")).agg(
+        F.sort_array(F.collect_set("_us")).alias("_at")
+    )
 
     key_field = T.StructField(key, df.schema[key].dataType)
     slice_field = T.StructField("_slice", T.LongType())
     instants = T.ArrayType(T.LongType())
-    steps = slices.mapInArrow(
+    steps = slices.filter(F.col("_slice").isNotNull()).mapInArrow(
         lambda batches: slice_steps(batches, ttl, width),
         T.StructType(
             [key_field, slice_field, T.StructField("_upto", instants), T.StructField("_exit", instants)]
@@ -77,14 +94,14 @@ def dedup_ttl(
             T.StructType([key_field, slice_field, T.StructField("_since", T.LongType())]),
         )
     )
-    kept = slices.join(carried, [key, "_slice"]).mapInArrow(
+    # The only slice of a key that is not hot has nothing before it: its _since is null.
+    kept = slices.join(carried, [key, "_slice"], "left").mapInArrow(
         lambda batches: slice_kept(batches, ttl),
         T.StructType([key_field, T.StructField("_us", T.LongType())]),
     )
-    firsts = first_by_key(rows.drop("_slice"), [key, "_us"], [row_id])
+    firsts = first_by_key(rows, [key, "_us"], [row_id])
     return (
         firsts.join(kept, [key, "_us"], "left_semi")
         .select(*df.columns)
         .unionByName(clocked.filter(~comparable).select(*df.columns))
     )
-

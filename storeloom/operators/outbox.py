@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storeloom.functions.hot import HOT_ROWS
 from storeloom.functions.ordered import running_count
 
 # Fixed value: the status of a message that waits to be sent.
@@ -70,11 +71,17 @@ def backlog(queue: DataFrame, as_of: Column, due: str, status: str, attempts: st
 
 
 def drain_plan(
-    requests: DataFrame, key: str, order: Sequence[str], bucket: Column, limit: int
+    requests: DataFrame,
+    key: str,
+    order: Sequence[str],
+    bucket: Column,
+    limit: int,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Spread waiting requests over minutes so that no key exceeds its limit.
 
     Each request gets the minute (``slot``) in which it may be sent.
     """
-    placed = running_count(requests, [key], bucket, [F.col(c) for c in order], "_place")
+    by_order = [F.col(c) for c in order]
+    placed = running_count(requests, [key], bucket, by_order, "_place", hot_rows)
     return placed.withColumn("slot", F.floor((F.col("_place") - 1) / F.lit(limit))).drop("_place")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeloom.functions.clock import micros
+from storeloom.functions.hot import HOT_ROWS, mark_hot
 
 
 @dataclass(frozen=True)
@@ -75,40 +76,79 @@ def rate_tumbling(
 
 
 def rate_rolling(
-    requests: DataFrame, ts: str, width_seconds: int, limit: int, key: str | None = None
+    requests: DataFrame,
+    ts: str,
+    width_seconds: int,
+    limit: int,
+    key: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """For every request, the requests of its key in the trailing window up to it.
 
-    Requests are first counted per instant.  Time is cut into slices one window long;
-    each slice is counted in a task of its own together with a copy of the slice
-    before, so neither a hot key nor the level of the whole application is one task.
-    The window is open at its far end: exactly ``width_seconds`` ago no longer counts.
-    Requests without a time stay, uncounted.
+    A request adds one to its key's count when it comes and takes it away again when it
+    leaves the window, so a running sum over both answers all requests in one sorted
+    pass.  The window is open at its far end: exactly ``width_seconds`` ago no longer
+    counts.  Requests without a time stay, uncounted.
+
+    Requests of hot keys (without ``key``, of the whole application) are first counted
+    per instant, and their time is cut into slices one window long.  What leaves during
+    a slice came during the slice before, so each slice is a task of its own.
     """
     width = width_seconds * 1_000_000
-    keyed = requests.withColumns(
-        {"_us": micros(requests, ts), "_key": F.lit(0) if key is None else F.struct(key)}
+    whole = F.struct(F.lit(0) if key is None else F.col(key))
+    keyed = requests.withColumns({"_us": micros(requests, ts), "_key": whole})
+    if key is None:
+        counted = _rolling_hot(keyed, width)
+    else:
+        marked = mark_hot(keyed, "_key", hot_rows)
+        hot = _rolling_hot(marked.filter("_hot"), width)
+        counted = hot.unionByName(_rolling_cold(marked.filter(~F.col("_hot")), width))
+    return counted.withColumn("breached", F.col("in_window") > limit).select(
+        *requests.columns, "in_window", "breached"
     )
-    timed = keyed.filter(F.col("_us").isNotNull())
-    instants = timed.groupBy("_key", "_us").agg(F.count(F.lit(1)).alias("_n"))
-    slice_ = F.floor(F.col("_us") / F.lit(width))
-    pieces = instants.select(
-        "_key",
-        "_us",
-        "_n",
-        slice_.alias("_own"),
-        F.explode(F.array(slice_, slice_ + 1)).alias("_slice"),
+
+
+def _rolling_cold(keyed: DataFrame, width: int) -> DataFrame:
+    """One window over each key's requests and their leaving."""
+    adds = F.when(F.col("_us").isNotNull(), 1).otherwise(0)
+    coming = keyed.withColumns({"_n": adds, "_row": F.lit(True)})
+    leaving = keyed.filter(F.col("_us").isNotNull()).select(
+        "_key", (F.col("_us") + width).alias("_us"), F.lit(-1).alias("_n")
     )
-    trailing = (
-        Window.partitionBy("_key", "_slice").orderBy("_us").rangeBetween(-(width - 1), 0)
+    # Peers of the frame are all rows of an instant: what leaves then is gone already.
+    up_to = Window.partitionBy("_key").orderBy("_us")
+    counted = coming.unionByName(leaving, allowMissingColumns=True).withColumn(
+        "in_window", F.when(F.col("_us").isNotNull(), F.sum("_n").over(up_to))
     )
+    return counted.filter("_row").drop("_n", "_row")
+
+
+def _rolling_hot(keyed: DataFrame, width: int) -> DataFrame:
+    """Counts per instant, slice by slice, joined back to the requests."""
+    instants = (
+        keyed.filter(F.col("_us").isNotNull())
+        .groupBy("_key", "_us")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    none = F.lit(0).cast("bigint")
+
+    def change(at: Column, come: Column, go: Column) -> Column:
+        return F.struct(at.alias("_us"), come.alias("_come"), go.alias("_go"))
+
+    changes = F.array(
+        change(F.col("_us"), F.col("_n"), none), change(F.col("_us") + width, none, F.col("_n"))
+    )
+    pieces = instants.select("_key", F.inline(changes)).withColumn(
+        "_slice", F.floor(F.col("_us") / F.lit(width))
+    )
+    in_slice = Window.partitionBy("_key", "_slice")
+    up_to = in_slice.orderBy("_us")
     counted = (
-        pieces.withColumn("in_window", F.sum("_n").over(trailing))
-        .filter(F.col("_own") == F.col("_slice"))
+        pieces.withColumn(
+            "in_window",
+            F.sum("_go").over(in_slice) + F.sum(F.col("_come") - F.col("_go")).over(up_to),
+        )
+        .filter(F.col("_come") > 0)
         .select("_key", "_us", "in_window")
     )
-    return (
-        keyed.join(counted, ["_key", "_us"], "left")
-        .withColumn("breached", F.col("in_window") > limit)
-        .drop("_key", "_us")
-    )
+    return keyed.join(counted, ["_key", "_us"], "left")

@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storeloom.functions.hot import HOT_ROWS
 from storeloom.functions.ordered import running_sum
 from storeloom.functions.vectors import cosine_distance, norm
 
@@ -107,6 +108,7 @@ def compact(
     budget: int,
     pinned: str = "system",
     turns_per_bucket: int = 256,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Mark the turns of each conversation that stay within a budget of characters.
 
@@ -123,5 +125,6 @@ def compact(
         cost,
         "used",
         newest_first=True,
+        hot_rows=hot_rows,
     )
     return used.withColumn("kept", is_pinned | (F.col("used") <= budget))

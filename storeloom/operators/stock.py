@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeloom.functions.clock import weeks_starting
+from storeloom.functions.hot import HOT_ROWS
 from storeloom.functions.ordered import running_count
 
 # The stock inspection runs on Mondays at 08:00; weeks are counted from
@@ -23,7 +24,12 @@ def low_stock(items: DataFrame, on_hand: str, minimum: str) -> DataFrame:
 
 
 def purchase_report(
-    low: DataFrame, supplier: str, item: str, bucket: Column, page_size: int = 1000
+    low: DataFrame,
+    supplier: str,
+    item: str,
+    bucket: Column,
+    page_size: int = 1000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """What to buy from whom: totals per supplier and the ordered list of items.
 
@@ -34,7 +40,7 @@ def purchase_report(
     totals = low.groupBy(supplier).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("deficit").alias("to_buy")
     )
-    placed = running_count(low, [supplier], bucket, [F.col(item)], "_place")
+    placed = running_count(low, [supplier], bucket, [F.col(item)], "_place", hot_rows)
     page = F.floor((F.col("_place") - 1) / F.lit(page_size))
     pages = placed.groupBy(supplier, page.alias("page")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(item), F.col("deficit")))).alias("items")

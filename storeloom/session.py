@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Apply row_number() <= k inside tasks, before the shuffle, for k up to this.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -77,8 +77,10 @@ def test_ttl_equals_brute_force_with_a_hot_key(spark, slice_ttls, ttl):
         (i, "hot" if rng.random() < 0.5 else f"k{rng.integers(5)}", int(rng.integers(0, 5000)))
         for i in range(3000)
     ]
-    out = dedup_ttl(events(spark, triples), "k", "ts", "id", ttl, slice_ttls)
-    assert ids(out) == brute_force(triples, ttl)
+    want = brute_force(triples, ttl)
+    for hot_rows in (0, 1000, 10**6):
+        out = dedup_ttl(events(spark, triples), "k", "ts", "id", ttl, slice_ttls, hot_rows)
+        assert ids(out) == want
 
 
 @settings(max_examples=200, deadline=None)

@@ -13,23 +13,27 @@ def test_running_sum_equals_a_plain_window(spark):
         "id",
     )
     plain = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    want = df.withColumn("s", F.sum("v").over(plain))
-    got = running_sum(df, ["k"], F.floor(F.col("id") / 100), [F.col("id")], F.col("v"), "s")
-    assert rows(got) == rows(want)
+    want = rows(df.withColumn("s", F.sum("v").over(plain)))
+    bucket = F.floor(F.col("id") / 100)
+    for hot_rows in (0, 400, 10**6):
+        got = running_sum(df, ["k"], bucket, [F.col("id")], F.col("v"), "s", hot_rows=hot_rows)
+        assert rows(got) == want
     back = Window.partitionBy("k").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("s", F.sum("v").over(back))
     got = running_sum(
-        df, ["k"], F.floor(F.col("id") / 100), [F.desc("id")], F.col("v"), "s", newest_first=True
+        df, ["k"], bucket, [F.desc("id")], F.col("v"), "s", newest_first=True, hot_rows=400
     )
     assert rows(got) == rows(want)
 
 
 def test_running_count_counts_null_keys_and_no_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 200), ("a", 3)], "k STRING, id INT")
-    got = running_count(df, ["k"], F.floor(F.col("id") / 100), [F.col("id")], "n")
-    assert rows(got) == [("a", 3, 1), (None, 1, 1), (None, 200, 2)]
-    got = running_count(df, [], F.floor(F.col("id") / 100), [F.col("id")], "n")
-    assert sorted(r.n for r in got.collect()) == [1, 2, 3]
+    for hot_rows in (0, 10**6):
+        bucket = F.floor(F.col("id") / 100)
+        got = running_count(df, ["k"], bucket, [F.col("id")], "n", hot_rows)
+        assert rows(got) == [("a", 3, 1), (None, 1, 1), (None, 200, 2)]
+        got = running_count(df, [], bucket, [F.col("id")], "n", hot_rows)
+        assert sorted(r.n for r in got.collect()) == [1, 2, 3]
 
 
 def test_micros_is_free_of_the_session_zone(spark):

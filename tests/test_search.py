@@ -103,5 +103,6 @@ def test_compact_keeps_system_turns_and_the_newest(spark):
         [("c", 0, "system", "x" * 50), ("c", 1, "user", "a" * 6), ("c", 2, "bot", "b" * 5), ("c", 300, "user", "d" * 5)],
         "conv STRING, turn INT, role STRING, text STRING",
     )
-    got = search.compact(turns, "conv", "turn", "role", "text", 10)
-    assert {r.turn: r.kept for r in got.collect()} == {0: True, 1: False, 2: True, 300: True}
+    for hot_rows in (0, 10**6):
+        got = search.compact(turns, "conv", "turn", "role", "text", 10, hot_rows=hot_rows)
+        assert {r.turn: r.kept for r in got.collect()} == {0: True, 1: False, 2: True, 300: True}

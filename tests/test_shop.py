@@ -41,8 +41,10 @@ def test_transitions_cross_buckets_and_keep_null_statuses(spark):
         "k INT, status STRING, ts INT, id INT",
     )
     for width in (1, 10, 1000):
-        got = crm.transitions(df, "k", "status", ["ts", "id"], F.floor(F.col("ts") / width))
-        assert rows(got) == [("buy", None, 1), ("view", "buy", 1), (None, "view", 1)], width
+        for hot_rows in (0, 2, 10**6):
+            bucket = F.floor(F.col("ts") / width)
+            got = crm.transitions(df, "k", "status", ["ts", "id"], bucket, hot_rows)
+            assert rows(got) == [("buy", None, 1), ("view", "buy", 1), (None, "view", 1)], width
 
 
 def test_pending_recovery_needs_contact_and_no_later_payment(spark):
@@ -131,7 +133,7 @@ def test_purchase_report_pages_hold_all_items_in_order(spark):
         F.col("id").alias("item"),
         (F.col("id") % 3 + 1).alias("deficit"),
     )
-    pages = stock.purchase_report(low, "s", "item", F.floor(F.col("item") / 40), page_size=30)
+    pages = stock.purchase_report(low, "s", "item", F.floor(F.col("item") / 40), 30, hot_rows=100)
     hot = sorted((r for r in pages.collect() if r.s == "hot"), key=lambda r: r.page)
     assert [len(r["items"]) for r in hot] == [30] * 8 + [10]
     assert [i.item for r in hot for i in r["items"]] == list(range(0, 500, 2))

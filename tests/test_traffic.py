@@ -44,7 +44,7 @@ def test_drain_plan_never_exceeds_the_limit(spark):
     requests = spark.range(1000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat("id", F.lit(""))).alias("k")
     )
-    plan = outbox.drain_plan(requests, "k", ["id"], F.floor(F.col("id") / 64), 10)
+    plan = outbox.drain_plan(requests, "k", ["id"], F.floor(F.col("id") / 64), 10, hot_rows=100)
     assert plan.count() == 1000
     per_slot = plan.groupBy("k", "slot").count()
     assert per_slot.agg(F.max("count")).first()[0] == 10
@@ -76,17 +76,24 @@ def test_rolling_counts_equal_brute_force(spark):
     df = spark.createDataFrame(
         [(i, k, at(s)) for i, k, s in data], "id INT, k STRING, ts TIMESTAMP_NTZ"
     )
-    for key in ("k", None):
-        got = {r.id: (r.in_window, r.breached) for r in rates.rate_rolling(df, "ts", 60, 5, key).collect()}
+    for key, hot_rows in (("k", 10**6), ("k", 300), ("k", 0), (None, 10**6)):
+        counted = rates.rate_rolling(df, "ts", 60, 5, key, hot_rows).collect()
+        got = {r.id: (r.in_window, r.breached) for r in counted}
         for i, k, s in data:
             n = sum(1 for _, k2, s2 in data if s - 60 < s2 <= s and (key is None or k2 == k))
             assert got[i] == (n, n > 5)
 
 
 def test_rolling_window_is_open_at_its_far_end(spark):
-    df = spark.createDataFrame([(1, at(0)), (2, at(60)), (3, None)], "id INT, ts TIMESTAMP_NTZ")
-    got = {r.id: r.in_window for r in rates.rate_rolling(df, "ts", 60, 1).collect()}
+    df = spark.createDataFrame(
+        [(1, "k", at(0)), (2, "k", at(60)), (3, "k", None), (4, None, at(5)), (5, None, at(6))],
+        "id INT, k STRING, ts TIMESTAMP_NTZ",
+    )
+    got = {r.id: r.in_window for r in rates.rate_rolling(df.filter("k = 'k'"), "ts", 60, 1).collect()}
     assert got == {1: 1, 2: 1, 3: None}
+    for hot_rows in (0, 2, 10**6):
+        got = {r.id: r.in_window for r in rates.rate_rolling(df, "ts", 60, 1, "k", hot_rows).collect()}
+        assert got == {1: 1, 2: 1, 3: None, 4: 1, 5: 2}
 
 
 def test_refusal_modes(spark):
