@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storeloom.functions.hot import HOT_ROWS, mark_hot
+from storeloom.functions.hot import HOT_ROWS, hot_keys, mark_hot
 
 
 def running_sum(
@@ -29,29 +29,48 @@ def running_sum(
     """Add ``out``: the sum of ``measure`` over the key's rows up to and with this one.
 
     ``bucket`` must move with ``order``: every row of a lower bucket sorts before every
-    row of a higher one (the other way round with ``newest_first``).  The rows are
-    shuffled once, on the key and, for a hot key, the bucket.
+    row of a higher one (the other way round with ``newest_first``).  What the earlier
+    buckets of a hot key add up to comes in as one more row at the head of each bucket,
+    so the rows are shuffled once, on the key and, for a hot key, the bucket.
     """
-    key = F.struct(*keys) if keys else F.struct(F.lit(0))
-    marked = mark_hot(df.withColumn("_key", key), "_key", hot_rows)
-    rows = marked.withColumn("_bucket", F.when(F.col("_hot"), bucket))
+    from_start = (Window.unboundedPreceding, 0)
+    if keys:
+        hot = hot_keys(df, keys, hot_rows)
+        if hot is None:
+            whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*from_start)
+            return df.withColumn(out, F.sum(measure).over(whole))
+        marked = mark_hot(df, hot)
+    else:
+        marked = df.withColumn("_hot", F.lit(True))
+    rows = marked.select(
+        *df.columns,
+        F.when(F.col("_hot"), bucket).alias("_bucket"),
+        measure.alias("_measure"),
+        F.lit(False).alias("_head"),
+    )
     totals = (
-        rows.filter("_hot").groupBy("_key", "_bucket").agg(F.sum(measure).alias("_total"))
+        rows.filter(F.col("_bucket").isNotNull())
+        .groupBy(*keys, "_bucket")
+        .agg(F.sum("_measure").alias("_total"))
     )
     along = F.col("_bucket").desc() if newest_first else F.col("_bucket").asc()
-    before = (
-        Window.partitionBy("_key").orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.select(
+        *keys,
+        "_bucket",
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_measure"),
+        F.lit(True).alias("_head"),
     )
-    offsets = totals.select("_key", "_bucket", F.sum("_total").over(before).alias("_before"))
     inside = (
-        Window.partitionBy("_key", "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy(F.col("_head").desc(), *order)
+        .rowsBetween(*from_start)
     )
     return (
-        rows.join(offsets, ["_key", "_bucket"], "left")
-        .withColumn(out, F.sum(measure).over(inside) + F.coalesce("_before", F.lit(0)))
-        .drop("_key", "_bucket", "_before", "_hot")
+        rows.unionByName(heads, allowMissingColumns=True)
+        .withColumn(out, F.sum("_measure").over(inside))
+        .filter(~F.col("_head"))
+        .drop("_bucket", "_measure", "_head")
     )
 
 

@@ -1,7 +1,6 @@
-"""What happens inside the tasks of ``dedup_ttl``: slices of a key's time line.
+"""What happens inside the tasks of ``dedup_ttl``.
 
-All functions take and give Arrow batches.  A slice with a single instant, by far the
-commonest, is dealt with for the whole batch at once.
+All functions take and give Arrow batches and hold one batch at a time.
 """
 
 from __future__ import annotations
@@ -68,6 +67,34 @@ def slice_steps(batches: Iterator[pa.RecordBatch], ttl: int, width: int) -> Iter
         )
 
 
+def _key_starts(key: pa.Array, before) -> np.ndarray:
+    """True where a key's first row is, ``before`` being the key of the row in front."""
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[0] = before is None or key[0].as_py() != before
+    fresh[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(
+        zero_copy_only=False
+    )
+    return fresh
+
+
+def keep_first(batches: Iterator[pa.RecordBatch], key: str, ttl: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and ``_us``: those at least ``ttl`` after the last one kept."""
+    current, since = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        at = batch.column("_us").to_pylist()
+        stay = []
+        for is_first, instant in zip(_key_starts(keys, current).tolist(), at):
+            keep = is_first or instant >= since
+            if keep:
+                since = instant + ttl
+            stay.append(keep)
+        current = keys[batch.num_rows - 1].as_py()
+        yield batch.filter(pa.array(stay)).drop_columns(["_us"])
+
+
 def carry(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatch]:
     """(key, slice, upto, exit), sorted, to (key, slice, since).
 
@@ -79,11 +106,7 @@ def carry(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatc
         if not batch.num_rows:
             continue
         key, piece, upto, exits = batch.columns
-        fresh = np.ones(batch.num_rows, dtype=bool)
-        fresh[0] = current is None or key[0].as_py() != current
-        fresh[1:] = pc.not_equal(key.slice(1), key.slice(0, batch.num_rows - 1)).to_numpy(
-            zero_copy_only=False
-        )
+        fresh = _key_starts(key, current)
         current = key[batch.num_rows - 1].as_py()
         bounds, latest = _list_parts(upto)
         out = exits.values.to_numpy()

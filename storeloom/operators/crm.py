@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storeloom.functions.hot import HOT_ROWS, mark_hot
+from storeloom.functions.hot import HOT_ROWS, hot_keys, mark_hot
 
 # The stages of the lead funnel, in order.
 FUNNEL_STAGES = ("Frio", "Morno", "Quente", "Convertido")
@@ -67,22 +67,35 @@ def transitions(
     from the first and last event of each bucket.
     """
     rows = events.filter(F.col(key).isNotNull()).select(key, status, *order, bucket.alias("_at"))
-    marked = mark_hot(rows, key, hot_rows).withColumn("_b", F.when(F.col("_hot"), F.col("_at")))
     by_order = [F.col(c) for c in order]
+    whole = Window.partitionBy(key).orderBy(*by_order)
+    hot = hot_keys(rows, [key], hot_rows)
+    if hot is None:
+        pairs = rows.select(F.lag(F.struct(status)).over(whole).alias("_p"), status)
+        return _count_pairs(pairs, status)
     inside = Window.partitionBy(key, "_b").orderBy(*by_order)
-    paired = marked.withColumns(
-        {
-            "_p": F.lag(F.struct(status)).over(inside),
-            "_last": F.lead(F.lit(True)).over(inside).isNull(),
-        }
+    paired = (
+        mark_hot(rows, hot)
+        .withColumn("_b", F.when(F.col("_hot"), F.col("_at")))
+        .withColumns(
+            {
+                "_p": F.lag(F.struct(status)).over(inside),
+                "_last": F.lead(F.lit(True)).over(inside).isNull(),
+            }
+        )
+    )
+    # Only hot entities have buckets; by the bucket Spark leaves out all others early.
+    edges = paired.filter(F.col("_b").isNotNull() & (F.col("_p").isNull() | F.col("_last")))
+    across = edges.withColumn("_before", F.lag(F.struct(status)).over(whole)).filter(
+        F.col("_p").isNull()
     )
-    edges = paired.filter(F.col("_hot") & (F.col("_p").isNull() | F.col("_last")))
-    across = edges.withColumn(
-        "_before", F.lag(F.struct(status)).over(Window.partitionBy(key).orderBy(*by_order))
-    ).filter(F.col("_p").isNull())
     pairs = paired.select("_p", status).unionByName(
         across.select(F.col("_before").alias("_p"), status)
     )
+    return _count_pairs(pairs, status)
+
+
+def _count_pairs(pairs: DataFrame, status: str) -> DataFrame:
     return (
         pairs.filter(F.col("_p").isNotNull())
         .groupBy(F.col(f"_p.{status}").alias("previous"), F.col(status).alias("current"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeloom.functions.clock import micros
-from storeloom.functions.hot import HOT_ROWS, mark_hot
+from storeloom.functions.hot import HOT_ROWS, hot_keys, mark_hot
 
 
 @dataclass(frozen=True)
@@ -95,60 +95,66 @@ def rate_rolling(
     a slice came during the slice before, so each slice is a task of its own.
     """
     width = width_seconds * 1_000_000
-    whole = F.struct(F.lit(0) if key is None else F.col(key))
-    keyed = requests.withColumns({"_us": micros(requests, ts), "_key": whole})
+    keys = [] if key is None else [key]
+    clocked = requests.withColumn("_us", micros(requests, ts))
     if key is None:
-        counted = _rolling_hot(keyed, width)
+        counted = _rolling_hot(clocked, keys, width)
+    elif (listed := hot_keys(clocked, keys, hot_rows)) is None:
+        counted = _rolling_cold(clocked, keys, width)
     else:
-        marked = mark_hot(keyed, "_key", hot_rows)
-        hot = _rolling_hot(marked.filter("_hot"), width)
-        counted = hot.unionByName(_rolling_cold(marked.filter(~F.col("_hot")), width))
+        marked = mark_hot(clocked, listed)
+        hot = _rolling_hot(marked.filter("_hot"), keys, width)
+        counted = hot.unionByName(_rolling_cold(marked.filter(~F.col("_hot")), keys, width))
     return counted.withColumn("breached", F.col("in_window") > limit).select(
         *requests.columns, "in_window", "breached"
     )
 
 
-def _rolling_cold(keyed: DataFrame, width: int) -> DataFrame:
+def _rolling_cold(clocked: DataFrame, keys: list[str], width: int) -> DataFrame:
     """One window over each key's requests and their leaving."""
     adds = F.when(F.col("_us").isNotNull(), 1).otherwise(0)
-    coming = keyed.withColumns({"_n": adds, "_row": F.lit(True)})
-    leaving = keyed.filter(F.col("_us").isNotNull()).select(
-        "_key", (F.col("_us") + width).alias("_us"), F.lit(-1).alias("_n")
+    coming = clocked.withColumns({"_n": adds, "_row": F.lit(True)})
+    leaving = clocked.filter(F.col("_us").isNotNull()).select(
+        *keys, (F.col("_us") + width).alias("_us"), F.lit(-1).alias("_n")
     )
     # Peers of the frame are all rows of an instant: what leaves then is gone already.
-    up_to = Window.partitionBy("_key").orderBy("_us")
+    up_to = Window.partitionBy(*keys).orderBy("_us")
     counted = coming.unionByName(leaving, allowMissingColumns=True).withColumn(
         "in_window", F.when(F.col("_us").isNotNull(), F.sum("_n").over(up_to))
     )
     return counted.filter("_row").drop("_n", "_row")
 
 
-def _rolling_hot(keyed: DataFrame, width: int) -> DataFrame:
+def _rolling_hot(clocked: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Counts per instant, slice by slice, joined back to the requests."""
+    names = [f"_of_{k}" for k in keys]
     instants = (
-        keyed.filter(F.col("_us").isNotNull())
-        .groupBy("_key", "_us")
+        clocked.filter(F.col("_us").isNotNull())
+        .groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_us").alias("_at"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     none = F.lit(0).cast("bigint")
 
     def change(at: Column, come: Column, go: Column) -> Column:
-        return F.struct(at.alias("_us"), come.alias("_come"), go.alias("_go"))
+        return F.struct(at.alias("_at"), come.alias("_come"), go.alias("_go"))
 
     changes = F.array(
-        change(F.col("_us"), F.col("_n"), none), change(F.col("_us") + width, none, F.col("_n"))
+        change(F.col("_at"), F.col("_n"), none), change(F.col("_at") + width, none, F.col("_n"))
     )
-    pieces = instants.select("_key", F.inline(changes)).withColumn(
-        "_slice", F.floor(F.col("_us") / F.lit(width))
+    pieces = instants.select(*names, F.inline(changes)).withColumn(
+        "_slice", F.floor(F.col("_at") / F.lit(width))
     )
-    in_slice = Window.partitionBy("_key", "_slice")
-    up_to = in_slice.orderBy("_us")
+    in_slice = Window.partitionBy(*names, "_slice")
+    up_to = in_slice.orderBy("_at")
     counted = (
         pieces.withColumn(
             "in_window",
             F.sum("_go").over(in_slice) + F.sum(F.col("_come") - F.col("_go")).over(up_to),
         )
         .filter(F.col("_come") > 0)
-        .select("_key", "_us", "in_window")
+        .drop("_come", "_go", "_slice")
     )
-    return keyed.join(counted, ["_key", "_us"], "left")
+    same = F.col("_us") == F.col("_at")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return clocked.join(counted, same, "left").drop(*names, "_at")
