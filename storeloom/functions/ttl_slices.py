@@ -78,23 +78,47 @@ def _key_starts(key: pa.Array, before) -> np.ndarray:
 
 
 def keep_first(batches: Iterator[pa.RecordBatch], key: str, ttl: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and ``_us``: those at least ``ttl`` after the last one kept."""
-    current, since = None, 0
+    """Rows sorted by key and ``_us``: those at least ``ttl`` after the last one kept.
+
+    A row that follows its predecessor by ``ttl`` or more is always kept, and so is a
+    key's first; such rows begin a run.  A run shorter than ``ttl`` keeps nothing else,
+    so only longer ones are followed instant by instant.
+    """
+    current, before, since = None, 0, 0
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
         keys = batch.column(key)
-        at = batch.column("_us").to_pylist()
-        stay = []
-        for is_first, instant in zip(_key_starts(keys, current).tolist(), at):
-            keep = is_first or instant >= since
-            if keep:
-                since = instant + ttl
-            stay.append(keep)
-        current = keys[batch.num_rows - 1].as_py()
+        at = batch.column("_us").to_numpy()
+        begins = _key_starts(keys, current)
+        begins |= np.diff(at, prepend=before) >= ttl
+        runs = np.flatnonzero(begins)
+        stay = begins.copy()
+        # What the run at the end of the last batch still has here.
+        rest = int(runs[0]) if len(runs) else n
+        since = _follow(at, 0, rest, since, ttl, stay)
+        if len(runs):
+            ends = np.append(runs[1:], n)
+            longer = np.flatnonzero(at[ends - 1] - at[runs] >= ttl)
+            for r in longer:
+                since = _follow(at, int(runs[r]) + 1, int(ends[r]), at[runs[r]] + ttl, ttl, stay)
+            if not len(longer) or longer[-1] != len(runs) - 1:
+                since = at[runs[-1]] + ttl
+        current, before = keys[n - 1].as_py(), at[-1]
         yield batch.filter(pa.array(stay)).drop_columns(["_us"])
 
 
+def _follow(at: np.ndarray, lo: int, hi: int, since: int, ttl: int, stay: np.ndarray) -> int:
+    """Mark what is kept of ``at[lo:hi]``; from when on something may be kept next."""
+    place = lo + int(np.searchsorted(at[lo:hi], since))
+    while place < hi:
+        stay[place] = True
+        since = at[place] + ttl
+        place = lo + int(np.searchsorted(at[lo:hi], since))
+    return since
+
+
 def carry(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatch]:
     """(key, slice, upto, exit), sorted, to (key, slice, since).
 

@@ -11,6 +11,7 @@ from storeloom.session import work_folder
 from storeloom.sources.payloads import explode_list, payload_fields
 from storeloom.sources.snapshots import (
     latest_snapshot,
+    log_snapshots,
     read_snapshot,
     retention,
     verify_snapshot,
@@ -155,6 +156,8 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.hint("rebalance", "snapshot_date").write.partitionBy("snapshot_date").parquet(
         f"{root}/events"
     )
+    days = events.select(F.lit("events").alias("table_name"), "snapshot_date").distinct()
+    log_snapshots(days, root)
     return latest_snapshot(spark, root, "events")
 
 

@@ -11,16 +11,29 @@ from pyspark.sql import functions as F
 # Fixed value: days a snapshot is kept.
 RETENTION_DAYS = 7
 DATE_COLUMN = "snapshot_date"
+LOG = "finished_snapshots"
 
 
 def write_snapshot(tables: Mapping[str, DataFrame], root: str, date: str) -> None:
-    """Write each table to ``root/<name>/snapshot_date=<date>``.
+    """Write each table to ``root/<name>/snapshot_date=<date>`` and note it in the log.
 
     Each table is one parallel parquet write; a repeated run of the same day replaces
-    that day only.
+    that day only.  The log is written last, so a broken run leaves no entry.
     """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/{DATE_COLUMN}={date}")
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        done = [(name, date) for name in tables]
+        schema = f"table_name STRING, {DATE_COLUMN} STRING"
+        log_snapshots(spark.createDataFrame(done, schema), root)
+
+
+def log_snapshots(done: DataFrame, root: str) -> None:
+    """Note (table_name, snapshot_date) pairs in the log of finished snapshots."""
+    done.select("table_name", F.col(DATE_COLUMN).cast("date")).write.mode("append").parquet(
+        f"{root}/{LOG}"
+    )
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str, date: str) -> DataFrame:
@@ -29,8 +42,16 @@ def read_snapshot(spark: SparkSession, root: str, name: str, date: str) -> DataF
 
 
 def latest_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest snapshot of a table, for restore."""
-    return latest_partition(spark.read.parquet(f"{root}/{name}"), DATE_COLUMN)
+    """The newest finished snapshot of a table, for restore.
+
+    The log says which it is; the folders of other dates are not even listed.
+    """
+    log = spark.read.schema(f"table_name STRING, {DATE_COLUMN} DATE").parquet(f"{root}/{LOG}")
+    newest = log.filter(F.col("table_name") == name).agg(F.max(DATE_COLUMN)).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no snapshot of {name!r} below {root}")
+    base = f"{root}/{name}"
+    return spark.read.option("basePath", base).parquet(f"{base}/{DATE_COLUMN}={newest}")
 
 
 def latest_partition(df: DataFrame, date: str) -> DataFrame:

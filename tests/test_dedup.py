@@ -2,13 +2,14 @@ import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from storeloom.functions.ttl_slices import ttl_exits
+from storeloom.functions.ttl_slices import keep_first, ttl_exits
 from storeloom.operators.dedup import dedup_hash, dedup_ttl, first_by_key, last_by_key
 
 START = datetime(2024, 1, 1)
@@ -83,6 +84,20 @@ def test_ttl_equals_brute_force_with_a_hot_key(spark, slice_ttls, ttl):
         assert ids(out) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(0, 150)), min_size=1, max_size=60),
+    st.integers(1, 40),
+    st.integers(1, 9),
+)
+def test_sorted_pass_over_any_batches(pairs, ttl, size):
+    pairs = sorted(pairs)
+    table = pa.table({"k": [k for k, _ in pairs], "n": range(len(pairs)), "_us": [s for _, s in pairs]})
+    kept = [n for b in keep_first(iter(table.to_batches(max_chunksize=size)), "k", ttl) for n in b["n"].to_pylist()]
+    triples = [(n, k, s) for n, (k, s) in enumerate(pairs)]
+    assert set(kept) == brute_force(triples, ttl)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 400), min_size=1), st.integers(1, 60))
 def test_exits_follow_the_chain(instants, ttl):

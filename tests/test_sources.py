@@ -75,7 +75,13 @@ def test_latest_snapshot_reads_one_partition(spark):
         snapshots.write_snapshot({"t": spark.createDataFrame([(v,)], "v INT")}, root, day)
     latest = snapshots.latest_snapshot(spark, root, "t")
     assert rows(latest) == [(3, date(2024, 1, 3))]
-    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert all("2024-01-03" in f for f in latest.inputFiles())
+    with pytest.raises(FileNotFoundError):
+        snapshots.latest_snapshot(spark, root, "other")
+    all_days = spark.read.parquet(f"{root}/t")
+    newest = snapshots.latest_partition(all_days, "snapshot_date")
+    assert rows(newest) == [(3, date(2024, 1, 3))]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot_date" in plan
 
 
