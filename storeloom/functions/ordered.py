@@ -29,7 +29,8 @@ def running_sum(
     """Add ``out``: the sum of ``measure`` over the key's rows up to and with this one.
 
     ``bucket`` must move with ``order``: every row of a lower bucket sorts before every
-    row of a higher one (the other way round with ``newest_first``).  What the earlier
+    row of a higher one (the other way round with ``newest_first``); neither may be null
+    for a hot key.  What the earlier
     buckets of a hot key add up to comes in as one more row at the head of each bucket,
     so the rows are shuffled once, on the key and, for a hot key, the bucket.
     """

@@ -23,14 +23,19 @@ def insert_ignore(
 
     Within the batch the first row of a key by ``order`` goes in.  As in a UNIQUE rule,
     rows with a null in the key conflict with nothing.
+
+    A small batch is broadcast (by Spark's own size check) to find the target's rows it
+    collides with, so a large target is neither shuffled nor rewritten for it.
     """
     complete = _all_set(keys)
-    fresh = first_by_key(batch.filter(complete), keys, order).join(
-        target.select(*keys), list(keys), "left_anti"
-    )
+    fresh = first_by_key(batch.filter(complete), keys, order)
+    taken = target.select(*keys).join(batch.select(*keys).distinct(), list(keys), "left_semi")
     loose = batch.filter(~complete)
     columns = target.columns
-    return target.unionByName(fresh.select(columns)).unionByName(loose.select(columns))
+    return (
+        target.unionByName(fresh.join(taken, list(keys), "left_anti").select(columns))
+        .unionByName(loose.select(columns))
+    )
 
 
 def upsert_latest(
@@ -43,23 +48,14 @@ def upsert_latest(
 ) -> DataFrame:
     """The replica after a set of create/edit/delete events: the last event per key wins.
 
-    Changes are reduced to one row per key before the join, so both join sides are
-    unique on the key whatever the number of events behind one of them.
+    Rows of the target whose key changed are left out, the last state of each changed
+    key is added.  Only the keys of the changes meet the target, broadcast if they are
+    few, so a small set of changes does not shuffle a large target.
     """
-    columns = target.columns
-    last = last_by_key(changes, keys, order).select(
-        *[F.col(k).alias(f"_new_{k}") for k in keys],
-        F.struct(*columns).alias("_new"),
-        F.coalesce(F.col(op_col) == delete, F.lit(False)).alias("_gone"),
-    )
-    old = target.select(*keys, F.struct(*columns).alias("_old"))
-    same = reduce(lambda a, b: a & b, [old[k] == last[f"_new_{k}"] for k in keys])
-    return (
-        old.join(last, same, "full_outer")
-        .filter(~F.coalesce("_gone", F.lit(False)))
-        .select(F.coalesce("_new", "_old").alias("_row"))
-        .select("_row.*")
-    )
+    last = last_by_key(changes, keys, order)
+    live = last.filter(~F.coalesce(F.col(op_col) == delete, F.lit(False)))
+    changed = changes.select(*keys).distinct()
+    return target.join(changed, list(keys), "left_anti").unionByName(live.select(target.columns))
 
 
 def partial_upsert(

@@ -55,7 +55,7 @@ def stream_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     root = work_folder(spark, "stream_replica")
     with streams.streaming_settings(spark, _partitions(spark)):
-        streams.write_changes(changes, root, keys, order)().awaitTermination()
+        streams.write_changes(changes, root, keys, order).awaitTermination()
     target = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"),
         F.lit("signup").alias("event_type"),

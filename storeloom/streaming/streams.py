@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,13 +57,15 @@ def stream_failures(stream: DataFrame, message: str, needle: str = GONE_CODE) ->
 
 
 def write_changes(
-    stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str]
-) -> Callable[[], StreamingQuery]:
+    stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], **trigger
+) -> StreamingQuery:
     """Keep a replica current: per micro-batch store the last change of each key.
 
     A batch writes only its own changes, into a folder named by its batch id, so the
     cost follows the batch and not the replica, and a repeated batch replaces itself.
-    ``replica_changes`` reads them back; ``upsert_latest`` applies them.
+    ``replica_changes`` reads them back; ``upsert_latest`` applies them.  ``trigger`` is
+    what Spark's ``trigger`` takes; without it the query ends when all there is has been
+    read.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -71,10 +73,10 @@ def write_changes(
             f"{root}/changes/batch_id={batch_id}"
         )
 
-    return lambda: (
+    return (
         stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -46,6 +46,22 @@ def test_row_by_row_work_does_not_shuffle(spark, name):
     assert "Exchange" not in plan(spark, name)
 
 
+def test_a_small_change_set_does_not_shuffle_the_target(spark, tmp_path):
+    from storeloom.operators.keyed import insert_ignore, upsert_latest
+    from storeloom.plans.fixtures import table
+
+    target = table(spark, sf_dir("0.001"), "lineitem").select("l_orderkey", "l_partkey")
+    path = str(tmp_path / "few")
+    spark.createDataFrame([(1, 2, 3)], "l_orderkey BIGINT, l_partkey BIGINT, n INT").write.parquet(path)
+    few = spark.read.parquet(path)
+    for df in (
+        upsert_latest(target, few.withColumn("op", few.n.cast("string")), ["l_orderkey"], ["n"]),
+        insert_ignore(target, few, ["l_orderkey"], ["n"]),
+    ):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
 def test_replicas_shuffle_each_side_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan(spark, "dedup_event_id"))) == 1
     assert len(re.findall(r"Exchange hashpartitioning", plan(spark, "rate_tumbling"))) == 1

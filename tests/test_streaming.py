@@ -120,10 +120,9 @@ def test_replica_over_batches_equals_batch_also_after_merging(spark, tmp_path):
     stream = changes(webhook_stream(spark, folder, files_per_trigger=1))
     root = work_folder(spark, "replica")
     keys, order = ["body"], ["ts", "event_id"]
-    start = streams.write_changes(stream, root, keys, order)
-    start().awaitTermination()
-    # Nothing new: a second start adds nothing.
-    start().awaitTermination()
+    # Nothing new: a second run adds nothing.
+    for _ in range(2):
+        streams.write_changes(stream, root, keys, order).awaitTermination()
     target = spark.createDataFrame([('{"k": "old"}', "0")], "body STRING, event_id STRING")
     want = rows(upsert_latest(target, changes(batch_frame(spark, items)), keys, order))
     stored = streams.replica_changes(spark, root, stream.schema)
