@@ -1,7 +1,5 @@
 import numpy as np
 import pytest
-from conftest import rows
-from pyspark.sql import functions as F
 
 from storeloom.operators import search
 from storeloom.operators.knn_join import knn_join
