@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from storeloom.plans.registry import Query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storeloom.llm import oracles
+from storeloom.llm import bpe, oracles
 from storeloom.llm.common import table
 from storeloom.llm.licenses import scan_licenses
 from storeloom.llm.line_dedup import line_dedup
 from storeloom.llm.merkle import edit_trace
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from storeloom.llm.mixing import mix
+from storeloom.llm.ordinal import grade_documents
+from storeloom.llm.quality_forest import quality_rules
+from storeloom.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary() -> str:
+    """The installed rank file of the production tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
 
 def query(name: str, oracle: str | None = None):
     def register(run):
@@ -38,3 +49,26 @@ def merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_soft_mixing")
+def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_quality_rules")
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op8_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(vocabulary())
+    return bpe.token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+
+
+@query("op10_ordinal_quality")
+def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return grade_documents(docs, table(spark, sf_dir, "labels")).drop("text")
