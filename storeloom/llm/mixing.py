@@ -26,7 +26,7 @@ BUCKETS = 1 << 16  # hashed features
 FIT_ROWS = 20_000  # labelled documents the classifier is fitted on, at most
 SHRINK = 20.0  # documents of prior weight behind every feature's share
 CHI2 = 20.0  # features whose counts deviate less from chance carry no weight
-ROUNDS = 50
+ROUNDS = 20
 CLOSE = 1e-6  # stop when all domains are this close to their targets, as a share of all
 
 
@@ -189,43 +189,59 @@ def fit_rates(
     """Steps of projected gradient descent, to be given to ``rate``.
 
     Minimises the squared distance of the domains' expected tokens from their targets over
-    nonnegative rates.  Rates move in the metric of token counts and distances are measured
-    by the inverse of the domains' token moments, which makes the unit step length the
-    right one and leaves every document of equal posteriors with an equal rate.  A round is
-    one sum over all rows; only a few numbers per domain reach the driver.  Domains without
-    tokens cannot meet a target and are left out; an empty table gives no steps.
+    nonnegative rates.  Rates move in the metric of token counts, so documents of equal
+    posteriors keep equal rates, and the gradient is scaled by the token moments of the
+    documents with a positive rate, which makes one the right step length.  A round is one
+    sum over all rows; only a few numbers per domain reach the driver.  Ends at the targets,
+    or when a round gains nothing.  Domains without tokens cannot meet a target and are left
+    out; an empty table gives no steps.
     """
     cols = [F.col(f"p_{d}") for d in DOMAINS]
-    tokens = F.col("n_tokens")
-    sums = [F.sum(tokens * c).alias(f"t{i}") for i, c in enumerate(cols)] + [
-        F.sum(tokens * a * b).alias(f"m{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)
-    ]
-    first = soft.agg(*sums).first()
     k = range(len(DOMAINS))
-    now = np.array([first[f"t{i}"] or 0.0 for i in k])
+    steps: list[list[float]] = []
+
+    def state() -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens per domain, and the moments of what has a positive rate."""
+        rows = soft.select("n_tokens", *cols, rate(steps).alias("_rate"))
+        mass = F.when(F.col("_rate") > 0, F.col("n_tokens")).otherwise(0)
+        got = rows.agg(
+            *[F.sum(F.col("n_tokens") * c * F.col("_rate")).alias(f"t{i}") for i, c in enumerate(cols)],
+            *[F.sum(mass * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in k for j in k],
+        ).first()
+        return (
+            np.array([got[f"t{i}"] or 0.0 for i in k]),
+            np.array([[got[f"m{i}_{j}"] or 0.0 for j in k] for i in k]),
+        )
+
+    now, moments = state()
     if not now.sum():
         return []
-    inverse = np.linalg.pinv(
-        np.array([[first[f"m{i}_{j}"] or 0.0 for j in k] for i in k]), rcond=1e-9, hermitian=True
-    )
     share = np.array([targets[d] for d in DOMAINS], dtype=float)
     share /= share.sum()
     if total is None:
         total = now[0] / share[0] if now[0] and share[0] else now.sum()
     goal = np.where(now > 0, share * total, 0.0)
-    steps: list[list[float]] = []
-    before = np.full(len(DOMAINS), np.inf)
-    # Ends at the targets, or where equal posteriors leave nothing to gain.
-    while (
-        min(np.abs(now - goal).max(), np.abs(now - before).max()) > CLOSE * total
-        and len(steps) < ROUNDS
-    ):
-        before = now
-        steps.append([float(f"{c:.9g}") for c in inverse @ (now - goal)])
-        got = soft.select(tokens, *cols, rate(steps).alias("_rate")).agg(
-            *[F.sum(tokens * c * F.col("_rate")).alias(f"t{i}") for i, c in enumerate(cols)]
-        ).first()
-        now = np.array([got[f"t{i}"] or 0.0 for i in k])
+    whole = np.linalg.pinv(moments, rcond=1e-6, hermitian=True)
+
+    def distance(tokens: np.ndarray) -> float:
+        return float((tokens - goal) @ whole @ (tokens - goal))
+
+    while np.abs(now - goal).max() > CLOSE * total and len(steps) < ROUNDS:
+        active = np.linalg.pinv(moments, rcond=1e-6, hermitian=True)
+        best, old = None, list(steps)
+        # The last, with the moments of all documents, is the step that never overshoots.
+        for inverse, length in ((active, 1.0), (active, 0.5), (active, 0.25), (whole, 1.0)):
+            move = [float(f"{length * c:.9g}") for c in inverse @ (now - goal)]
+            steps[:] = [*old, move]
+            tried = state()
+            if best is None or distance(tried[0]) < distance(best[0][0]):
+                best = tried, move
+            if distance(tried[0]) < (1 - 0.5 * length) * distance(now):
+                break
+        if distance(best[0][0]) > 0.99 * distance(now):
+            steps[:] = old
+            break
+        (now, moments), steps[:] = best[0], [*old, best[1]]
     return steps
 
 
