@@ -13,6 +13,7 @@ from storeloom.llm.merkle import edit_trace
 from storeloom.llm.mixing import mix
 from storeloom.llm.ordinal import grade_documents
 from storeloom.llm.quality_forest import quality_rules
+from storeloom.llm.simhash import near_duplicates
 from storeloom.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -72,3 +73,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return grade_documents(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op9_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
