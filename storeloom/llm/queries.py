@@ -14,6 +14,7 @@ from storeloom.llm.mixing import mix
 from storeloom.llm.ordinal import grade_documents
 from storeloom.llm.quality_forest import quality_rules
 from storeloom.llm.simhash import near_duplicates
+from storeloom.llm.suffix_dedup import substring_dedup
 from storeloom.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -78,3 +79,14 @@ def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
