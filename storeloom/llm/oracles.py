@@ -117,3 +117,21 @@ SELECT doc_id, sentence_ids,
        (length(sentence_ids) - length(replace(sentence_ids, '<Unknown>', ''))) // 9 AS n_unknown
 FROM l
 """
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, t, sha1(t) AS hex, max(page_id) OVER (PARTITION BY t) AS last_id FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c:
+        substr('0000000100100011010001010110011110001001101010111100110111101111',
+               4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits FROM h)
+SELECT page_id, strlen(t) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j:
+           (substr(bits, i * 5 + j + 1, 1))::INTEGER * (16 >> j::INTEGER)))::INTEGER, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to,
+       true AS complete
+FROM b
+"""

@@ -15,7 +15,9 @@ from storeloom.llm.ordinal import grade_documents
 from storeloom.llm.quality_forest import quality_rules
 from storeloom.llm.simhash import near_duplicates
 from storeloom.llm.suffix_dedup import substring_dedup
+from storeloom.llm.warc import read_archives, write_archives
 from storeloom.plans.registry import Query
+from storeloom.session import work_folder
 
 REGISTRY: dict[str, Query] = {}
 
@@ -90,3 +92,12 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op4_warc_segments", oracles.WARC)
+def warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"
+    )
