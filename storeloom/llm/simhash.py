@@ -21,6 +21,9 @@ from storeloom.llm.common import HIGHEST, saved
 BITS = 64
 # A group of more fingerprints is split by further blocks of bits.
 GROUP_ROWS = 20_000
+# Groups with no more bits than these free are not split: they have 2^14 members at most.
+FEW_BITS = 14
+ALL_BITS = (1 << BITS) - 1
 LEAF, FAN = 16, 8  # fingerprints under a lowest node, nodes under an upper one
 PIECE = 100_000  # words hashed at a time
 BATCH_PAIRS = 1 << 16  # pairs of nodes looked at together
@@ -201,29 +204,27 @@ def near_links(prints: DataFrame, distance: int = 3, group_rows: int = GROUP_ROW
     Each fingerprint goes to the groups of its ``distance + 1`` blocks.  Groups of more than
     ``group_rows`` are counted first and go on to finer ones instead, by the same rule over
     the bits that are still free; as all fingerprints differ, a group of n free bits has at
-    most 2^n, which ends the splitting whatever the data.
+    most 2^n, which ends the splitting after six levels whatever the data.
     """
+    spark = prints.sparkSession
     level = prints.select(F.lit(0).cast("long").alias("_mask"), "_bits")
     masks = [0]  # the masks of the groups to be split
     links = []
     while masks:
-        pieces = F.lit(None).cast("array<bigint>")
-        finer = []
-        for mask in masks:
-            more = [mask | b for b in _blocks(~mask & (1 << BITS) - 1, distance + 1)]
-            finer += more
-            pieces = F.when(
-                F.col("_mask") == _signed(mask), F.array(*[F.lit(_signed(m)) for m in more])
-            ).otherwise(pieces)
-        rows = level.select(F.explode(pieces).alias("_mask"), "_bits").select(
-            "_mask", F.col("_mask").bitwiseAND(F.col("_bits")).alias("_pattern"), "_bits"
-        )
+        finer = [
+            (_signed(mask), [_signed(mask | b) for b in _blocks(~mask & ALL_BITS, distance + 1)])
+            for mask in masks
+        ]
+        # At most (distance + 1) ^ 6 masks, as masks that leave few bits free are not split.
+        pieces = F.broadcast(spark.createDataFrame(finer, "_mask long, _finer array<long>"))
+        rows = level.join(pieces, "_mask").select(F.explode("_finer").alias("_mask"), "_bits")
+        rows = rows.withColumn("_pattern", F.col("_mask").bitwiseAND(F.col("_bits")))
         if masks != [0]:
             rows = rows.distinct()  # a finer group can be reached over several coarser ones
         large = saved(
             rows.groupBy("_mask", "_pattern")
             .agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > group_rows)
+            .filter((F.col("_n") > group_rows) & (F.bit_count("_mask") < BITS - FEW_BITS))
             .select("_mask", "_pattern"),
             "simhash-large",
         )
@@ -239,7 +240,7 @@ def near_links(prints: DataFrame, distance: int = 3, group_rows: int = GROUP_ROW
                 rows.join(large, ["_mask", "_pattern"], "left_semi").select("_mask", "_bits"),
                 "simhash-level",
             )
-        masks = sorted(m & (1 << BITS) - 1 for m in large_masks)
+        masks = sorted(m & ALL_BITS for m in large_masks)
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
