@@ -374,22 +374,26 @@ def decode(encoded: DataFrame, ranks: Mapping[bytes, int], id_col: str = "doc_id
     )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [_values(x).astype("<u4") for x in batch.column("ids")]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([sha256(x.tobytes()).hexdigest() for x in ids]),
-                pa.array([sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
-def token_digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        columns = [
+            batch.column(0),
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+            pa.array(
+                [sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()], pa.string()
+            ),
+        ]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            columns, names = [*columns, batch.column("ids")], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def token_digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens`` and the SHA-256 of the ids and of the bytes."""
-    return decoded.select(F.col(id_col).alias("doc_id"), "ids", "decoded").mapInArrow(
-        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return decoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids", "decoded").mapInArrow(
+        lambda batches: _digests(batches, keep_ids), schema + ", ids array<int>" * keep_ids
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain_names(df: DataFrame, *names: str) -> DataFrame:
-    """Without the columns of these names, which an operator is about to add."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+class Folded:
+    """A table as two columns, ``_rest`` and ``_text``, so that no name of its own can clash.
+
+    ``unfolded`` gives its columns back in their order, but for those called like a new one,
+    with the new ones behind.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str, new: Sequence[str]) -> None:
+        taken = {n.lower() for n in new}
+        self.text_col, self.new = text_col, list(new)
+        self.columns = [c for c in docs.columns if c.lower() not in taken]
+        rest = [F.col(f"`{c}`") for c in self.columns if c != text_col]
+        self.rows = docs.select(F.struct(*rest).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
+
+    def unfolded(self, df: DataFrame) -> DataFrame:
+        own = [
+            F.col("_text").alias(c) if c == self.text_col else F.col(f"_rest.`{c}`").alias(c)
+            for c in self.columns
+        ]
+        return df.select(*own, *self.new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storeloom.llm.common import HIGHEST, SPACES, ascii_lower, body, plain_names, saved
+from storeloom.llm.common import HIGHEST, SPACES, Folded, ascii_lower, body, saved
 
 
 def line_key(line: Column) -> Column:
@@ -36,10 +36,11 @@ def line_dedup(
     sides of the join with the lines plain exchanges that Spark can split where a key is
     hot.  The text itself moves once, to meet the positions to drop.
     """
-    rows = plain_names(docs, "n_lines", "n_dropped").withColumns(
+    folded = Folded(docs, text_col, ["n_lines", "n_dropped"])
+    rows = folded.rows.withColumns(
         {
-            "_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(HIGHEST)),
-            "_text": body(text_col),
+            "_doc": F.coalesce(F.col(f"_rest.`{id_col}`").cast("long"), F.lit(HIGHEST)),
+            "_text": body("_text"),
         }
     ).withColumn("_row", F.unhex(F.md5("_text")))
     lines = (
@@ -67,10 +68,12 @@ def line_dedup(
     places = F.sequence(F.lit(0), F.size("_lines") - 1)
     left = F.array_except(places, F.col("_drop"))
     kept = F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n")
-    return split.withColumns(
-        {
-            text_col: F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        }
-    ).drop("_doc", "_text", "_row", "_drop", "_lines")
+    return folded.unfolded(
+        split.withColumns(
+            {
+                "_text": F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept),
+                "n_lines": F.size("_lines").cast("long"),
+                "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+            }
+        )
+    )

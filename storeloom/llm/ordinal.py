@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storeloom.llm.common import plain_names
+from storeloom.llm.common import Folded
 
 GRADES = 3  # a point for good writing and one for clean language: 0, 1 or 2
 BUCKETS = 1 << 18
@@ -131,13 +131,15 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, max_loss: float = MAX_LOSS)
 
 def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = batch.num_columns - 1
-        docs = [buckets(t) for t in batch.column(own).to_pylist()]
+        docs = [buckets(t) for t in batch.column("_text").to_pylist()]
         tail = tails(model.cuts, _sums(model.weights, docs))
-        expected = tail.sum(1)
-        columns = [batch.column(i) for i in range(own)]
-        columns += [pa.array(expected), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= model.least)]
-        names = [*batch.schema.names[:own], "expected_grade", "p_top", "kept"]
+        columns = [
+            *batch.columns,
+            pa.array(tail.sum(1)),
+            pa.array(tail[:, -1]),
+            pa.array(tail[:, -1] >= model.least),
+        ]
+        names = [*batch.schema.names, "expected_grade", "p_top", "kept"]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -196,17 +198,17 @@ def grade_documents(
 
     One pass over the texts after the bounded fit, no shuffle.
     """
-    rest = plain_names(docs, "expected_grade", "p_top", "kept")
-    model = fit_grades(docs, labels, id_col, text_col)
-    if model is None:
-        return rest.withColumns(
-            {"expected_grade": F.lit(float(GRADES - 1)), "p_top": F.lit(1.0), "kept": F.lit(True)}
-        )
     added = [
         T.StructField("expected_grade", T.DoubleType()),
         T.StructField("p_top", T.DoubleType()),
         T.StructField("kept", T.BooleanType()),
     ]
-    return rest.withColumn("_text", F.col(text_col)).mapInArrow(
-        lambda batches: _graded(batches, model), T.StructType([*rest.schema.fields, *added])
+    folded = Folded(docs, text_col, [f.name for f in added])
+    model = fit_grades(docs, labels, id_col, text_col)
+    if model is None:
+        top = {"expected_grade": F.lit(float(GRADES - 1)), "p_top": F.lit(1.0), "kept": F.lit(True)}
+        return folded.unfolded(folded.rows.withColumns(top))
+    schema = T.StructType([*folded.rows.schema.fields, *added])
+    return folded.unfolded(
+        folded.rows.mapInArrow(lambda batches: _graded(batches, model), schema)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storeloom.llm.common import plain_names
+from storeloom.llm.common import Folded
 
 # The base rules and the characters they count.
 SYMBOLS = b"#*$%&|<>"
@@ -229,26 +229,30 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS)
     return float((lowest + above[0]) / 2) if len(above) else math.inf
 
 
-def _statistics_table(batches: Iterator[pa.RecordBatch], forest: Forest | None) -> Iterator[pa.RecordBatch]:
-    """The batch's other columns, then base statistics, verdicts and ratios; text is last."""
+_VERDICTS = ["base_failed", "anomaly", "kept"]
+
+
+def _statistics_table(
+    batches: Iterator[pa.RecordBatch], forest: Forest | None
+) -> Iterator[pa.RecordBatch]:
+    """The batch's columns, then base statistics and verdicts, without a forest the ratios."""
     for batch in batches:
         found = [statistics(t) for t in batch.column("_text").to_pylist()]
         base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
         ratios = np.array([r for _, r in found]).reshape(-1, len(RATIOS))
-        failed = [base_failed(b) for b, _ in found]
+        failed = np.array([base_failed(b) for b, _ in found], bool)
         score = np.zeros(len(found)) if forest is None else anomaly(forest, ratios)
-        kept = ~np.array(failed, bool) & (forest is None or score <= forest.threshold)
-        own = batch.schema.names.index("_text")
-        columns = [batch.column(i) for i in range(own)] + [pa.array(c) for c in base.T]
-        columns += [pa.array(failed, pa.bool_()), pa.array(score), pa.array(kept, pa.bool_())]
-        names = [*batch.schema.names[:own], *BASE, "base_failed", "anomaly", "kept"]
+        kept = ~failed if forest is None else ~failed & (score <= forest.threshold)
+        columns = [*batch.columns, *[pa.array(c) for c in base.T]]
+        columns += [pa.array(failed), pa.array(score), pa.array(kept)]
+        names = [*batch.schema.names, *BASE, *_VERDICTS]
         if forest is None:
             columns += [pa.array(c) for c in ratios.T]
             names += RATIOS
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _scan(rows: DataFrame, text_col: str, forest: Forest | None) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, forest: Forest | None) -> DataFrame:
     added = [T.StructField(n, T.LongType()) for n in BASE]
     added += [
         T.StructField("base_failed", T.BooleanType()),
@@ -257,10 +261,10 @@ def _scan(rows: DataFrame, text_col: str, forest: Forest | None) -> DataFrame:
     ]
     if forest is None:
         added += [T.StructField(n, T.DoubleType()) for n in RATIOS]
-    rest = plain_names(rows, *[f.name for f in added])
-    schema = T.StructType([*rest.schema.fields, *added])
-    return rest.withColumn("_text", F.col(text_col)).mapInArrow(
-        lambda batches: _statistics_table(batches, forest), schema
+    folded = Folded(docs, text_col, [f.name for f in added])
+    schema = T.StructType([*folded.rows.schema.fields, *added])
+    return folded.unfolded(
+        folded.rows.mapInArrow(lambda batches: _statistics_table(batches, forest), schema)
     )
 
 
