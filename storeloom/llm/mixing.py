@@ -15,18 +15,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storeloom.llm.common import CAPITALS, body, saved
+from storeloom.llm.common import SPACES, body, saved
 
 DOMAINS = ("clean", "poor", "toxic")
 # Shares of the tokens after mixing.  Without a given total, the total is such that the
 # first domain keeps all its tokens.
 TARGETS = {"clean": 0.92, "poor": 0.05, "toxic": 0.03}
 
+MARKS = r"[#*$%&|<>!]+"
 BUCKETS = 1 << 16  # hashed features
 FIT_ROWS = 20_000  # labelled documents the classifier is fitted on, at most
 SHRINK = 20.0  # documents of prior weight behind every feature's share
 CHI2 = 20.0  # features whose counts deviate less from chance carry no weight
-ROUNDS = 20
+ROUNDS = 8
 CLOSE = 1e-6  # stop when all domains are this close to their targets, as a share of all
 
 
@@ -46,31 +47,31 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words between ASCII white space, as an array."""
-    flat = F.translate(text, CAPITALS + "\t\n\x0b\x0c\r", CAPITALS.lower() + " " * 5)
-    return F.array_remove(F.split(flat, " "), "")
+    """Lower-case words between ASCII white space, as an array; none in an empty text."""
+    trimmed = F.btrim(F.lower(text), F.lit(SPACES))
+    found = F.split(trimmed, "[ \t\n\x0b\x0c\r]+")
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def marks(text: Column) -> Column:
-    """What is left of each word without ASCII letters and digits, as an array."""
-    letters = CAPITALS + CAPITALS.lower() + "0123456789"
-    return F.array_remove(F.split(F.translate(text, letters, ""), "[ \t\n\x0b\x0c\r]+"), "")
+    """Distinct runs of symbols and exclamation marks, as an array."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(MARKS), F.lit(0)))
 
 
-def features(found: Column, left: Column) -> Column:
-    """Distinct buckets of the words and of their marks."""
+def bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
-    def bucket(word: Column) -> Column:
-        return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
-    return F.array_distinct(F.transform(F.concat(found, F.array_distinct(left)), bucket))
-
-
-def _with_features(docs: DataFrame, text_col: str) -> DataFrame:
+def _with_features(docs: DataFrame, text_col: str, known: Column | None = None) -> DataFrame:
+    """Add ``_tokens`` and ``_features``: the distinct buckets, of those that are known."""
     text = body(text_col)
-    return docs.withColumn("_words", words(text)).withColumns(
-        {"_tokens": F.size("_words").cast("long"), "_features": features(F.col("_words"), marks(text))}
-    ).drop("_words")
+    rows = docs.withColumns({"_words": words(text), "_marks": marks(text)})
+    found = F.transform(F.concat("_words", "_marks"), bucket)
+    if known is not None:
+        found = F.filter(found, lambda b: known[b])
+    return rows.withColumns(
+        {"_tokens": F.size("_words").cast("long"), "_features": F.array_distinct(found)}
+    ).drop("_words", "_marks")
 
 
 def fit_domains(
@@ -128,9 +129,9 @@ def fit_domains(
     return DomainModel(tuple(round(math.log(p), 6) for p in prior), weights)
 
 
-def _table(values: Sequence[float]) -> Column:
+def _table(values: Sequence[float], kind: str = "double") -> Column:
     """A constant array that the optimizer folds once."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _score(model: DomainModel, i: int) -> Column:
@@ -149,11 +150,10 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
     digits and sum to 1, so sums over them do not depend on the order of the rows.
     """
     rows = docs.withColumn("_text", body(text_col))
-    rows = _with_features(rows, "_text")
-    telling = sorted(model.weights)
-    if telling:
-        known = F.split(F.lit(",".join(map(str, telling))), ",").cast("array<int>")
-        rows = rows.withColumn("_features", F.array_intersect("_features", known))
+    known = None
+    if model.weights:
+        known = _table([str(b in model.weights).lower() for b in range(BUCKETS)], "boolean")
+    rows = _with_features(rows, "_text", known)
     scores = [_score(model, i) for i in range(len(DOMAINS))]
     rows = rows.withColumns({f"_s{i}": s for i, s in enumerate(scores)})
     top = F.greatest(*[f"_s{i}" for i in range(len(scores))])
@@ -171,27 +171,38 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
     return rows.drop("_text", "_tokens", "_features", *[f"_s{i}" for i in range(len(scores))])
 
 
-def rate(steps: Sequence[Sequence[float]]) -> Column:
+def least_rate(keep_from: float | None) -> Column:
+    """The bound of a row's rate: 1 from a posterior of the first domain on, else 0."""
+    if keep_from is None:
+        return F.lit(0.0)
+    return F.when(F.col(f"p_{DOMAINS[0]}") >= keep_from, 1.0).otherwise(0.0)
+
+
+def rate(steps: Sequence[Sequence[float]], keep_from: float | None = None) -> Column:
     """The rate after the given projected steps, from 1, for a row with posteriors."""
-    r = F.lit(1.0)
+    r, least = F.lit(1.0), least_rate(keep_from)
     for step in steps:
         move = sum(
             (F.col(f"p_{d}") * F.lit(float(c)) for d, c in zip(DOMAINS[1:], step[1:])),
             F.col(f"p_{DOMAINS[0]}") * F.lit(float(step[0])),
         )
-        r = F.greatest(F.lit(0.0), r - move)
+        r = F.greatest(least, r - move)
     return r
 
 
 def fit_rates(
-    soft: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None
+    soft: DataFrame,
+    targets: Mapping[str, float] = TARGETS,
+    total: float | None = None,
+    keep_from: float | None = None,
 ) -> list[list[float]]:
     """Steps of projected gradient descent, to be given to ``rate``.
 
     Minimises the squared distance of the domains' expected tokens from their targets over
-    nonnegative rates.  Rates move in the metric of token counts, so documents of equal
+    nonnegative rates, or such that are at least 1 where the posterior of the first domain
+    reaches ``keep_from``.  Rates move in the metric of token counts, so documents of equal
     posteriors keep equal rates, and the gradient is scaled by the token moments of the
-    documents with a positive rate, which makes one the right step length.  A round is one
+    documents whose rate is above its bound, which makes one the right step length.  A round is one
     sum over all rows; only a few numbers per domain reach the driver.  Ends at the targets,
     or when a round gains nothing.  Domains without tokens cannot meet a target and are left
     out; an empty table gives no steps.
@@ -201,9 +212,10 @@ def fit_rates(
     steps: list[list[float]] = []
 
     def state() -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens per domain, and the moments of what has a positive rate."""
-        rows = soft.select("n_tokens", *cols, rate(steps).alias("_rate"))
-        mass = F.when(F.col("_rate") > 0, F.col("n_tokens")).otherwise(0)
+        """Expected tokens per domain, and the moments of what is above its bound."""
+        rows = soft.select("n_tokens", *cols, rate(steps, keep_from).alias("_rate"))
+        free = F.col("_rate") > least_rate(keep_from) if steps else F.lit(True)
+        mass = F.when(free, F.col("n_tokens")).otherwise(0)
         got = rows.agg(
             *[F.sum(F.col("n_tokens") * c * F.col("_rate")).alias(f"t{i}") for i, c in enumerate(cols)],
             *[F.sum(mass * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in k for j in k],
@@ -238,17 +250,17 @@ def fit_rates(
                 best = tried, move
             if distance(tried[0]) < (1 - 0.5 * length) * distance(now):
                 break
-        if distance(best[0][0]) > 0.99 * distance(now):
+        if distance(best[0][0]) > 0.95 * distance(now):
             steps[:] = old
             break
         (now, moments), steps[:] = best[0], [*old, best[1]]
     return steps
 
 
-def copies(steps: Sequence[Sequence[float]], id_col: str, seed: int = 11) -> Column:
+def copies(rates: Column, id_col: str, seed: int = 11) -> Column:
     """How often a row is taken: its rate, rounded up or down by a hash of its id."""
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    return F.floor(rate(steps) + chance).cast("long")
+    return F.floor(rates + chance).cast("long")
 
 
 def mix(
@@ -275,7 +287,7 @@ def mix(
         "mixing-posteriors",
     )
     steps = fit_rates(soft, targets, total)
-    return soft.withColumns({"rate": rate(steps), "copies": copies(steps, id_col)})
+    return soft.withColumns({"rate": rate(steps), "copies": copies(rate(steps), id_col)})
 
 
 def take_mixed(
@@ -284,21 +296,22 @@ def take_mixed(
     targets: Mapping[str, float] = TARGETS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep_from: float | None = 0.5,
 ) -> DataFrame:
     """The rows of ``docs`` that mixing takes at least once, each once, columns unchanged.
 
-    With the default total no rate of the first domain is below one, so none of its
-    documents goes; the others are thinned out to their targets.
+    Documents whose posterior of the first domain reaches ``keep_from`` have a rate of at
+    least one and so stay; the others are thinned out towards the targets.  Null and empty
+    texts have the posterior of the prior.
     """
     model = fit_domains(docs, labels, id_col, text_col)
     names = [f"p_{d}" for d in DOMAINS]
     narrow = docs.select(id_col, F.col(text_col).alias("_body"))
     soft = with_posteriors(narrow, model, "_body").select("n_tokens", *names)
-    steps = fit_rates(saved(soft, "mixing-posteriors"), targets)
+    steps = fit_rates(saved(soft, "mixing-posteriors"), targets, keep_from=keep_from)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(
         F.struct(*columns).alias("_whole"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body")
     )
-    return (
-        with_posteriors(whole, model, "_body").filter(copies(steps, "_id") >= 1).select("_whole.*")
-    )
+    taken = copies(rate(steps, keep_from), "_id") >= 1
+    return with_posteriors(whole, model, "_body").filter(taken).select("_whole.*")
