@@ -25,6 +25,11 @@ def micros(df: DataFrame, col: str) -> Column:
     return seconds * 1000000 + in_minute.cast("long")
 
 
+def minutes(df: DataFrame, col: str) -> Column:
+    """Minutes since 1970-01-01; null stays null, which a window function would drop."""
+    return F.floor(micros(df, col) / 60_000_000)
+
+
 def weeks_starting(ts: Column, offset: str) -> Column:
     """Start of the seven-day window holding ``ts``; 1970-01-05 was a Monday."""
     return F.window(ts, "7 days", "7 days", offset).start

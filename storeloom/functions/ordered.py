@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 from storeloom.functions.hot import HOT_ROWS, hot_keys, mark_hot
 
 
+LOWEST = -(2**63)
+
+
+def place_of(bucket: Column) -> Column:
+    """The bucket as a long, a null one as the lowest."""
+    return F.coalesce(bucket.cast("long"), F.lit(LOWEST))
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,11 +36,12 @@ def running_sum(
 ) -> DataFrame:
     """Add ``out``: the sum of ``measure`` over the key's rows up to and with this one.
 
-    ``bucket`` must move with ``order``: every row of a lower bucket sorts before every
-    row of a higher one (the other way round with ``newest_first``); neither may be null
-    for a hot key.  What the earlier
-    buckets of a hot key add up to comes in as one more row at the head of each bucket,
-    so the rows are shuffled once, on the key and, for a hot key, the bucket.
+    ``bucket``, a number, must move with ``order``: every row of a lower bucket sorts before
+    every row of a higher one (the other way round with ``newest_first``).  Where the order
+    is null the bucket is to be null too; such rows form the lowest bucket, as they sort
+    first (last with ``newest_first``).  What the earlier buckets of a hot key add up to
+    comes in as one more row at the head of each bucket, so the rows are shuffled once, on
+    the key and, for a hot key, the bucket.
     """
     from_start = (Window.unboundedPreceding, 0)
     if keys:
@@ -45,7 +54,7 @@ def running_sum(
         marked = df.withColumn("_hot", F.lit(True))
     rows = marked.select(
         *df.columns,
-        F.when(F.col("_hot"), bucket).alias("_bucket"),
+        F.when(F.col("_hot"), place_of(bucket)).alias("_bucket"),
         measure.alias("_measure"),
         F.lit(False).alias("_head"),
     )

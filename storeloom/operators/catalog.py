@@ -187,7 +187,10 @@ def route(
     per_pick = candidates.groupBy("_rank", "_pick").agg(
         F.first("_newest").alias("_newest"),
         F.max_by("_target", F.struct("_place")).alias("_listed_first"),
-        F.min_by("_target", F.struct("_age", "_place")).alias("_created_last"),
+        # An entry without a date is older than any with one.
+        F.min_by("_target", F.struct(F.col("_age").isNull(), "_age", "_place")).alias(
+            "_created_last"
+        ),
     )
     choice = F.when(F.col("_newest"), F.col("_created_last")).otherwise(F.col("_listed_first"))
     best = per_pick.agg(F.min_by(choice, F.struct("_rank", "_pick")).alias("_best"))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeloom.functions.hot import HOT_ROWS, hot_keys, mark_hot
+from storeloom.functions.ordered import place_of
 
 # The stages of the lead funnel, in order.
 FUNNEL_STAGES = ("Frio", "Morno", "Quente", "Convertido")
+OTHER = "other"
 # Digits in a person's and in a company's document.
 DOCUMENT_CLASSES = {11: "CPF", 14: "CNPJ"}
 
@@ -63,7 +65,8 @@ def transitions(
     """How often one status directly follows another for the same entity.
 
     The history of an entity with very many events is cut into buckets along ``order``
-    (minutes, say).  Pairs inside a bucket come from ``lag``; the pairs across buckets
+    (minutes, say), numbers that are null where the order is; events without a time come
+    first.  Pairs inside a bucket come from ``lag``; the pairs across buckets
     from the first and last event of each bucket.
     """
     rows = events.filter(F.col(key).isNotNull()).select(key, status, *order, bucket.alias("_at"))
@@ -76,7 +79,7 @@ def transitions(
     inside = Window.partitionBy(key, "_b").orderBy(*by_order)
     paired = (
         mark_hot(rows, hot)
-        .withColumn("_b", F.when(F.col("_hot"), F.col("_at")))
+        .withColumn("_b", F.when(F.col("_hot"), place_of(F.col("_at"))))
         .withColumns(
             {
                 "_p": F.lag(F.struct(status)).over(inside),
@@ -162,21 +165,26 @@ def funnel(
 ) -> DataFrame:
     """Leads per origin and stage, with the share of the origin's leads.
 
-    Each origin reports every stage, in funnel order, also those without leads.
+    Each origin reports every stage, in funnel order, also those without leads, and last,
+    if it has any, its leads of no known stage as ``other``.
     """
     per_origin = leads.groupBy(origin).agg(
         F.count(F.lit(1)).alias("_all"),
         *[F.count_if(F.col(stage) == s).alias(f"_s{i}") for i, s in enumerate(stages)],
+        F.count_if(~F.coalesce(F.col(stage).isin(list(stages)), F.lit(False))).alias(
+            f"_s{len(stages)}"
+        ),
     )
     lines = F.array(
         *[
             F.struct(
                 F.lit(i).alias("position"), F.lit(s).alias("stage"), F.col(f"_s{i}").alias("n")
             )
-            for i, s in enumerate(stages)
+            for i, s in enumerate([*stages, OTHER])
         ]
     )
-    return per_origin.select(origin, "_all", F.inline(lines)).select(
+    told = F.filter(lines, lambda x: (x["position"] < len(stages)) | (x["n"] > 0))
+    return per_origin.select(origin, "_all", F.inline(told)).select(
         origin,
         "position",
         "stage",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +15,16 @@ from storeloom.functions.ttl_slices import carry, keep_first, slice_kept, slice_
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The earliest row of every key.
+    """The earliest row of every key; rows with a null in their key are all kept.
 
     Spark keeps one row per key inside every task before the shuffle, so a key with many
     copies sends one row per task.
     """
-    return _one_by_key(df, keys, [F.col(c).asc() for c in order])
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+    first = _one_by_key(df.filter(known), keys, [F.col(c).asc() for c in order])
+    if not any(df.schema[c].nullable for c in keys):
+        return first
+    return first.unionByName(df.filter(~known))
 
 
 def last_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

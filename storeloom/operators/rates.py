@@ -36,13 +36,17 @@ def rate_tumbling(
 ) -> DataFrame:
     """Requests per window at every level, with the error code where a limit is passed.
 
-    All levels share one scan and one grouping-sets aggregation, combined before the
-    shuffle.
+    All levels share one grouping-sets aggregation, combined before the shuffle.  Requests
+    without a time are counted too, in a window whose start is null.
     """
     columns = [level.column for level in levels]
-    slim = requests.select(
-        F.window(F.col(ts), width).start.alias("window_start"),
-        *[F.col(c).cast("string").alias(c) for c in columns],
+    named = [F.col(c).cast("string").alias(c) for c in columns]
+    timed = requests.select(F.window(F.col(ts), width).start.alias("window_start"), *named)
+    start = timed.schema["window_start"].dataType
+    slim = timed.unionByName(
+        requests.filter(F.col(ts).isNull()).select(
+            F.lit(None).cast(start).alias("window_start"), *named
+        )
     )
     counted = slim.groupingSets(
         [["window_start", c] for c in columns], "window_start", *columns

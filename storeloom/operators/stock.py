@@ -53,28 +53,44 @@ def weekly_position(
     quantity: str,
     tz: str | None = None,
     offset: str = MONDAY_0800,
+    until: Column | None = None,
 ) -> DataFrame:
-    """Each item's stock at the weekly cuts that close a week with movements.
+    """Each item's stock at every weekly cut from its first movement on.
 
     A movement belongs to the week that ends at the next cut after it; one exactly on
     the cut opens the next week.  ``tz`` turns UTC into the shop's wall clock first.
-    The running sum sees one row per item and week, not the movements.
+    Weeks without movements are reported too, up to the item's last one or, if that is
+    later, the week of ``until`` (an instant).  Movements without a time have no week and
+    are left out.  The running sum sees one row per item and week, not the movements.
     """
     at = F.col(ts) if tz is None else F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts))
     weekly = moves.groupBy(item, weeks_starting(at, offset).alias("week_start")).agg(
         F.sum(quantity).alias("moved")
     )
-    so_far = (
-        Window.partitionBy(item)
-        .orderBy("week_start")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return weekly.withColumns(
+    by_week = Window.partitionBy(item).orderBy("week_start")
+    week = F.expr("INTERVAL 7 DAYS")
+    after = F.lead("week_start").over(by_week)
+    if until is not None:
+        # The last week of an item is followed by quiet ones up to the one of ``until``.
+        passed = F.floor(F.datediff(until, F.col("week_start")) / 7).cast("int")
+        last = F.make_dt_interval(F.greatest(passed, F.lit(0)) * 7) + F.col("week_start")
+        over = F.when(last > until, last).otherwise(last + week)
+        after = F.coalesce(after, F.greatest(over, F.col("week_start") + week))
+    # The running sum stays as it is in the quiet weeks up to the next one with movements.
+    known = weekly.withColumns(
         {
-            "cut_at": F.col("week_start") + F.expr("INTERVAL 7 DAYS"),
-            "position": F.sum("moved").over(so_far),
+            "position": F.sum("moved").over(by_week.rowsBetween(Window.unboundedPreceding, 0)),
+            "_until": F.coalesce(after, F.col("week_start") + week) - week,
         }
     )
+    weeks = F.sequence("week_start", "_until", week)
+    return known.select(item, F.posexplode(weeks).alias("_quiet", "week_start"), "moved", "position").select(
+        item,
+        "week_start",
+        F.when(F.col("_quiet") == 0, F.col("moved")).otherwise(F.lit(0)).alias("moved"),
+        (F.col("week_start") + week).alias("cut_at"),
+        "position",
+    )
 
 
 def apply_scans(

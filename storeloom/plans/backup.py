@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeloom.sources.snapshots import (
+    finish_snapshot,
     latest_snapshot,
     read_snapshot,
     verify_snapshot,
@@ -22,14 +23,18 @@ class SnapshotMismatch(RuntimeError):
 def backup(
     spark: SparkSession, tables: Mapping[str, DataFrame], root: str, date: str
 ) -> DataFrame:
-    """Write a dated snapshot, read it back and compare; the report has a row per table."""
-    write_snapshot(tables, root, date)
+    """Write a dated snapshot, read it back and compare; the report has a row per table.
+
+    Only a snapshot that agrees is noted as finished, so one that doesn't is never restored.
+    """
+    paths = write_snapshot(tables, root, date, log=False)
     report = verify_snapshot(
-        tables, {name: read_snapshot(spark, root, name, date) for name in tables}
+        tables, {name: read_snapshot(spark, root, name, date, path) for name, path in paths.items()}
     )
     wrong = [r["table_name"] for r in report.filter(~F.col("matches")).collect()]
     if wrong:
         raise SnapshotMismatch(f"snapshot of {date} differs from its source: {wrong}")
+    finish_snapshot(spark, root, date, paths)
     return report
 
 

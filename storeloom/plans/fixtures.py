@@ -52,6 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_tables(spark, sf_dir, [name], TABLES, MONEY)[name]
 
 
+def some_without(df: DataFrame, col: str, row_id: str) -> DataFrame:
+    """The whole table with nulls in ``col`` of every tenth row."""
+    return df.withColumn(col, F.when(F.col(row_id) % 10 > 0, F.col(col)))
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storeloom.operators import keyed
 from storeloom.operators.dedup import dedup_hash, dedup_ttl, first_by_key
-from storeloom.plans.fixtures import table
+from storeloom.plans.fixtures import some_without, table
 from storeloom.plans.registry import query
 
 
@@ -212,3 +212,17 @@ TTL_ORACLE = """
 def dedup_ttl_(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     return dedup_ttl(events, "event_type", "ts", "event_id", 300)
+
+
+@query(
+    "dedup_ttl_hot",
+    TTL_ORACLE.replace("events", "timed").replace(
+        "RECURSIVE", "RECURSIVE timed AS (SELECT * FROM events WHERE event_id % 10 > 0),"
+    )
+    + " UNION ALL SELECT event_id, event_type, NULL AS ts FROM events WHERE event_id % 10 = 0",
+)
+def dedup_ttl_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key cut into slices, some rows without a time, which are all kept."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    timed = some_without(events, "ts", "event_id")
+    return dedup_ttl(timed, "event_type", "ts", "event_id", 300, hot_rows=1)

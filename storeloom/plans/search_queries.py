@@ -91,6 +91,28 @@ def knn_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "knn_join_cells",
+    f"""
+    SELECT query_id, corpus_id, rank, distance FROM (
+        SELECT q.vec_id AS query_id, c.vec_id AS corpus_id,
+               {DISTANCE.format(a="q", b="c")} AS distance,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(
+                   CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9),
+                   c.vec_id) AS rank
+        FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id)
+    WHERE rank <= 2
+    """,
+)
+def knn_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of large query sets, cell by cell."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = knn_join(
+        vectors, vectors, 2, "vec_id", "vec_id", "embedding", skip_same_id=True, broadcast_bytes=0
+    )
+    return near.withColumn("distance", F.round("distance", 6))
+
+
 @query("knn_lsh")
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_lsh(
@@ -134,3 +156,22 @@ def embedding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return search.compact(turns, "conv_id", "turn", "role", "text", 2000).drop("text")
+
+
+@query(
+    "context_compact_hot",
+    """
+    SELECT conv_id, turn, role, used, role = 'system' OR used <= 2000 AS kept FROM (
+        SELECT conv_id, turn, role,
+               CAST(sum(CASE WHEN role = 'system' THEN 0 ELSE length(text) END)
+                   OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST) AS BIGINT) AS used
+        FROM (SELECT * REPLACE (CASE WHEN turn <> 3 THEN turn END AS turn) FROM conversations))
+    """,
+)
+def context_compact_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation cut into buckets, one turn without a number."""
+    turns = table(spark, sf_dir, "conversations")
+    turns = turns.withColumn("turn", F.when(F.col("turn") != 3, F.col("turn")))
+    return search.compact(
+        turns, "conv_id", "turn", "role", "text", 2000, turns_per_bucket=2, hot_rows=1
+    ).drop("text")

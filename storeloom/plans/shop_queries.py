@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeloom.functions.clock import minutes
 from storeloom.operators import crm, stock
-from storeloom.plans.fixtures import contact, table
+from storeloom.plans.fixtures import contact, some_without, table
 from storeloom.plans.registry import query
 
 
@@ -67,8 +68,27 @@ def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     # A minute of the busiest user is still a small task.
-    minute = F.window("ts", "1 minute").start
-    return crm.transitions(events, "user_id", "event_type", ["ts", "event_id"], minute)
+    return crm.transitions(
+        events, "user_id", "event_type", ["ts", "event_id"], minutes(events, "ts")
+    )
+
+
+@query(
+    "status_transitions_hot",
+    """
+    SELECT previous, current, count(*) AS n FROM (
+        SELECT lag(event_type) OVER (PARTITION BY user_id
+                   ORDER BY ts NULLS FIRST, event_id) AS previous, event_type AS current
+        FROM (SELECT * REPLACE (CASE WHEN event_id % 10 > 0 THEN ts END AS ts) FROM events))
+    WHERE previous IS NOT NULL GROUP BY previous, current
+    """,
+)
+def status_transitions_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user cut into buckets, some events without a time."""
+    events = some_without(table(spark, sf_dir, "events"), "ts", "event_id")
+    return crm.transitions(
+        events, "user_id", "event_type", ["ts", "event_id"], minutes(events, "ts"), hot_rows=1
+    )
 
 
 @query(
@@ -147,16 +167,18 @@ def contact_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH leads AS (
         SELECT c_nationkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Frio'
-            WHEN 'FURNITURE' THEN 'Quente' ELSE 'Convertido' END AS stage
+            WHEN 'FURNITURE' THEN 'Quente' WHEN 'MACHINERY' THEN 'other'
+            ELSE 'Convertido' END AS stage
         FROM customer
     ), stages(position, stage) AS (
-        VALUES (0, 'Frio'), (1, 'Morno'), (2, 'Quente'), (3, 'Convertido')
+        VALUES (0, 'Frio'), (1, 'Morno'), (2, 'Quente'), (3, 'Convertido'), (4, 'other')
     ), origins AS (SELECT c_nationkey, count(*) AS n_all FROM leads GROUP BY 1)
     SELECT o.c_nationkey, s.position, s.stage, count(l.stage) AS n,
            round(count(l.stage) / any_value(n_all), 6) AS share
     FROM origins o CROSS JOIN stages s
     LEFT JOIN leads l ON l.c_nationkey = o.c_nationkey AND l.stage = s.stage
     GROUP BY o.c_nationkey, s.position, s.stage
+    HAVING s.position < 4 OR count(l.stage) > 0
     """,
 )
 def lead_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +186,7 @@ def lead_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = (
         F.when(segment == "BUILDING", "Frio")
         .when(segment == "FURNITURE", "Quente")
+        .when(segment == "MACHINERY", "lost")
         .otherwise("Convertido")
     )
     leads = table(spark, sf_dir, "customer").select("c_nationkey", stage.alias("stage"))
@@ -273,17 +296,27 @@ def supplier_purchase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT l_partkey, date_trunc('week', l_shipdate - INTERVAL 8 HOUR) + INTERVAL 8 HOUR
                    AS week_start, CAST(-sum(l_quantity) AS BIGINT) AS moved
         FROM lineitem GROUP BY 1, 2
+    ), last AS (
+        SELECT max(date_trunc('week', o_orderdate - INTERVAL 8 HOUR) + INTERVAL 8 HOUR) AS until
+        FROM orders
+    ), weeks AS (
+        SELECT l_partkey, unnest(generate_series(min(week_start),
+                   greatest(max(week_start), any_value(until)), INTERVAL 7 DAY)) AS week_start
+        FROM weekly, last GROUP BY l_partkey
     )
-    SELECT l_partkey, week_start, moved, week_start + INTERVAL 7 DAY AS cut_at,
+    SELECT l_partkey, week_start, coalesce(moved, 0) AS moved,
+           week_start + INTERVAL 7 DAY AS cut_at,
            CAST(sum(moved) OVER (PARTITION BY l_partkey ORDER BY week_start) AS BIGINT) AS position
-    FROM weekly
+    FROM weeks LEFT JOIN weekly USING (l_partkey, week_start)
     """,
 )
 def weekly_stock_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_shipdate", (-F.col("l_quantity")).cast("bigint").alias("quantity")
     )
-    return stock.weekly_position(moves, "l_partkey", "l_shipdate", "quantity")
+    # The stock is looked at until the week of the last order, also of parts that rest.
+    until = table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()
+    return stock.weekly_position(moves, "l_partkey", "l_shipdate", "quantity", until=until)
 
 
 @query(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeloom.functions.clock import minutes
 from storeloom.operators import ops, outbox, privacy, rates
-from storeloom.plans.fixtures import ntz, table
+from storeloom.plans.fixtures import ntz, some_without, table
 from storeloom.plans.registry import query
 from storeloom.sources.payloads import payload_fields
 
@@ -57,10 +58,26 @@ def outbox_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def drain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    minute = F.window("ts", "1 minute").start
+    minute = minutes(requests, "ts")
     return outbox.drain_plan(requests, "user_id", ["ts", "event_id"], minute, 5)
 
 
+@query(
+    "drain_plan_hot",
+    """
+    SELECT event_id, user_id, ts, CAST((row_number() OVER (
+               PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) - 1) // 5 AS BIGINT) AS slot
+    FROM (SELECT * REPLACE (CASE WHEN event_id % 10 > 0 THEN ts END AS ts) FROM events)
+    """,
+)
+def drain_plan_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user cut into buckets, some requests without a time."""
+    events = some_without(table(spark, sf_dir, "events"), "ts", "event_id")
+    requests = events.select("event_id", "user_id", "ts")
+    minute = minutes(requests, "ts")
+    return outbox.drain_plan(requests, "user_id", ["ts", "event_id"], minute, 5, hot_rows=1)
+
+
 LEVELS = (
     rates.Level("shop", "user_id", 1, 633),
     rates.Level("ip", "event_type", 5, 133),

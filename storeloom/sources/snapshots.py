@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,31 +17,85 @@ DATE_COLUMN = "snapshot_date"
 LOG = "finished_snapshots"
 
 
-def write_snapshot(tables: Mapping[str, DataFrame], root: str, date: str) -> None:
-    """Write each table to ``root/<name>/snapshot_date=<date>`` and note it in the log.
+_LOG_SCHEMA = f"table_name STRING, {DATE_COLUMN} DATE, path STRING, logged_at BIGINT"
 
-    Each table is one parallel parquet write; a repeated run of the same day replaces
-    that day only.  The log is written last, so a broken run leaves no entry.
+
+def write_snapshot(
+    tables: Mapping[str, DataFrame], root: str, date: str, log: bool = True
+) -> dict[str, str]:
+    """Write each table to a dated folder below ``root`` and note it in the log.
+
+    Each table is one parallel parquet write.  A finished snapshot is never written over:
+    a further run of the same day gets folders of its own, and the log, written last, says
+    which one counts.  So a run that breaks leaves the former one in force.  Without ``log``
+    the caller notes the returned folders (by table, relative to ``root``) when they are
+    checked.
     """
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    paths = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/{DATE_COLUMN}={date}")
-    if tables:
-        spark = next(iter(tables.values())).sparkSession
-        done = [(name, date) for name in tables]
-        schema = f"table_name STRING, {DATE_COLUMN} STRING"
-        log_snapshots(spark.createDataFrame(done, schema), root)
+        folder = f"{name}/{DATE_COLUMN}={date}"
+        if _finished(spark, root, name, date) is not None:
+            folder = f"reruns/{uuid.uuid4().hex}/{folder}"
+        df.write.mode("overwrite").parquet(f"{root}/{folder}")
+        paths[name] = folder
+    if log:
+        finish_snapshot(spark, root, date, paths)
+    return paths
+
+
+def finish_snapshot(spark: SparkSession, root: str, date: str, paths: Mapping[str, str]) -> None:
+    """Note written folders as the snapshot of their date."""
+    done = [(name, date, path) for name, path in paths.items()]
+    schema = f"table_name STRING, {DATE_COLUMN} STRING, path STRING"
+    log_snapshots(spark.createDataFrame(done, schema), root)
 
 
 def log_snapshots(done: DataFrame, root: str) -> None:
-    """Note (table_name, snapshot_date) pairs in the log of finished snapshots."""
-    done.select("table_name", F.col(DATE_COLUMN).cast("date")).write.mode("append").parquet(
-        f"{root}/{LOG}"
-    )
+    """Note (table_name, snapshot_date[, path]) rows in the log of finished snapshots."""
+    path = F.col("path") if "path" in done.columns else F.lit(None).cast("string")
+    done.select(
+        "table_name",
+        F.col(DATE_COLUMN).cast("date"),
+        path.alias("path"),
+        F.lit(time.time_ns()).alias("logged_at"),
+    ).write.mode("append").parquet(f"{root}/{LOG}")
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame | None:
+    """The log; None before the first entry."""
+    try:
+        return spark.read.schema(_LOG_SCHEMA).parquet(f"{root}/{LOG}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _finished(spark: SparkSession, root: str, name: str, date: str | None = None):
+    """(date, folder) of the newest finished snapshot of a table, or None."""
+    log = _log(spark, root)
+    if log is None:
+        return None
+    mine = log.filter(F.col("table_name") == name)
+    if date is not None:
+        mine = mine.filter(F.col(DATE_COLUMN) == F.lit(date).cast("date"))
+    newest = mine.agg(F.max(F.struct(DATE_COLUMN, F.coalesce("logged_at", F.lit(0)), "path"))).first()[0]
+    if newest is None:
+        return None
+    return newest[0], newest[2] or f"{name}/{DATE_COLUMN}={newest[0]}"
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str, date: str) -> DataFrame:
-    """One dated snapshot, read from its own folder."""
-    return spark.read.parquet(f"{root}/{name}/{DATE_COLUMN}={date}")
+def read_snapshot(
+    spark: SparkSession, root: str, name: str, date: str, path: str | None = None
+) -> DataFrame:
+    """One dated snapshot, read from its own folder (the one in force, unless given)."""
+    if path is None:
+        found = _finished(spark, root, name, date)
+        path = f"{name}/{DATE_COLUMN}={date}" if found is None else found[1]
+    return spark.read.parquet(f"{root}/{path}")
 
 
 def latest_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -46,12 +103,11 @@ def latest_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
 
     The log says which it is; the folders of other dates are not even listed.
     """
-    log = spark.read.schema(f"table_name STRING, {DATE_COLUMN} DATE").parquet(f"{root}/{LOG}")
-    newest = log.filter(F.col("table_name") == name).agg(F.max(DATE_COLUMN)).first()[0]
-    if newest is None:
+    found = _finished(spark, root, name)
+    if found is None:
         raise FileNotFoundError(f"no snapshot of {name!r} below {root}")
-    base = f"{root}/{name}"
-    return spark.read.option("basePath", base).parquet(f"{base}/{DATE_COLUMN}={newest}")
+    path = f"{root}/{found[1]}"
+    return spark.read.option("basePath", path.rpartition("/")[0]).parquet(path)
 
 
 def latest_partition(df: DataFrame, date: str) -> DataFrame:
@@ -60,8 +116,10 @@ def latest_partition(df: DataFrame, date: str) -> DataFrame:
 
 
 def content_checksum(df: DataFrame) -> Column:
-    """Order-free checksum of all rows: the sum of their hashes."""
-    return F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+    """Order-free checksum of all rows: the sums of both halves of their hashes."""
+    row = F.xxhash64(*sorted(df.columns))
+    halves = (F.shiftright(row, 32), row.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.struct(*[F.sum(h).alias(f"half_{i}") for i, h in enumerate(halves)])
 
 
 def verify_snapshot(

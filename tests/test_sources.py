@@ -122,3 +122,26 @@ def test_a_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_a_rejected_snapshot_is_never_restored(spark, monkeypatch):
+    root = work_folder(spark, "test")
+    day1, day2 = (spark.createDataFrame([(v,)], "v INT") for v in (1, 2))
+    backup(spark, {"t": day1}, root, "2024-01-01")
+    with monkeypatch.context() as m:
+        m.setattr("storeloom.plans.backup.read_snapshot", lambda *a: day1)
+        with pytest.raises(SnapshotMismatch):
+            backup(spark, {"t": day2}, root, "2024-01-02")
+    assert rows(restore(spark, root, ["t"])["t"].select("v")) == [(1,)]
+
+
+def test_a_broken_rerun_leaves_the_good_copy(spark):
+    root = work_folder(spark, "test")
+    good = spark.createDataFrame([(1,)], "v INT")
+    backup(spark, {"t": good}, root, "2024-01-01")
+    broken = spark.range(2).select(F.raise_error(F.lit("disk full")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="disk full"):
+        backup(spark, {"t": broken}, root, "2024-01-01")
+    assert rows(restore(spark, root, ["t"])["t"].select("v")) == [(1,)]
+    backup(spark, {"t": spark.createDataFrame([(5,)], "v INT")}, root, "2024-01-01")
+    assert rows(restore(spark, root, ["t"])["t"]) == [(5, date(2024, 1, 1))]

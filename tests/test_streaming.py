@@ -171,3 +171,13 @@ def test_table_stream(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "t"))
     out = streams.run_available(spark, table_stream(spark, str(tmp_path / "t"), "id BIGINT"), "t")
     assert out.count() == 5
+
+
+def test_ttl_stream_passes_rows_that_cannot_be_compared(spark, tmp_path):
+    def make(x):
+        return delivery(x) | ({"ts": None} if x[0] % 2 else {"body": None})
+
+    folder = drop(tmp_path, [[(1, "a", 0), (2, "a", 0)], [(3, "a", 0), (4, "a", 0)]], make)
+    stream = webhook_stream(spark, folder, files_per_trigger=1)
+    out = streams.run_available(spark, stream_dedup_ttl(stream, "body", "ts", "event_id", 100), "t", partitions=2)
+    assert sorted(r.event_id for r in out.collect()) == ["1", "2", "3", "4"]
