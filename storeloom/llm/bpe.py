@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator, Mapping
-from hashlib import blake2b, sha256
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +27,7 @@ PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
 # Text of a pack in characters, beyond which it is closed: bounds what a task holds.
-PACK_CHARS = 32_000_000
+PACK_CHARS = 8_000_000
 # Words longer than this are merged with a heap.
 SHORT_WORD = 48
 OUT_ROWS = 512
@@ -128,7 +128,7 @@ class _Pack:
         self.ids.append(row_id)
         self.chars += len(text) + 64
 
-    def close(self) -> None:
+    def closed(self) -> _Pack:
         """Number the words anew, frequent ones first, and name the pack after them.
 
         The name has the place in the table, so equal packs differ, and the words, so that
@@ -145,6 +145,9 @@ class _Pack:
         name = blake2b(np.array(self.place, np.int64).tobytes(), digest_size=8)
         name.update(b"\x00".join(self.words))
         self.name = int(np.frombuffer(name.digest(), np.int64)[0])
+        self.sizes = np.array([len(r) for r in self.rows], np.int64)
+        self.known, self.rows = {}, []
+        return self
 
     def buckets(self, n: int) -> np.ndarray:
         """Where each word goes, by code."""
@@ -159,13 +162,12 @@ def _packs(batches: Iterator[pa.RecordBatch], pack_chars: int) -> Iterator[_Pack
         for row_id, text in zip(batch.column(0), batch.column(1)):
             pack.add(row_id.as_py(), text.as_py(), pattern)
             if pack.chars >= pack_chars:
-                pack.close()
-                yield pack
+                yield pack.closed()
                 n += 1
                 pack = _Pack((part, n))
+        pa.default_memory_pool().release_unused()
     if pack.ids:
-        pack.close()
-        yield pack
+        yield pack.closed()
 
 
 def _send_words(
@@ -202,7 +204,6 @@ def _send_codes(
     """A row for each pack: its documents' ids and sizes, the words' buckets, the codes."""
     for pack in _packs(batches, pack_chars):
         row_ids = pa.array(pack.ids, pa.int64())
-        sizes = np.array([len(r) for r in pack.rows], np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([pack.name], pa.int64()),
@@ -210,7 +211,7 @@ def _send_codes(
                 pa.array([_packed(pack.codes)], pa.binary()),
                 pa.array([_packed(pack.buckets(n))], pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, len(row_ids)], pa.int32()), row_ids),
-                pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([pack.sizes], pa.list_(pa.int64())),
             ],
             names=["_pack", "_bucket", "_block", "_buckets", "_rows", "_sizes"],
         )
@@ -334,19 +335,24 @@ def encode(
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    """Adds ``decoded``: the bytes of each id, from the token table, one after the other."""
+    """The id, the ids, their little-endian bytes, and the bytes each id stands for."""
     bytes_of, ends = table.value
-    for batch in batches:
-        out = []
-        for ids in batch.column("ids"):
-            at = _values(ids)
-            sizes = ends[at + 1] - ends[at]
-            first = np.cumsum(sizes) - sizes
-            take = np.arange(int(sizes.sum())) + np.repeat(ends[at] - first, sizes)
-            out.append(bytes_of[take].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"]
-        )
+    for whole in batches:
+        for start in range(0, whole.num_rows, OUT_ROWS):
+            batch = whole.slice(start, OUT_ROWS)
+            raw, out = [], []
+            for ids in batch.column("ids"):
+                at = _values(ids)
+                sizes = ends[at + 1] - ends[at]
+                first = np.cumsum(sizes) - sizes
+                take = np.arange(int(sizes.sum())) + np.repeat(ends[at] - first, sizes)
+                out.append(bytes_of[take].tobytes())
+                raw.append(at.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(raw, pa.binary()), pa.array(out, pa.binary())],
+                names=[*batch.schema.names, "id_bytes", "decoded"],
+            )
+        pa.default_memory_pool().release_unused()
 
 
 def _values(ids: pa.ListScalar) -> np.ndarray:
@@ -356,7 +362,8 @@ def _values(ids: pa.ListScalar) -> np.ndarray:
 
 
 def decode(encoded: DataFrame, ranks: Mapping[bytes, int], id_col: str = "doc_id") -> DataFrame:
-    """The id, ``ids`` and ``decoded``, the bytes the ids stand for.
+    """The id, ``ids``, ``id_bytes`` (little-endian, 32 bits each) and ``decoded``, the bytes
+    the ids stand for.
 
     The token-byte table has one row per id of the vocabulary and is sent to every task, so
     the join needs no shuffle.  Null ids decode to nothing.
@@ -367,33 +374,19 @@ def decode(encoded: DataFrame, ranks: Mapping[bytes, int], id_col: str = "doc_id
     ends = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int64)
     table = (np.frombuffer(b"".join(tokens), np.uint8), ends)
     sent = encoded.sparkSession.sparkContext.broadcast(table)
-    rows = encoded.select(id_col, "ids")
+    rows = encoded.select(F.col(id_col).cast("long").alias("_row"), "ids")
     return rows.mapInArrow(
         lambda batches: _decoded(batches, sent),
-        f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary",
-    )
-
-
-def _digests(batches: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [_values(x).astype("<u4") for x in batch.column("ids")]
-        columns = [
-            batch.column(0),
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-            pa.array(
-                [sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()], pa.string()
-            ),
-        ]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if keep_ids:
-            columns, names = [*columns, batch.column("ids")], [*names, "ids"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        "_row long, ids array<int>, id_bytes binary, decoded binary",
+    ).withColumnRenamed("_row", id_col)
 
 
 def token_digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens`` and the SHA-256 of the ids and of the bytes."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return decoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids", "decoded").mapInArrow(
-        lambda batches: _digests(batches, keep_ids), schema + ", ids array<int>" * keep_ids
+    return decoded.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.sha2("id_bytes", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        *["ids"] * keep_ids,
     )
