@@ -14,7 +14,7 @@ from storeloom.llm.common import body
 # Words of which a licence sentence has at least one (normalised text).
 KEYWORDS = (
     "licen[cs]e|copyright|permission|redistribut|warrant|spdx|creative commons|public domain|"
-    "all rights reserved|free software|cc by|cc0|as is|endorse or promote"
+    "all rights reserved|free software|cc by|cc0|as is|endorse or promote|advertising materials"
 )
 
 # Identifier and pattern of a normalised sentence; the first match counts.

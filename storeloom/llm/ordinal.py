@@ -92,10 +92,11 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, max_loss: float = MAX_LOSS)
     cuts = -np.log(start / (1 - start))
     free = np.append(cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2)))
     gf = np.full(len(free), 1e-8)
+    batch = min(BATCH, max(16, len(train) // 32))  # few rows still make some steps
     for _ in range(EPOCHS):
         rng.shuffle(train)
-        for at in range(0, len(train), BATCH):
-            ids = train[at : at + BATCH]
+        for at in range(0, len(train), batch):
+            ids = train[at : at + batch]
             part = [rows[i] for i in ids]
             y = grades[ids]
             gaps = np.exp(free[1:])

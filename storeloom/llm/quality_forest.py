@@ -21,8 +21,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 FIT_ROWS = 20_000  # labelled documents looked at, at most: half to fit, half to calibrate
 TREES, PER_TREE = 200, 256
 SEED = 5
-# A ratio breaks its rule beyond these quantiles of the good labelled documents.
-NORMAL = 0.0005
+# A ratio breaks its rule this many spreads beyond these quantiles of the good labelled
+# documents.
+NORMAL, MARGIN = 0.0005, 2.0
 # The share of good labelled documents that the calibrated threshold may reject, at most.
 MAX_LOSS = 0.002
 # Texts of more words than this have their windows found by sorting instead of hashing.
@@ -186,6 +187,7 @@ def fit(
         return None
     low, high = np.quantile(grown[known], [NORMAL, 1 - NORMAL], axis=0)
     spread = np.maximum(grown[known].std(0), 0.01)
+    low, high = low - MARGIN * spread, high + MARGIN * spread
     empty = np.zeros((1, 1))
     ranges = Forest(empty, empty, empty, empty, low, high, spread, math.inf)
     parts = grow(ranges.violations(grown), trees, per_tree, seed)
@@ -217,13 +219,13 @@ def anomaly(forest: Forest, ratios: np.ndarray, block: int = 4096) -> np.ndarray
 def calibrate(scores: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS) -> float:
     """The threshold that rejects most bad rows, among those that spare the good ones.
 
-    At most ``max_loss`` of the good rows may score above it.  With no bad rows, or none
+    At most ``max_loss`` of the good rows, rounded up, may score above it.  With no bad rows, or none
     that can be told from good ones, nothing is rejected.
     """
     if not len(scores) or good.all() or not good.any():
         return math.inf
     kept = np.sort(scores[good])[::-1]
-    lowest = kept[min(int(max_loss * len(kept)), len(kept) - 1)]
+    lowest = kept[min(math.ceil(max_loss * len(kept)), len(kept) - 1)]
     above = np.sort(scores[~good])
     above = above[above > lowest]
     return float((lowest + above[0]) / 2) if len(above) else math.inf
