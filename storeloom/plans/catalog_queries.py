@@ -236,11 +236,11 @@ def route_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH old AS (
         SELECT p_partkey, p_name, CAST(p_retailprice AS DECIMAL(10,2)) AS price
-        FROM part WHERE p_type <> 'PROMO'
+        FROM part
     ), new AS (
-        SELECT p_partkey, p_name, CAST(p_retailprice AS DECIMAL(10,2))
+        SELECT CASE WHEN p_type = 'LARGE' THEN -p_partkey - 1 ELSE p_partkey END AS p_partkey, p_name, CAST(p_retailprice AS DECIMAL(10,2))
             + CASE WHEN p_brand = 'Brand#7' THEN 1 ELSE 0 END AS price
-        FROM part WHERE p_type <> 'LARGE'
+        FROM part
     )
     SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey,
            CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed'
@@ -253,9 +253,11 @@ def publish_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     raised = F.col("p_retailprice") + F.when(F.col("p_brand") == "Brand#7", 1).otherwise(0)
     price = F.col("p_retailprice").cast("decimal(11,2)").alias("price")
-    old = parts.filter(F.col("p_type") != "PROMO").select("p_partkey", "p_name", price)
-    new = parts.filter(F.col("p_type") != "LARGE").select(
-        "p_partkey", "p_name", raised.cast("decimal(11,2)").alias("price")
+    old = parts.select("p_partkey", "p_name", price)
+    # Large parts get a new number: one entry removed and one added.
+    key = F.when(F.col("p_type") == "LARGE", -F.col("p_partkey") - 1).otherwise(F.col("p_partkey"))
+    new = parts.select(
+        key.alias("p_partkey"), "p_name", raised.cast("decimal(11,2)").alias("price")
     )
     return catalog.publish_diff(old, new, ["p_partkey"])
 

@@ -57,6 +57,11 @@ def some_without(df: DataFrame, col: str, row_id: str) -> DataFrame:
     return df.withColumn(col, F.when(F.col(row_id) % 10 > 0, F.col(col)))
 
 
+def with_strangers(df: DataFrame, key: str) -> DataFrame:
+    """The whole table, and once more under keys that no other table knows."""
+    return df.unionByName(df.withColumn(key, -F.col(key) - 1))
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storeloom.functions.clock import minutes
 from storeloom.operators import crm, stock
-from storeloom.plans.fixtures import contact, some_without, table
+from storeloom.plans.fixtures import contact, some_without, table, with_strangers
 from storeloom.plans.registry import query
 
 
@@ -20,22 +20,22 @@ from storeloom.plans.registry import query
                count(*) FILTER (o_orderstatus = 'P') AS n_P,
                count(*) FILTER (o_orderstatus = 'F') AS n_F,
                count(*) FILTER (o_orderstatus = 'O') AS n_O
-        FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey
+        FROM orders GROUP BY o_custkey
+    ), customers AS (
+        SELECT c_custkey, c_name FROM customer
+        UNION ALL SELECT -c_custkey - 1, c_name FROM customer
     )
     SELECT c_custkey, c_name, coalesce(n_orders, 0) AS n_orders,
            CAST(coalesce(spend, 0) AS DECIMAL(18,2)) AS spend, first_order, last_order,
            coalesce(n_P, 0) AS n_P, coalesce(n_F, 0) AS n_F, coalesce(n_O, 0) AS n_O
-    FROM customer LEFT JOIN o ON o_custkey = c_custkey
+    FROM customers LEFT JOIN o ON o_custkey = c_custkey
     """,
 )
 def customer_360(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Urgent orders only: not every customer has one, so the outer side shows.
-    orders = (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderpriority") == "1-URGENT")
-        .withColumnRenamed("o_custkey", "c_custkey")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    customers = with_strangers(table(spark, sf_dir, "customer"), "c_custkey").select(
+        "c_custkey", "c_name"
     )
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     view = crm.customer_360(
         customers, orders, "c_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "PFO"
     )
@@ -221,20 +221,16 @@ def contact_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lead_conversion",
     """
     SELECT c_custkey AS document, c_mktsegment,
-           c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
-               AS converted
-    FROM customer
+           c_custkey IN (SELECT o_custkey FROM orders) AS converted
+    FROM (SELECT c_custkey, c_mktsegment FROM customer
+          UNION ALL SELECT -c_custkey - 1, c_mktsegment FROM customer)
     """,
 )
 def lead_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = table(spark, sf_dir, "customer").select(
+    leads = with_strangers(table(spark, sf_dir, "customer"), "c_custkey").select(
         F.col("c_custkey").alias("document"), "c_mktsegment"
     )
-    buyers = (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderpriority") == "1-URGENT")
-        .select(F.col("o_custkey").alias("document"))
-    )
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document"))
     return crm.lead_conversion(leads, buyers, "document")
 
 
@@ -325,7 +321,9 @@ def weekly_stock_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH scans AS (
         SELECT l_partkey, count(*) AS scanned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
     ), catalog AS (
-        SELECT p_partkey, p_size * 20 AS on_hand FROM part WHERE p_type <> 'PROMO'
+        SELECT CASE WHEN p_type = 'PROMO' THEN -p_partkey - 1 ELSE p_partkey END AS p_partkey,
+               p_size * 20 AS on_hand
+        FROM part
     )
     SELECT coalesce(p_partkey, l_partkey) AS sku, on_hand, coalesce(scanned, 0) AS scanned,
            on_hand - coalesce(scanned, 0) AS remaining, p_partkey IS NULL AS unknown_sku,
@@ -334,10 +332,10 @@ def weekly_stock_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def apply_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = (
-        table(spark, sf_dir, "part")
-        .filter(F.col("p_type") != "PROMO")
-        .select(F.col("p_partkey").alias("sku"), (F.col("p_size") * 20).alias("on_hand"))
+    # Parts on promotion go by another number here, so some scans find no part.
+    sku = F.when(F.col("p_type") == "PROMO", -F.col("p_partkey") - 1).otherwise(F.col("p_partkey"))
+    catalog = table(spark, sf_dir, "part").select(
+        sku.alias("sku"), (F.col("p_size") * 20).alias("on_hand")
     )
     scans = (
         table(spark, sf_dir, "lineitem")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,12 @@ def scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "webhook_ingest",
     """
-    SELECT CAST(o_orderkey AS VARCHAR) AS event_id, 'pedido.editado' AS topic,
+    SELECT CAST(o_orderkey AS VARCHAR) AS event_id,
+           CASE o_orderstatus WHEN 'P' THEN 'pedido.criado' WHEN 'F' THEN 'pedido.editado'
+               ELSE 'produto.editado' END AS topic,
            o_orderdate AS ts, o_custkey AS customer,
            CAST(o_totalprice AS DECIMAL(10,2)) AS total
-    FROM orders WHERE o_orderstatus = 'F'
+    FROM orders
     """,
 )
 def webhook_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +62,11 @@ def webhook_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("total"))
         ).alias("body"),
     ).write.json(drop)
-    stream = typed(
-        webhook_stream(spark, drop), "pedido.editado", "customer BIGINT, total DECIMAL(10,2)"
+    deliveries = webhook_stream(spark, drop)
+    topics = ("pedido.criado", "pedido.editado", "produto.editado")
+    stream = reduce(
+        DataFrame.unionByName,
+        [typed(deliveries, t, "customer BIGINT, total DECIMAL(10,2)") for t in topics],
     )
     return run_available(spark, stream, "webhook_ingest").withColumn(
         "ts", F.col("ts").cast("timestamp_ntz")
