@@ -11,7 +11,7 @@ from storeloom.plans.fixtures import TABLES, table
 from storeloom.plans.inbound import accepted
 from storeloom.plans.keyed_queries import APP_KEY, TTL_ORACLE
 from storeloom.plans.registry import REGISTRY, query
-from storeloom.plans.traffic_queries import OPTOUT_WORDS, REFUSED
+from storeloom.plans.traffic_queries import LEVELS, OPTOUT_WORDS, REFUSED
 from storeloom.session import work_folder
 from storeloom.sources.webhooks import table_stream
 from storeloom.streaming import streams
@@ -84,6 +84,46 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_rate_levels",
+    """
+    WITH e AS (SELECT date_trunc('hour', ts) AS window_start, user_id, event_type FROM events),
+    counted AS (
+        SELECT 'shop' AS level, CAST(user_id AS VARCHAR) AS key, window_start,
+               count(*) AS requests, 1 AS max_requests, 633 AS code FROM e GROUP BY 1, 2, 3
+        UNION ALL SELECT 'ip', event_type, window_start, count(*), 5, 133 FROM e GROUP BY 1, 2, 3
+        UNION ALL SELECT 'app', 'all', window_start, count(*), 20, 533 FROM e GROUP BY 1, 2, 3
+    )
+    SELECT level, key, window_start, requests, max_requests,
+           CASE WHEN requests > max_requests THEN code END AS breach_code
+    FROM counted
+    """,
+)
+def stream_rate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _stream(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.lit("all").alias("app")
+    )
+    counted = streams.stream_rate_levels(requests, "ts", LEVELS, "1 hour", "10 minutes")
+    out = _run(spark, counted, "stream_rate_levels", "update")
+    last = last_by_key(out, ["window_start", "level", "key"], ["batch_id"]).drop("batch_id")
+    return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_purge",
+    """
+    SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (
+        SELECT user_id FROM events WHERE contains(props, '40'))
+    """,
+)
+def stream_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    events = _stream(spark, sf_dir, "events")
+    return streams.purge_on_failures(
+        spark, events, customers, "c_custkey", "user_id", "props", "40"
+    )
+
+
 @query(
     "stream_optout",
     f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND {REFUSED}",

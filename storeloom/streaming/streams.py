@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from storeloom.operators.catalog import purge
 from storeloom.operators.dedup import last_by_key
 from storeloom.operators.ops import GONE_CODE, failures
 from storeloom.operators.privacy import OPTOUT_WORDS, refusal
+from storeloom.operators.rates import API_LEVELS, Level
 from storeloom.session import work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,6 +46,63 @@ def stream_rates(
     )
 
 
+def stream_rate_levels(
+    stream: DataFrame,
+    ts: str,
+    levels: Sequence[Level] = API_LEVELS,
+    width: str = "1 minute",
+    delay: str = "5 minutes",
+) -> DataFrame:
+    """Requests per window at every level, with the error code where a limit is passed.
+
+    A request becomes a row per level and all levels share one state.  Requests later than
+    ``delay`` no longer count; those without a time have no window and are left out.
+    """
+    lines = [
+        F.struct(
+            F.lit(x.name).alias("level"),
+            F.col(x.column).cast("string").alias("key"),
+            F.lit(x.limit).alias("max_requests"),
+            F.lit(x.code).alias("code"),
+        )
+        for x in levels
+    ]
+    counted = (
+        stream.withWatermark(ts, delay)
+        .select(ts, F.inline(F.array(*lines)))
+        .groupBy(F.window(ts, width), "level", "key", "max_requests", "code")
+        .agg(F.count(F.lit(1)).alias("requests"))
+    )
+    passed = F.col("requests") > F.col("max_requests")
+    return counted.select(
+        "level",
+        "key",
+        F.col("window.start").alias("window_start"),
+        "requests",
+        "max_requests",
+        F.when(passed, F.col("code")).alias("breach_code"),
+    )
+
+
+def purge_on_failures(
+    spark: SparkSession,
+    stream: DataFrame,
+    entries: DataFrame,
+    row_id: str,
+    failed_id: str,
+    message: str,
+    needle: str = GONE_CODE,
+) -> DataFrame:
+    """The entries left after all failure reports there are: those marked as gone are away.
+
+    Reports are filtered as they arrive and reduced to their ids per micro-batch, so the
+    join with the entries meets one row per failing entry.
+    """
+    gone = stream_failures(stream, message, needle).select(F.col(failed_id), F.col(message))
+    reports = run_available(spark, gone, "failures")
+    return purge(entries, reports, row_id, failed_id, message, needle)
+
+
 def stream_optouts(
     stream: DataFrame, text: str, words: Sequence[str] = OPTOUT_WORDS, mode: str = "message"
 ) -> DataFrame:
