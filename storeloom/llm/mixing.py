@@ -306,12 +306,14 @@ def take_mixed(
     """
     model = fit_domains(docs, labels, id_col, text_col)
     names = [f"p_{d}" for d in DOMAINS]
-    narrow = docs.select(id_col, F.col(text_col).alias("_body"))
-    soft = with_posteriors(narrow, model, "_body").select("n_tokens", *names)
-    steps = fit_rates(saved(soft, "mixing-posteriors"), targets, keep_from=keep_from)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(
         F.struct(*columns).alias("_whole"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body")
     )
-    taken = copies(rate(steps, keep_from), "_id") >= 1
-    return with_posteriors(whole, model, "_body").filter(taken).select("_whole.*")
+    # Written with the posteriors, so that the rates are worked out on these few columns.
+    scored = saved(
+        with_posteriors(whole, model, "_body").select("_whole", "_id", "n_tokens", *names),
+        "mixing-scored",
+    )
+    steps = fit_rates(scored, targets, keep_from=keep_from)
+    return scored.filter(copies(rate(steps, keep_from), "_id") >= 1).select("_whole.*")
