@@ -54,8 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of the decoded bytes."""
     ranks = bpe.read_ranks(vocabulary())
-    decoded = bpe.decode(bpe.encode(docs, ranks), ranks)
-    return bpe.token_digests(decoded, keep_ids=True)
+    return bpe.token_digests(bpe.round_trip(docs, ranks), keep_ids=True)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the pattern that cuts a text before the merges.
@@ -291,25 +291,14 @@ def _unpack(head: dict | None, blocks: list[tuple[int, bytes]]) -> Iterator[pa.R
         )
 
 
-def encode(
+def _gathered(
     docs: DataFrame,
     ranks: Mapping[bytes, int],
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    pack_chars: int = PACK_CHARS,
+    id_col: str,
+    text_col: str,
+    pack_chars: int,
 ) -> DataFrame:
-    """Per row: the id (a long) and ``ids``, the token ids of the text.
-
-    Null and empty texts have no tokens; a null id stays null; rows that repeat stay, each
-    on its own; other columns are not looked at.  No special tokens.
-
-    ``docs`` is read twice, once for the words and once for their places, and has to give
-    the same rows each time, as files do; if it doesn't, the job fails rather than mix
-    them up.  What is shuffled is every pack's distinct words, there and back in blocks, and
-    the codes of its documents, compressed.  A word that all documents have is one entry per
-    pack.  A task holds one pack, which has ``pack_chars`` characters or is one document, or
-    the distinct words of one bucket.
-    """
+    """Each pack's codes and its words' ids, sorted by pack, the codes first."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(dict(ranks))  # as large as the vocabulary, no more
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
@@ -329,11 +318,32 @@ def encode(
         codes.unionByName(found, allowMissingColumns=True)
         .repartition(n, "_pack")
         .sortWithinPartitions("_pack", "_bucket")
-        .mapInArrow(_assemble, "_row long, ids array<int>")
-        .select(F.col("_row").alias(id_col), "ids")
     )
 
 
+def encode(
+    docs: DataFrame,
+    ranks: Mapping[bytes, int],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    pack_chars: int = PACK_CHARS,
+) -> DataFrame:
+    """Per row: the id (a long) and ``ids``, the token ids of the text.
+
+    Null and empty texts have no tokens; a null id stays null; rows that repeat stay, each
+    on its own; other columns are not looked at.  No special tokens.
+
+    ``docs`` is read twice, once for the words and once for their places, and has to give
+    the same rows each time, as files do; if it doesn't, the job fails rather than mix
+    them up.  What is shuffled is every pack's distinct words, there and back in blocks, and
+    the codes of its documents, compressed.  A word that all documents have is one entry per
+    pack.  A task holds one pack, which has ``pack_chars`` characters or is one document, or
+    the distinct words of one bucket.
+    """
+    home = _gathered(docs, ranks, id_col, text_col, pack_chars)
+    return home.mapInArrow(_assemble, "_row long, ids array<int>").withColumnRenamed("_row", id_col)
+
+
 def _decoded(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     """The id, the ids, their little-endian bytes, and the bytes each id stands for."""
     bytes_of, ends = table.value
@@ -361,24 +371,43 @@ def _values(ids: pa.ListScalar) -> np.ndarray:
     return ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _sent_tokens(spark: SparkSession, ranks: Mapping[bytes, int]):
+    """The token-byte table, with a row per id of the vocabulary, for every task."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    ends = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int64)
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), ends))
+
+
+_DECODED = "_row long, ids array<int>, id_bytes binary, decoded binary"
+
+
 def decode(encoded: DataFrame, ranks: Mapping[bytes, int], id_col: str = "doc_id") -> DataFrame:
     """The id, ``ids``, ``id_bytes`` (little-endian, 32 bits each) and ``decoded``, the bytes
     the ids stand for.
 
-    The token-byte table has one row per id of the vocabulary and is sent to every task, so
-    the join needs no shuffle.  Null ids decode to nothing.
+    Every task has the token-byte table, so the join needs no shuffle.  Null ids decode to
+    nothing.
     """
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    ends = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int64)
-    table = (np.frombuffer(b"".join(tokens), np.uint8), ends)
-    sent = encoded.sparkSession.sparkContext.broadcast(table)
+    sent = _sent_tokens(encoded.sparkSession, ranks)
     rows = encoded.select(F.col(id_col).cast("long").alias("_row"), "ids")
-    return rows.mapInArrow(
-        lambda batches: _decoded(batches, sent),
-        "_row long, ids array<int>, id_bytes binary, decoded binary",
-    ).withColumnRenamed("_row", id_col)
+    out = rows.mapInArrow(lambda batches: _decoded(batches, sent), _DECODED)
+    return out.withColumnRenamed("_row", id_col)
+
+
+def round_trip(
+    docs: DataFrame,
+    ranks: Mapping[bytes, int],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    pack_chars: int = PACK_CHARS,
+) -> DataFrame:
+    """``decode(encode(docs))``, both in the same tasks: one Python process instead of two."""
+    sent = _sent_tokens(docs.sparkSession, ranks)
+    home = _gathered(docs, ranks, id_col, text_col, pack_chars)
+    out = home.mapInArrow(lambda batches: _decoded(_assemble(batches), sent), _DECODED)
+    return out.withColumnRenamed("_row", id_col)
 
 
 def token_digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:

@@ -69,7 +69,7 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(vocabulary())
-    return bpe.token_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+    return bpe.token_digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks))
 
 
 @query("op10_ordinal_quality")
