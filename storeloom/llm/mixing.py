@@ -27,6 +27,9 @@ BUCKETS = 1 << 16  # hashed features
 FIT_ROWS = 20_000  # labelled documents the classifier is fitted on, at most
 SHRINK = 20.0  # documents of prior weight behind every feature's share
 CHI2 = 20.0  # features whose counts deviate less from chance carry no weight
+# A feature tells only what most of its documents belong to, and much more often than others:
+# many ordinary words that lean a little one way would add up to false certainty.
+MAJORITY, LIFT = 0.7, 1.5
 ROUNDS = 8
 CLOSE = 1e-6  # stop when all domains are this close to their targets, as a share of all
 
@@ -119,7 +122,10 @@ def fit_domains(
     telling = F.lit(False)
     for i, p in enumerate(prior):
         off = F.col(f"n_{i}") - F.col("n") * p
-        telling = telling | (off * off > CHI2 * p * (1 - p) * F.col("n"))
+        share = (F.col(f"n_{i}") + SHRINK * p) / (F.col("n") + SHRINK)
+        telling = telling | (
+            (off * off > CHI2 * p * (1 - p) * F.col("n")) & (share >= max(MAJORITY, LIFT * p))
+        )
     weights = {}
     for r in tally.filter(telling).collect():
         weights[r["_bucket"]] = tuple(
