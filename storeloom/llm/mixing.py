@@ -25,21 +25,29 @@ TARGETS = {"clean": 0.92, "poor": 0.05, "toxic": 0.03}
 MARKS = r"[#*$%&|<>!]+"
 BUCKETS = 1 << 16  # hashed features
 FIT_ROWS = 20_000  # labelled documents the classifier is fitted on, at most
-SHRINK = 20.0  # documents of prior weight behind every feature's share
 CHI2 = 20.0  # features whose counts deviate less from chance carry no weight
-# A feature tells only what most of its documents belong to, and much more often than others:
-# many ordinary words that lean a little one way would add up to false certainty.
-MAJORITY, LIFT = 0.7, 1.5
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+START = 6  # the start of a longer word is a feature of its own
+# Weights are fitted together, under an L1 penalty: many ordinary words that lean a little
+# one way would otherwise add up to false certainty.
+EPOCHS, BATCH, PACE, PENALTY, SEED = 40, 512, 0.2, 3e-4, 3
+# One labelled document in HELD, by its text, is kept out of the fit; on those, at most this
+# share of the clean ones may count as recognised toxic.
+HELD, MAX_LOSS = 5, 0.01
 ROUNDS = 8
 CLOSE = 1e-6  # stop when all domains are this close to their targets, as a share of all
 
 
 @dataclass(frozen=True)
 class DomainModel:
-    """Log odds of a domain, per hashed feature and at the start (rows: domains)."""
+    """Log odds of a domain, per hashed feature and at the start (rows: domains).
+
+    ``toxic_from`` is the calibrated toxic posterior from which a document is recognised.
+    """
 
     start: tuple[float, ...]
     weights: Mapping[int, tuple[float, ...]]
+    toxic_from: float = math.inf
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -66,15 +74,80 @@ def bucket(word: Column) -> Column:
 
 
 def _with_features(docs: DataFrame, text_col: str, known: Column | None = None) -> DataFrame:
-    """Add ``_tokens`` and ``_features``: the distinct buckets, of those that are known."""
+    """Add ``_tokens`` and ``_features``: the distinct buckets, of those that are known.
+
+    Features are words without ASCII punctuation at their ends, the starts of longer words,
+    and marks.
+    """
     text = body(text_col)
     rows = docs.withColumns({"_words": words(text), "_marks": marks(text)})
-    found = F.transform(F.concat("_words", "_marks"), bucket)
+    rows = rows.withColumn(
+        "_bare", F.array_distinct(F.transform("_words", lambda w: F.btrim(w, F.lit(PUNCTUATION))))
+    )
+    starts = F.transform(
+        F.filter("_bare", lambda w: F.length(w) > START),
+        lambda w: F.concat(F.lit("\x01"), F.substring(w, 1, START)),
+    )
+    found = F.transform(F.concat("_bare", starts, "_marks"), bucket)
     if known is not None:
         found = F.filter(found, lambda b: known[b])
     return rows.withColumns(
         {"_tokens": F.size("_words").cast("long"), "_features": F.array_distinct(found)}
-    ).drop("_words", "_marks")
+    ).drop("_words", "_bare", "_marks")
+
+
+def _flat(rows: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the feature of every entry."""
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return at, np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _shares(rows: Sequence[np.ndarray], start: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The posterior of every row, a column per domain."""
+    at, features = _flat(rows)
+    score = np.stack(
+        [np.bincount(at, weights[features, i], len(rows)) for i in range(len(DOMAINS))], 1
+    ) + start
+    odds = np.exp(score - score.max(1, keepdims=True))
+    return odds / odds.sum(1, keepdims=True)
+
+
+def _fit_weights(
+    rows: Sequence[np.ndarray], kinds: np.ndarray, prior: Sequence[float], n_features: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Start and weights of a softmax regression, by proximal AdaGrad from the prior."""
+    weights, start = np.zeros((n_features, len(DOMAINS))), np.log(np.array(prior))
+    sums, start_sums = np.full(weights.shape, 1e-8), np.full(len(DOMAINS), 1e-8)
+    order, rng, truth = np.arange(len(rows)), np.random.default_rng(SEED), np.eye(len(DOMAINS))
+    batch = min(BATCH, max(16, len(rows) // 32))  # few rows still make some steps
+    for _ in range(EPOCHS):
+        rng.shuffle(order)
+        for first in range(0, len(rows), batch):
+            ids = order[first : first + batch]
+            part = [rows[i] for i in ids]
+            push = (_shares(part, start, weights) - truth[kinds[ids]]) / len(ids)
+            at, features = _flat(part)
+            grad = np.stack(
+                [np.bincount(features, push[at, i], n_features) for i in range(len(DOMAINS))], 1
+            )
+            sums += grad**2
+            pace = PACE / np.sqrt(sums)
+            weights = weights - pace * grad
+            weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * PENALTY, 0.0)
+            start_sums += push.sum(0) ** 2
+            start = start - PACE / np.sqrt(start_sums) * push.sum(0)
+    return start - np.log(np.exp(start).sum()), weights
+
+
+def _toxic_from(shares: np.ndarray, kinds: np.ndarray, nothing: float) -> float:
+    """The least toxic posterior that loses ``MAX_LOSS`` of the held-out clean rows at most.
+
+    Above the posterior of a text that tells ``nothing``; without clean rows one half.
+    """
+    clean = np.sort(shares[kinds == 0, DOMAINS.index("toxic")])[::-1]
+    if not len(clean):
+        return max(0.5, nothing + 1e-6)
+    return round(max(float(clean[int(MAX_LOSS * len(clean))]), nothing) + 2e-6, 6)
 
 
 def fit_domains(
@@ -88,9 +161,9 @@ def fit_domains(
 
     ``labels`` has the id, ``quality`` and ``toxic``; rows with a null are left out, of
     several rows of one id the lowest quality and the highest toxic count.  Counts are
-    summed by Spark; only buckets that tell domains apart better than chance reach the
-    driver, at most ``BUCKETS`` of them.  Without labelled documents all domains are
-    equally likely everywhere.
+    summed by Spark; the driver gets the buckets that tell domains apart better than chance,
+    at most ``BUCKETS`` of them, and the chosen documents as lists of those.  Without
+    labelled documents all domains are equally likely everywhere.
     """
     chosen = (
         labels.select(F.col(id_col), F.col("quality"), F.col("toxic"))
@@ -103,36 +176,60 @@ def fit_domains(
     )
     # At most fit_rows ids: small enough to send to every task, whatever the corpus.
     labelled = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    kind = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("_domain")).cast("int") - 1
+    text = body(text_col)
     seen = saved(
-        _with_features(labelled, text_col).select("_domain", "_features"), "mixing-features"
+        _with_features(labelled, text_col).select(
+            kind.alias("_kind"),
+            # Copies of a text are held out together.
+            (F.pmod(F.xxhash64(F.lit("held"), text), F.lit(HELD)) == 0).alias("_held"),
+            F.xxhash64(id_col, text).alias("_at"),
+            "_features",
+        ),
+        "mixing-features",
     )
-    counts = {r["_domain"]: r["n"] for r in seen.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
+    fitted = seen.filter("NOT _held")
+    counts = {r["_kind"]: r["n"] for r in fitted.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     if not n:
         return DomainModel((-math.log(len(DOMAINS)),) * len(DOMAINS), {})
-    prior = [(counts.get(d, 0) + 1.0) / (n + len(DOMAINS)) for d in DOMAINS]
+    prior = [(counts.get(i, 0) + 1.0) / (n + len(DOMAINS)) for i in range(len(DOMAINS))]
     per_domain = [
-        F.count(F.when(F.col("_domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(DOMAINS)
+        F.count(F.when(F.col("_kind") == i, 1)).alias(f"n_{i}") for i in range(len(DOMAINS))
     ]
     tally = (
-        seen.select("_domain", F.explode("_features").alias("_bucket"))
+        fitted.select("_kind", F.explode("_features").alias("_bucket"))
         .groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("n"), *per_domain)
     )
     telling = F.lit(False)
     for i, p in enumerate(prior):
         off = F.col(f"n_{i}") - F.col("n") * p
-        share = (F.col(f"n_{i}") + SHRINK * p) / (F.col("n") + SHRINK)
-        telling = telling | (
-            (off * off > CHI2 * p * (1 - p) * F.col("n")) & (share >= max(MAJORITY, LIFT * p))
-        )
-    weights = {}
-    for r in tally.filter(telling).collect():
-        weights[r["_bucket"]] = tuple(
-            round(math.log((r[f"n_{i}"] + SHRINK * p) / (r["n"] + SHRINK) / p), 6)
-            for i, p in enumerate(prior)
-        )
-    return DomainModel(tuple(round(math.log(p), 6) for p in prior), weights)
+        telling = telling | (off * off > CHI2 * p * (1 - p) * F.col("n"))
+    told = np.array(sorted(r["_bucket"] for r in tally.filter(telling).select("_bucket").collect()), np.int64)
+    isin = np.zeros(BUCKETS, bool)
+    isin[told] = True
+    known = _table([str(x).lower() for x in isin], "boolean")
+    found = (
+        seen.select("_at", "_kind", "_held", F.filter("_features", lambda b: known[b]).alias("_features"))
+        .toArrow()
+        .sort_by([("_at", "ascending"), ("_kind", "ascending")])
+    )
+    lists = found.column("_features").combine_chunks()
+    flat, ends = np.searchsorted(told, lists.values.to_numpy()), lists.offsets.to_numpy()
+    rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    kinds = found.column("_kind").to_numpy()
+    held = found.column("_held").to_numpy()
+    start, fit = _fit_weights(
+        [rows[i] for i in np.flatnonzero(~held)], kinds[~held], prior, len(told)
+    )
+    start, fit = start.round(6), fit.round(6)
+    shares = _shares([rows[i] for i in np.flatnonzero(held)], start, fit)
+    nothing = _shares([flat[:0]], start, fit)[0, DOMAINS.index("toxic")]
+    weights = {int(b): tuple(map(float, w)) for b, w in zip(told, fit) if w.any()}
+    return DomainModel(
+        tuple(map(float, start)), weights, _toxic_from(shares, kinds[held], float(nothing))
+    )
 
 
 def _table(values: Sequence[float], kind: str = "double") -> Column:

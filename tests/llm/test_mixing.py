@@ -110,3 +110,24 @@ def test_odd_documents_and_labels(spark, tmp_path):
     assert mixing.mix(empty_docs(spark, tmp_path / "e"), none).collect() == []
     assert mixing.take_mixed(empty_docs(spark, tmp_path / "f"), none).collect() == []
     assert mixing.take_mixed(df, none).columns == df.columns
+
+
+def test_rare_words_and_word_starts_tell_toxic_documents(spark, tmp_path):
+    """A word of twelve labelled documents, all toxic, tells; so do inflected forms of one."""
+    random.seed(5)
+    words = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(600):
+        text = random.choices(words, k=30)
+        if i % 40 == 0:
+            text.append("\u201erare\u201c, \"rarity\"!")
+        if i % 40 == 1:
+            text.append(f"abscheu{'lich' * (1 + i % 3)}{chr(97 + i // 40)}.")
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 40 < 2)))
+    docs += [(1000, "w1 w2 w3 (rarity)"), (1001, "w4 w5 w6 Abscheulichste"), (1002, "w7 w8 w9")]
+    df = stored(spark, tmp_path / "d", docs)
+    model = mixing.fit_domains(df, stored(spark, tmp_path / "l", labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.p_toxic for r in mixing.with_posteriors(df.filter("doc_id >= 1000"), model).collect()}
+    assert got[1000] >= model.toxic_from and got[1001] >= model.toxic_from
+    assert got[1002] < model.toxic_from
