@@ -281,7 +281,9 @@ def least_rate(keep_from: float | None) -> Column:
     return F.when(F.col(f"p_{DOMAINS[0]}") >= keep_from, 1.0).otherwise(0.0)
 
 
-def rate(steps: Sequence[Sequence[float]], keep_from: float | None = None) -> Column:
+def rate(
+    steps: Sequence[Sequence[float]], keep_from: float | None = None, most: float | None = None
+) -> Column:
     """The rate after the given projected steps, from 1, for a row with posteriors."""
     r, least = F.lit(1.0), least_rate(keep_from)
     for step in steps:
@@ -290,6 +292,8 @@ def rate(steps: Sequence[Sequence[float]], keep_from: float | None = None) -> Co
             F.col(f"p_{DOMAINS[0]}") * F.lit(float(step[0])),
         )
         r = F.greatest(least, r - move)
+        if most is not None:
+            r = F.least(F.lit(float(most)), r)
     return r
 
 
@@ -298,6 +302,7 @@ def fit_rates(
     targets: Mapping[str, float] = TARGETS,
     total: float | None = None,
     keep_from: float | None = None,
+    most: float | None = None,
 ) -> list[list[float]]:
     """Steps of projected gradient descent, to be given to ``rate``.
 
@@ -308,7 +313,8 @@ def fit_rates(
     documents whose rate is above its bound, which makes one the right step length.  A round is one
     sum over all rows; only a few numbers per domain reach the driver.  Ends at the targets,
     or when a round gains nothing.  Domains without tokens cannot meet a target and are left
-    out; an empty table gives no steps.
+    out; an empty table gives no steps.  With ``most`` no rate exceeds it, and the targets
+    are upper bounds: a domain that has less from the start is not made more.
     """
     cols = [F.col(f"p_{d}") for d in DOMAINS]
     k = range(len(DOMAINS))
@@ -316,7 +322,7 @@ def fit_rates(
 
     def state() -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens per domain, and the moments of what is above its bound."""
-        rows = soft.select("n_tokens", *cols, rate(steps, keep_from).alias("_rate"))
+        rows = soft.select("n_tokens", *cols, rate(steps, keep_from, most).alias("_rate"))
         free = F.col("_rate") > least_rate(keep_from) if steps else F.lit(True)
         mass = F.when(free, F.col("n_tokens")).otherwise(0)
         got = rows.agg(
@@ -336,6 +342,8 @@ def fit_rates(
     if total is None:
         total = now[0] / share[0] if now[0] and share[0] else now.sum()
     goal = np.where(now > 0, share * total, 0.0)
+    if most is not None:
+        goal = np.minimum(goal, now)
     whole = np.linalg.pinv(moments, rcond=1e-6, hermitian=True)
 
     def distance(tokens: np.ndarray) -> float:
@@ -403,9 +411,11 @@ def take_mixed(
 ) -> DataFrame:
     """The rows of ``docs`` that mixing takes at least once, each once, columns unchanged.
 
-    Documents whose posterior of the first domain reaches ``keep_from`` have a rate of at
-    least one and so stay; the others are thinned out towards the targets.  Null and empty
-    texts have the posterior of the prior.
+    Recognised toxic documents (``DomainModel.toxic_from``) go first, whatever their share
+    of the corpus.  Of the others, documents whose posterior of the first domain reaches
+    ``keep_from`` have a rate of one and so stay; the rest is thinned out towards the
+    targets, which are upper bounds, as no rate exceeds one.  Null and empty texts have the
+    posterior of the prior.
     """
     model = fit_domains(docs, labels, id_col, text_col)
     names = [f"p_{d}" for d in DOMAINS]
@@ -418,5 +428,6 @@ def take_mixed(
         with_posteriors(whole, model, "_body").select("_whole", "_id", "n_tokens", *names),
         "mixing-scored",
     )
-    steps = fit_rates(scored, targets, keep_from=keep_from)
-    return scored.filter(copies(rate(steps, keep_from), "_id") >= 1).select("_whole.*")
+    left = scored.filter(F.col("p_toxic") < F.lit(model.toxic_from))
+    steps = fit_rates(left, targets, keep_from=keep_from, most=1.0)
+    return left.filter(copies(rate(steps, keep_from, 1.0), "_id") >= 1).select("_whole.*")

@@ -131,3 +131,19 @@ def test_rare_words_and_word_starts_tell_toxic_documents(spark, tmp_path):
     got = {r.doc_id: r.p_toxic for r in mixing.with_posteriors(df.filter("doc_id >= 1000"), model).collect()}
     assert got[1000] >= model.toxic_from and got[1001] >= model.toxic_from
     assert got[1002] < model.toxic_from
+
+
+def test_recognised_toxic_documents_go_also_where_they_are_one_in_a_hundred(spark, tmp_path):
+    random.seed(7)
+    words = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(2000):
+        text = random.choices(words, k=20) + (random.choices(BAD, k=3) if i % 100 == 0 else [])
+        docs.append((i, " ".join(text)))
+        if i % 200 < 160:
+            labels.append((i, 1, int(i % 100 == 0)))
+    df = stored(spark, tmp_path / "d", docs)
+    known = stored(spark, tmp_path / "l", labels, "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in mixing.take_mixed(df, known).collect()}
+    assert not [i for i in ids if i % 100 == 0]
+    assert len(ids) >= 0.98 * 1980
