@@ -17,6 +17,13 @@ KEYWORDS = (
     "all rights reserved|free software|cc by|cc0|as is|endorse or promote|advertising materials"
 )
 
+# Further ones, for known sentences that have none of those.  The SQL looks for KEYWORDS only.
+MORE_KEYWORDS = (
+    r"copy of the mpl|copy of the gnu|attribution-noncommercial|"
+    r"attribution-noderiv|attribution-sharealike|attribution 4\.0"
+)
+COPYRIGHT_MARKS = r"\(c\)|©"
+
 # Identifier and pattern of a normalised sentence; the first match counts.
 SENTENCES = [
     ("SpdxMIT", r"spdx-license-identifier: mit\b"),
@@ -109,13 +116,17 @@ def sentences(text: Column) -> Column:
 
     Lower case (A-Z and letters beyond), comment marks away, white space to single spaces;
     a sentence ends at ``.``, ``!``, ``?`` or ``:`` before white space, and at a line's end
-    after such a mark or before an empty line.
+    after such a mark or before an empty line.  The ``.`` of ``v. 2.0`` ends none, and
+    ``and/or`` keeps its stroke.
     """
     clean = F.translate(F.lower(text), MARKS, "")
     blocks = F.regexp_replace(clean, r"[ \t\r]*\n([ \t\r]*\n)+", "\u0001")
     flat = F.regexp_replace(blocks, r"[ \t\r\n\x0B\f]+", " ")
+    flat = F.regexp_replace(flat, r"\bv\. (\d)", "v.$1")
+    flat = F.regexp_replace(flat, r"\bandor\b", "and/or")
     cut = F.split(F.regexp_replace(flat, r"([.!?]) ", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(cut, F.trim), lambda s: s.rlike(KEYWORDS))
+    spoken = f"{KEYWORDS}|{MORE_KEYWORDS}|^({COPYRIGHT_MARKS})"
+    return F.filter(F.transform(cut, F.trim), lambda s: s.rlike(spoken))
 
 
 def identify(sentence: Column) -> Column:
@@ -138,7 +149,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     One pass over each text, no shuffle; only texts with a keyword are cut into sentences.
     """
     text = body(text_col)
-    candidate = F.lower(text).rlike(KEYWORDS)
+    candidate = F.lower(text).rlike(f"{KEYWORDS}|{MORE_KEYWORDS}|{COPYRIGHT_MARKS}")
     rows = docs.select(
         F.col(id_col),
         F.when(candidate, F.array_join(F.transform(sentences(text), identify), ""))

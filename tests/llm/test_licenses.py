@@ -67,3 +67,24 @@ def test_rules_name_known_sentences():
     names = {n for n, _ in SENTENCES}
     for _, pattern in RULES:
         assert set(re.findall(r"<(\w+)>", pattern)) <= names
+
+
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+
+
+def test_standard_wordings_of_mpl_and_isc(spark, tmp_path):
+    rows = [(0, MPL), (1, ISC), (2, "© 2020 Someone."), (3, "Attribution-ShareAlike 4.0 International.")]
+    got = {r.doc_id: r for r in scan_licenses(stored(spark, tmp_path / "d", rows)).collect()}
+    assert got[0].licenses == "MPL-2.0" and got[0].sentence_ids == "<MPL2ref><MPL2copy>"
+    assert got[1].licenses == "ISC" and got[1].n_unknown == 0
+    assert got[2].sentence_ids == "<Copyright>"
+    assert got[3].licenses == "CC-BY-SA-4.0"
