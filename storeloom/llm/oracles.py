@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from storeloom.llm.licenses import KEYWORDS, MARKS, RULES, SENTENCES
 from storeloom.llm.merkle import BORDER, EMPTY_NODE, SENTENCE
+from storeloom.llm.phrase_index import NEAR_TERMS, NEAR_WORDS, WINDOW_WORDS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -135,3 +136,41 @@ SELECT page_id, strlen(t) AS payload_bytes,
        true AS complete
 FROM b
 """
+
+
+def _words(text: str) -> str:
+    return (
+        f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+
+
+PHRASES = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_words("text")} AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS i, {_words("text")} AS w FROM benchmark),
+ph AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS phrase
+       FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS s
+             FROM (SELECT *, least({WINDOW_WORDS}, len(w)) AS size FROM b WHERE len(w) > 0))),
+g AS (SELECT r, size, p, array_to_string(w[p:p + size - 1], ' ') AS phrase
+      FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p
+            FROM d, (SELECT DISTINCT size FROM ph) WHERE len(w) >= size)),
+m AS (SELECT r, item_id, size, p FROM g JOIN ph USING (size, phrase)),
+hit AS (SELECT r, count(*) AS n_hit
+        FROM (SELECT DISTINCT r, unnest(range(p, p + size)) AS at FROM m) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m WHERE item_id IS NOT NULL)
+          GROUP BY r),
+post AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+cf AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+rare AS (SELECT i, item_id, term, row_number() OVER (PARTITION BY i ORDER BY coalesce(n, 0), term)
+                AS rank FROM (SELECT DISTINCT i, item_id, unnest(w) AS term FROM b) LEFT JOIN cf USING (term)),
+need AS (SELECT *, count(*) OVER (PARTITION BY i) AS need FROM rare WHERE rank <= {NEAR_TERMS}),
+near AS (SELECT r, count(DISTINCT item_id) AS n_near_items FROM (
+           SELECT r, item_id, need, count(DISTINCT rank) OVER (PARTITION BY r, i ORDER BY pos
+                  RANGE BETWEEN {NEAR_WORDS - 1} PRECEDING AND CURRENT ROW) AS met
+           FROM post JOIN need USING (term)) WHERE met = need GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
+"""

@@ -12,6 +12,7 @@ from storeloom.llm.line_dedup import line_dedup
 from storeloom.llm.merkle import edit_trace
 from storeloom.llm.mixing import mix
 from storeloom.llm.ordinal import grade_documents
+from storeloom.llm.phrase_index import contamination
 from storeloom.llm.quality_forest import quality_rules
 from storeloom.llm.simhash import near_duplicates
 from storeloom.llm.suffix_dedup import substring_dedup
@@ -101,3 +102,17 @@ def warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"
     )
+
+
+@query("op11_phrase_index", oracles.PHRASES)
+def phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_item_ids").cast("long").alias("n_near_items"),
+    )
