@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storeloom.llm import bpe, oracles
 from storeloom.llm.common import table
+from storeloom.llm.conversation_repair import repair
 from storeloom.llm.licenses import scan_licenses
 from storeloom.llm.line_dedup import line_dedup
 from storeloom.llm.merkle import edit_trace
@@ -17,6 +18,7 @@ from storeloom.llm.quality_forest import quality_rules
 from storeloom.llm.simhash import near_duplicates
 from storeloom.llm.suffix_dedup import substring_dedup
 from storeloom.llm.warc import read_archives, write_archives
+from storeloom.llm.whitening import whiten
 from storeloom.plans.registry import Query
 from storeloom.session import work_folder
 
@@ -116,3 +118,41 @@ def phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         F.size("near_item_ids").cast("long").alias("n_near_items"),
     )
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).select(
+        "vec_id",
+        "component",
+        "n",
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the checksum of their id and turn; nulls are one space."""
+    space = F.lit(" ")
+    named = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat(named[0], F.lit(":"), named[1]).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    return turns.select(
+        "conv_id",
+        "turn",
+        (fault != 0).alias("kept"),
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault.isin(0, 1), "")
+        .when(fault == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+        .alias("text"),
+        F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+    ).drop("_copy")
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(table(spark, sf_dir, "conversations"))
+    return repair(turns, kept=F.col("kept")).report

@@ -6,6 +6,8 @@ from compare import duck, sf_dir, spark_rows, sql_rows
 from storeloom.llm.queries import REGISTRY
 
 SF = "0.001"
+# Rows of queries without SQL that do not answer each of the 200 documents.
+ROWS = {"op12_embedding_whitening": 2000, "op13_conversation_repair": 100}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,7 @@ def test_query_equals_its_sql(spark, con, name):
     q = REGISTRY[name]
     columns, got = spark_rows(q.run(spark, sf_dir(SF)))
     if q.oracle is None:
-        assert sum(got.values()) == 200
+        assert sum(got.values()) == ROWS.get(name, 200)
         return
     want_columns, want = sql_rows(con, q.oracle)
     assert columns == want_columns
