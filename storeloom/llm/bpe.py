@@ -28,6 +28,8 @@ PATTERN = (
 )
 # Text of a pack in characters, beyond which it is closed: bounds what a task holds.
 PACK_CHARS = 8_000_000
+# Buckets of words at most, and so blocks of a pack, however many partitions there are.
+BUCKETS = 4096
 # Words longer than this are merged with a heap.
 SHORT_WORD = 48
 OUT_ROWS = 512
@@ -132,7 +134,8 @@ class _Pack:
         """Number the words anew, frequent ones first, and name the pack after them.
 
         The name has the place in the table, so equal packs differ, and the words, so that
-        words and codes of different readings of a changing table can never be mixed up.
+        words and codes of different readings of a changing table (a task that is run again)
+        can never be mixed up.
         """
         flat = np.concatenate(self.rows)
         counts = np.bincount(flat, minlength=len(self.known))
@@ -170,12 +173,24 @@ def _packs(batches: Iterator[pa.RecordBatch], pack_chars: int) -> Iterator[_Pack
         yield pack.closed()
 
 
-def _send_words(
-    batches: Iterator[pa.RecordBatch], pack_chars: int, n: int
-) -> Iterator[pa.RecordBatch]:
-    """A block for each pack and bucket of words: their lengths and their bytes."""
+def _send(batches: Iterator[pa.RecordBatch], pack_chars: int, n: int) -> Iterator[pa.RecordBatch]:
+    """For each pack a row with its documents' ids and sizes, its words' buckets and the codes,
+    and a block for each bucket that it has words of: their lengths and their bytes."""
     for pack in _packs(batches, pack_chars):
         bucket = pack.buckets(n)
+        row_ids = pa.array(pack.ids, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([pack.name % n], pa.int32()),
+                pa.array([pack.name], pa.int64()),
+                pa.array([-1], pa.int32()),
+                pa.array([_packed(pack.codes)], pa.binary()),
+                pa.array([_packed(bucket)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(row_ids)], pa.int32()), row_ids),
+                pa.array([pack.sizes], pa.list_(pa.int64())),
+            ],
+            names=_SENT,
+        )
         order = np.argsort(bucket, kind="stable")
         ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=n)))
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -188,40 +203,35 @@ def _send_words(
             blocks.append(squeeze.compress(head + b"".join(words)))
         for at in range(0, len(names), 256):
             part = names[at : at + 256]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([pack.name] * len(part), pa.int64()),
-                    pa.array(part, pa.int32()),
-                    pa.array(blocks[at : at + 256], pa.binary()),
-                ],
-                names=["_pack", "_bucket", "_block"],
+            yield _block_rows(
+                pa.array([pack.name] * len(part), pa.int64()),
+                pa.array(part, pa.int32()),
+                pa.array(blocks[at : at + 256], pa.binary()),
             )
 
 
-def _send_codes(
-    batches: Iterator[pa.RecordBatch], pack_chars: int, n: int
-) -> Iterator[pa.RecordBatch]:
-    """A row for each pack: its documents' ids and sizes, the words' buckets, the codes."""
-    for pack in _packs(batches, pack_chars):
-        row_ids = pa.array(pack.ids, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([pack.name], pa.int64()),
-                pa.array([-1], pa.int32()),
-                pa.array([_packed(pack.codes)], pa.binary()),
-                pa.array([_packed(pack.buckets(n))], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(row_ids)], pa.int32()), row_ids),
-                pa.array([pack.sizes], pa.list_(pa.int64())),
-            ],
-            names=["_pack", "_bucket", "_block", "_buckets", "_rows", "_sizes"],
-        )
+_SENT = ["_to", "_pack", "_bucket", "_block", "_buckets", "_rows", "_sizes"]
+_SENT_TYPES = "_to int, _pack long, _bucket int, _block binary, _buckets binary, _rows array<long>, _sizes array<long>"
+
+
+def _block_rows(pack: pa.Array, bucket: pa.Array, block: pa.Array) -> pa.RecordBatch:
+    lists = pa.nulls(len(pack), pa.list_(pa.int64()))
+    rest = [pa.nulls(len(pack), pa.binary()), lists, lists]
+    return pa.RecordBatch.from_arrays([bucket, pack, bucket, block, *rest], names=_SENT)
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
-    """Blocks of words, sorted by bucket, to blocks of ids; each distinct word once."""
+    """Blocks of words, sorted by bucket, to blocks of ids; each distinct word once.
+
+    The packs' own rows, which come first, go through as they are.
+    """
     table, bucket, known = ranks.value, None, {}
     open_up = zstandard.ZstdDecompressor()
     for batch in batches:
+        own = int(np.searchsorted(batch.column("_bucket").to_numpy(), 0))
+        if own:
+            yield batch.slice(0, own)
+            batch = batch.slice(own)
         out = []
         for b, block in zip(batch.column("_bucket").to_pylist(), batch.column("_block")):
             if b != bucket:
@@ -238,10 +248,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.Recor
                 ids.append(found)
             sizes = np.array([n, *map(len, ids)], "<u4")
             out.append(_packed(np.concatenate([sizes, *ids])))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_pack"), batch.column("_bucket"), pa.array(out, pa.binary())],
-            names=["_pack", "_bucket", "_block"],
-        )
+        if out:
+            yield _block_rows(batch.column("_pack"), batch.column("_bucket"), pa.array(out, pa.binary()))
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,23 +310,15 @@ def _gathered(
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(dict(ranks))  # as large as the vocabulary, no more
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = "_pack long, _bucket int, _block binary"
-    more = "_buckets binary, _rows array<long>, _sizes array<long>"
-    words = rows.mapInArrow(lambda batches: _send_words(batches, pack_chars, n), block)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(parts, BUCKETS)
     found = (
-        words.repartition(n, "_bucket")
+        rows.mapInArrow(lambda batches: _send(batches, pack_chars, n), _SENT_TYPES)
+        .repartition(parts, "_to")
         .sortWithinPartitions("_bucket")
-        .mapInArrow(lambda batches: _encode_words(batches, sent), block)
-    )
-    codes = rows.mapInArrow(
-        lambda batches: _send_codes(batches, pack_chars, n), f"{block}, {more}"
-    )
-    return (
-        codes.unionByName(found, allowMissingColumns=True)
-        .repartition(n, "_pack")
-        .sortWithinPartitions("_pack", "_bucket")
+        .mapInArrow(lambda batches: _encode_words(batches, sent), _SENT_TYPES)
     )
+    return found.repartition(parts, "_pack").sortWithinPartitions("_pack", "_bucket")
 
 
 def encode(
@@ -333,12 +333,12 @@ def encode(
     Null and empty texts have no tokens; a null id stays null; rows that repeat stay, each
     on its own; other columns are not looked at.  No special tokens.
 
-    ``docs`` is read twice, once for the words and once for their places, and has to give
-    the same rows each time, as files do; if it doesn't, the job fails rather than mix
-    them up.  What is shuffled is every pack's distinct words, there and back in blocks, and
-    the codes of its documents, compressed.  A word that all documents have is one entry per
-    pack.  A task holds one pack, which has ``pack_chars`` characters or is one document, or
-    the distinct words of one bucket.
+    Texts are read and cut into words once.  What is shuffled is every pack's distinct words,
+    there and back in blocks, and with both the codes of its documents, compressed.  A word
+    that all documents have is one entry per pack.  A task holds one pack, which has
+    ``pack_chars`` characters or is one document, or the distinct words of one bucket.  A task
+    that is run again has to find the same rows, as it does in files; if it doesn't, the job
+    fails rather than mix them up.
     """
     home = _gathered(docs, ranks, id_col, text_col, pack_chars)
     return home.mapInArrow(_assemble, "_row long, ids array<int>").withColumnRenamed("_row", id_col)
