@@ -26,9 +26,9 @@ CHUNK = 1 << 16  # suffixes sorted at a time, more only if one gram has more
 # A gram with more anchors than this is not sorted in one task; its windows are counted.
 GROUP_ROWS = 250_000
 
-# A place packs tie (15 bits), offset of the anchor (34) and the smallest and largest
-# distance of a window's start before it (7 each).
-_TIE, _AT = 48, 14
+# A place packs the offset of the anchor and the smallest and largest distance of a window's
+# start before it (7 bits each).
+_AT = 14
 
 
 def _grams(flat: np.ndarray) -> np.ndarray:
@@ -99,13 +99,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     so that a gram that everyone has is one row per lot.
     """
     for batch in batches:
-        docs, ties = batch.column("_doc").to_numpy(), batch.column("_tie").to_numpy()
+        docs = batch.column("_doc").to_numpy()
         texts = [t.as_py().encode() for t in batch.column("_text")]
         for rows, offsets, parts in _pieces(texts):
             owner, offset, near, far, gram = _anchors(parts)
             row = np.array(rows)[owner]
             offset = offset + np.array(offsets)[owner]
-            place = (ties[row] << _TIE) | (offset << _AT) | (near << 7) | far
+            place = (offset << _AT) | (near << 7) | far
             _, first, back, count = np.unique(
                 gram, return_index=True, return_inverse=True, return_counts=True
             )
@@ -123,13 +123,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(places: np.ndarray) -> tuple[np.ndarray, ...]:
     """Offset, smallest and largest distance."""
-    return (places >> _AT) & ((1 << _TIE - _AT) - 1), (places >> 7) & 127, places & 127
+    return places >> _AT, (places >> 7) & 127, places & 127
 
 
-def _own(places, tie: int) -> np.ndarray:
-    """The places of a document's list that are of the row with this tie."""
+def _listed(places) -> np.ndarray:
+    """The places of a document, in order."""
     found = np.zeros(0, np.int64) if places is None else places.to_numpy(zero_copy_only=False)
-    return np.unique(found[found >> _TIE == tie])
+    return np.sort(found)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +139,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     so all its windows are repeats.
     """
     for batch in batches:
-        docs, ties = batch.column("_doc").to_numpy(), batch.column("_tie").to_numpy()
+        docs = batch.column("_doc").to_numpy()
         seen: set[bytes] = set()
         keys, owners, places, blobs = [], [], [], []
-        for i in np.lexsort((ties, docs)).tolist():
-            own = _own(batch.column("_places")[i].values, int(ties[i]))
-            if not len(own):
-                continue
+        for i in np.argsort(docs, kind="stable").tolist():
+            own = _listed(batch.column("_places")[i].values)
             text = batch.column("_text")[i].as_py().encode()
             offset, near, far = _unpacked(own)
             for place, at, a, b in zip(own.tolist(), offset.tolist(), near.tolist(), far.tolist()):
@@ -304,7 +302,7 @@ def _counted_repeats(contexts: DataFrame) -> DataFrame:
         .groupBy("_doc", "_place")
         .agg(F.collect_set("_distance").alias("_firsts"))
     )
-    offset = F.shiftright("_place", _AT).bitwiseAND(F.lit((1 << _TIE - _AT) - 1))
+    offset = F.shiftright("_place", _AT)
     near, far = F.shiftright("_place", 7).bitwiseAND(F.lit(127)), F.col("_place").bitwiseAND(F.lit(127))
     repeated = F.array_except(F.sequence(near, far), F.col("_firsts"))
     return firsts.select(
@@ -320,9 +318,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents without what the candidates' windows that are repeats cover."""
     for batch in batches:
         sizes, spans, kept = [], [], []
-        for i, tie in enumerate(batch.column("_tie").to_pylist()):
-            data = batch.column("_text")[i].as_py().encode()
-            places = _own(batch.column("_places")[i].values, tie)
+        for i, text in enumerate(batch.column("_text")):
+            data = text.as_py().encode()
+            places = _listed(batch.column("_places")[i].values)
             edge = np.zeros(len(data) + 1, np.int64)
             found = batch.column("_found")[i].as_py() or []
             known = {f["_place"] for f in found}
@@ -331,9 +329,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(edge, (offset - far)[whole], 1)
             np.add.at(edge, (offset - near)[whole] + LENGTH, -1)
             for f in found:
-                if f["_place"] >> _TIE == tie:
-                    np.add.at(edge, f["_spans"][::2], 1)
-                    np.add.at(edge, f["_spans"][1::2], -1)
+                np.add.at(edge, f["_spans"][::2], 1)
+                np.add.at(edge, f["_spans"][1::2], -1)
             gone = np.cumsum(edge)[:-1] > 0
             turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             sizes.append(len(data))
@@ -341,15 +338,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("_doc"),
+                batch.column("_id"),
+                batch.column("_copies"),
                 pa.array(sizes, pa.int64()),
                 pa.array(spans, pa.list_(pa.int64())),
                 pa.array(kept, pa.binary()),
             ],
-            names=["_doc", "n_bytes", "_turns", "kept"],
+            names=["_id", "_copies", "n_bytes", "_turns", "kept"],
         )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """One row for each id and text, numbered in the order in which they count.
+
+    Only for tables where ids repeat.  Ranges of the order are cut by a sample of id and
+    hash, so an id that a third of all rows have is spread over many tasks; the numbers are
+    written down, as every later step has to see the same ones.
+    """
+    name = F.unhex(F.md5("_text")).alias("_name")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(
+        rows.groupBy("_id", name)
+        .agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
+        .repartitionByRange(parts, "_id", "_name")
+        .sortWithinPartitions("_id", "_name")
+        .select(F.monotonically_increasing_id().alias("_doc"), "_id", "_copies", "_text"),
+        "suffix-rows",
+    )
+
+
 def substring_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -363,8 +380,8 @@ def substring_dedup(
     maximal removed runs (from, to); ``kept`` the other bytes, which may cut a character.
 
     Null and empty texts have no bytes.  Rows without an id come last; rows that share an
-    id are told apart by a hash of their text, in the order of which they count; identical
-    rows count as one document and all lose what it loses.  Other columns are not looked at.
+    id count in the order of the MD5 of their texts; identical rows count as one document and
+    all lose what it loses.  Other columns are not looked at.
 
     About one place in 35 bytes is an anchor; those whose gram stands alone are dropped after
     one shuffle of hashes.  The others fetch the bytes around them and are sorted by gram; a
@@ -372,12 +389,13 @@ def substring_dedup(
     windows with map-side sums.  The text is exchanged once, by id.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(HIGHEST)).alias("_doc"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(HIGHEST)).alias("_id"),
         body(text_col).alias("_text"),
     )
-    shared = rows.groupBy("_doc").count().filter("count > 1").limit(1).count() > 0
-    tie = F.xxhash64("_text").bitwiseAND(F.lit((1 << 15) - 1)) if shared else F.lit(0).cast("long")
-    rows = rows.withColumn("_tie", tie)
+    if rows.groupBy("_id").count().filter("count > 1").limit(1).count():
+        rows = _numbered(rows)
+    else:
+        rows = rows.select(F.col("_id").alias("_doc"), "_id", F.lit(1).cast("long").alias("_copies"), "_text")
 
     sampled = rows.mapInArrow(
         _sample, "_key long, _doc long, _place long, _n long, _lead boolean"
@@ -416,15 +434,17 @@ def substring_dedup(
         F.collect_list(F.struct("_place", "_spans")).alias("_found")
     )
     cut = with_places.join(per_doc, "_doc", "left").mapInArrow(
-        _cut, "_doc long, n_bytes long, _turns array<long>, kept binary"
+        _cut, "_id long, _copies long, n_bytes long, _turns array<long>, kept binary"
     )
+    # As many answers as there were identical rows.
+    cut = cut.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     pairs = F.when(F.size("_turns") > 0, F.sequence(F.lit(0), F.size("_turns") - 2, F.lit(2)))
     spans = F.transform(
         F.coalesce(pairs, F.array().cast("array<int>")),
         lambda i: F.struct(F.col("_turns")[i].alias("from"), F.col("_turns")[i + 1].alias("to")),
     )
     return cut.select(
-        F.nullif("_doc", F.lit(HIGHEST)).alias(id_col),
+        F.nullif("_id", F.lit(HIGHEST)).alias(id_col),
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         spans.alias("spans"),

@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -66,6 +68,23 @@ def test_odd_documents(spark, tmp_path):
     assert {tuple(r) for r in got} == left
 
 
+def test_many_rows_of_one_id_and_without_id(spark, tmp_path):
+    random.seed(9)
+    shared = ["".join(random.choices("abcdefgh ", k=150 + 20 * i)) for i in range(12)]
+
+    def text():
+        parts = [random.choice(shared) if random.random() < 0.3 else "".join(random.choices("klmno ", k=40))]
+        return "".join(parts + ["".join(random.choices("pqrst ", k=random.randint(0, 90)))] + [random.choice(shared)])
+
+    rows = [(7, text()) for _ in range(1000)] + [(None, text()) for _ in range(1000)]
+    rows += [(7, rows[3][1]), (None, rows[1500][1]), (None, None), (None, ""), (8, rows[1][1])]
+    once = dict.fromkeys((i, (t or "").encode()) for i, t in rows)
+    order = sorted(once, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1]).digest()))
+    want = plain(order)
+    got = Counter(tuple(r) for r in run(stored(spark, tmp_path / "d", rows)))
+    assert got == Counter((i, *want[i, (t or "").encode()]) for i, t in rows)
+
+
 def test_empty_table(spark, tmp_path):
     assert run(empty_docs(spark, tmp_path / "d")) == []
 
