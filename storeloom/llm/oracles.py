@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from storeloom.llm.licenses import KEYWORDS, MARKS, RULES, SENTENCES
+from storeloom.llm.licenses import (
+    KEYWORDS,
+    MARKS,
+    RULES,
+    SENTENCES,
+    SPDX,
+    SPDX_NAMES,
+    SPDX_NO_ID,
+    SPDX_OLDER,
+    SPDX_TAG,
+    SPDX_WORD,
+)
 from storeloom.llm.merkle import BORDER, EMPTY_NODE, SENTENCE
 from storeloom.llm.phrase_index import NEAR_TERMS, NEAR_WORDS, WINDOW_WORDS
 
@@ -83,39 +94,46 @@ FROM x
 
 
 def license_scan() -> str:
-    cases = " ".join(
-        f"WHEN regexp_matches(s, {quoted(pattern)}) THEN '<{name}>'" for name, pattern in SENTENCES
-    )
-    steps, seq = [], "sentence_ids"
-    for i, (_, pattern) in enumerate(RULES):
-        steps.append(f"r{i + 1} AS (SELECT *, regexp_replace({seq}, {quoted(pattern)}, '', 'g') AS q{i + 1} FROM r{i})")
-        seq = f"q{i + 1}"
-    seqs = ["sentence_ids", *[f"q{i + 1}" for i in range(len(RULES))]]
-    found = ", ".join(
-        f"CASE WHEN regexp_matches({seqs[i]}, {quoted(p)}) THEN '{name}' END"
-        for i, (name, p) in enumerate(RULES)
-    )
+    marked = f"regexp_replace(s, {quoted(SPDX)}, ' ', 'g')"
+    for name, pattern in SENTENCES:
+        marked = f"regexp_replace({marked}, {quoted(pattern)}, chr(2) || '{name}' || chr(3), 'g')"
+    word = "w"
+    for old, new in SPDX_OLDER:
+        word = f"regexp_replace({word}, {quoted(old)}, {quoted(new)})"
+    known = ", ".join(quoted(n.lower()) for n in SPDX_NAMES)
+    stated = "sentence_ids"
+    for name, pattern in RULES:
+        stated = f"regexp_replace({stated}, {quoted(pattern)}, chr(2) || '{name}' || chr(3), 'g')"
     names = list(dict.fromkeys(name for name, _ in RULES))
     order = ", ".join(quoted(n) for n in names)
+    tag_line = quoted(rf"({SPDX_TAG}[^\n]*)\n")
     blanks = quoted(r"[ \t\r]*\n([ \t\r]*\n)+")
     runs = quoted(r"[ \t\r\n\x0B\f]+")
     ends = quoted(r"([.!?]) ")
+    version, either = quoted(r"\bv\. (\d)"), quoted(r"\bandor\b")
     return f"""
 WITH c AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-f AS (SELECT doc_id, regexp_replace(regexp_replace(translate(t, {quoted(MARKS)}, ''),
-        {blanks}, chr(1), 'g'), {runs}, ' ', 'g') AS flat
+f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        translate(t, {quoted(MARKS)}, ''), {tag_line}, '\\1' || chr(1), 'g'), {blanks}, chr(1), 'g'),
+        {runs}, ' ', 'g'), {version}, 'v.\\1', 'g'), {either}, 'and/or', 'g') AS flat
       FROM c WHERE regexp_matches(t, {quoted(KEYWORDS)})),
 s AS (SELECT doc_id, list_filter(list_transform(string_split(
         regexp_replace(flat, {ends}, '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)),
         lambda x: regexp_matches(x, {quoted(KEYWORDS)})) AS ss FROM f),
-i AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s:
-        CASE {cases} ELSE '<Unknown>' END), '') AS ids FROM s),
-r0 AS (SELECT c.doc_id, coalesce(i.ids, '') AS sentence_ids FROM c LEFT JOIN i USING (doc_id)),
-{", ".join(steps)},
-l AS (SELECT doc_id, sentence_ids, [{found}] AS found FROM r{len(RULES)})
+i AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s: coalesce(nullif(
+        array_to_string(list_transform(regexp_extract_all({marked}, '\x02([A-Za-z0-9]+)\x03', 1),
+            lambda n: '<' || n || '>'), '') ||
+        array_to_string(list_transform(list_filter(flatten(list_transform(
+                regexp_extract_all(s, {quoted(SPDX)}, 1),
+                lambda e: regexp_extract_all(e, {quoted(SPDX_WORD)}))),
+            lambda w: NOT regexp_matches(w, {quoted(SPDX_NO_ID)})),
+            lambda w: CASE WHEN {word} IN ({known}) THEN '<spdx ' || {word} || '>'
+                      ELSE '<SpdxOther>' END), ''), ''), '<Unknown>')), '') AS ids FROM s),
+r AS (SELECT c.doc_id, coalesce(i.ids, '') AS sentence_ids FROM c LEFT JOIN i USING (doc_id)),
+l AS (SELECT doc_id, sentence_ids, regexp_extract_all({stated}, '\x02([^\x03]+)\x03', 1) AS found FROM r)
 SELECT doc_id, sentence_ids,
        array_to_string(list_filter([{order}], lambda n: list_contains(found, n)), ',') AS licenses,
-       (length(sentence_ids) - length(replace(sentence_ids, '<Unknown>', ''))) // 9 AS n_unknown
+       len(regexp_extract_all(sentence_ids, '<Unknown>|<SpdxOther>')) AS n_unknown
 FROM l
 """
 
