@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +23,10 @@ SHIFTS = (12, 18, 17)
 def with_tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     """Add the levels of the tree over a text column that has no nulls.
 
-    ``<prefix>leaves``: distinct hashes of the sentences; ``<prefix>paragraphs`` and
-    ``<prefix>sections``: the nodes in order; ``<prefix>root``.  A node is the hash of its
-    children's hashes, so equal roots mean equal texts, and below unequal nodes the
-    unequal children say where the texts differ.
+    ``<prefix>leaves``: distinct hashes of the sentences; ``<prefix>branches``: for each section
+    its paragraphs' nodes, one behind the other; ``<prefix>sections``: the sections' nodes;
+    ``<prefix>root``.  A node is the hash of its children's hashes, so equal roots mean equal
+    texts, and below unequal nodes the unequal children say where the texts differ.
     """
     sentences = F.transform(
         F.split(text, "\n"),
@@ -35,7 +35,7 @@ def with_tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     paragraphs = F.transform(f"{prefix}_sentences", lambda s: F.md5(F.array_join(s, "")))
     marked = F.array_join(
         F.transform(
-            f"{prefix}paragraphs",
+            f"{prefix}_paragraphs",
             lambda n: F.when(n.startswith(BORDER) | (n == EMPTY_NODE), F.concat(n, F.lit("|")))
             .otherwise(n),
         ),
@@ -45,14 +45,15 @@ def with_tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
         df.withColumn(f"{prefix}_sentences", sentences)
         .withColumns(
             {
-                f"{prefix}paragraphs": paragraphs,
+                f"{prefix}_paragraphs": paragraphs,
                 f"{prefix}leaves": F.array_distinct(
                     F.transform(F.flatten(f"{prefix}_sentences"), lambda s: F.xxhash64(s))
                 ),
             }
         )
-        .drop(f"{prefix}_sentences")
-        .withColumn(f"{prefix}sections", F.transform(F.split(marked, r"\|"), F.md5))
+        .withColumn(f"{prefix}branches", F.split(marked, r"\|"))
+        .drop(f"{prefix}_sentences", f"{prefix}_paragraphs")
+        .withColumn(f"{prefix}sections", F.transform(f"{prefix}branches", F.md5))
         .withColumn(f"{prefix}root", F.sha2(F.array_join(f"{prefix}sections", ""), 256))
     )
 
@@ -64,23 +65,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2 * both / total)
 
 
-def edit_span(nodes: Column, others: Column) -> Column:
-    """(from, to): the nodes of one level, ``to`` not included, that an edit has touched.
+NODE = 32  # digits of a node
 
-    What lies before ``from`` and from ``to`` on stands at the same place, counted from its
-    end, in the other tree.  Null for equal levels.
+
+def _apart(a: Column, b: Column) -> Column:
+    """The first place, from 0, at which two lists differ; -1 for equal ones."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    return (F.array_position(same, False) - 1).cast("int")
+
+
+def _children(branch: Column) -> Column:
+    """The paragraph nodes of a section."""
+    places = F.sequence(F.lit(0), (F.length(branch) / NODE).cast("int") - 1)
+    nodes = F.transform(places, lambda i: F.substring(branch, i * NODE + 1, F.lit(NODE)))
+    return F.when(F.length(branch) > 0, nodes).otherwise(F.array().cast("array<string>"))
+
+
+def _equal_paragraphs(one: list[Column], two: list[Column], turn: Callable[[Column], Column]) -> Column:
+    """Paragraphs before the first that differs: those of the equal sections, and the equal
+    ones of the section whose nodes differ, the only one whose children are compared.
+
+    ``one`` and ``two`` have sections and branches; ``turn`` is how lists are looked at.
     """
+    sections, branches, other_sections, other_branches = map(turn, [*one, *two])
+    at = _apart(sections, other_sections)
+    before = F.length(F.array_join(F.slice(branches, 1, F.greatest(at, F.lit(0))), "")) / NODE
+    own, other = (turn(_children(F.get(b, at))) for b in (branches, other_branches))
+    below = _apart(own, other)
+    return (before + below).cast("long")
 
-    def unlike(a: Column, b: Column) -> Column:
-        return F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
 
-    n = F.size(nodes).cast("long")
-    head = unlike(nodes, others) - 1
-    tail = unlike(F.reverse(nodes), F.reverse(others)) - 1
-    span = F.struct(
-        F.least(head, n).alias("from"), F.greatest(F.least(head, n), n - tail).alias("to")
-    )
-    return F.when(head >= 0, span)
+def edit_span(a: str, b: str) -> Column:
+    """(from, to): the paragraphs of tree ``a``, ``to`` not included, that differ from tree ``b``.
+
+    ``a`` and ``b`` are prefixes given to ``with_tree``.  Unequal roots lead to the first and the
+    last section whose nodes differ, those to their paragraphs.  A section ends by its own
+    content, so no equal paragraphs lie beyond a section that differs.  Null for equal roots.
+    """
+    one, two = ([F.col(f"{p}{level}") for level in ("sections", "branches")] for p in (a, b))
+    n = (F.length(F.array_join(one[1], "")) / NODE).cast("long")
+    head = _equal_paragraphs(one, two, lambda nodes: nodes)
+    tail = _equal_paragraphs(one, two, F.reverse)
+    span = F.struct(head.alias("from"), F.greatest(head, n - tail).alias("to"))
+    return F.when(F.col(f"{a}root") != F.col(f"{b}root"), span)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         id_col,
         F.length("_text").cast("long").alias("n_chars"),
         F.size("_sections").cast("long").alias("n_sections"),
-        F.size("_paragraphs").cast("long").alias("n_paragraphs"),
+        (F.length(F.array_join("_branches", "")) / NODE).cast("long").alias("n_paragraphs"),
         F.col("_root").alias("fingerprint"),
     )
 
@@ -179,7 +206,7 @@ def edit_trace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("_e_root").alias("edited_fingerprint"),
         likeness(F.col("_leaves"), F.col("_e_leaves")).alias("near_edited"),
         likeness(F.col("_leaves"), F.col("_after.leaves")).alias("near_next"),
-        edit_span(F.col("_paragraphs"), F.col("_e_paragraphs")).alias("_span"),
+        edit_span("_", "_e_").alias("_span"),
     ).select("*", F.col("_span.from").alias("edit_from"), F.col("_span.to").alias("edit_to")).drop(
         "_span"
     )

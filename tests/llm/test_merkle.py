@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from llm.odd import empty_docs, odd_docs, odd_rows, sha, stored
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ def test_branches_locate_an_edit(spark):
     new = old.replace("Paragraph 120.", "Paragraph one hundred twenty.")
     row = spark.createDataFrame([(old, new)], "a string, b string")
     row = with_tree(with_tree(row, "a", "x_"), "b", "y_")
-    span = edit_span(F.col("x_paragraphs"), F.col("y_paragraphs"))
+    span = edit_span("x_", "y_")
     assert tuple(row.select(span.alias("s")).first().s) == (120, 121)
     sections = row.select(
         F.size(F.array_except("x_sections", "y_sections")), F.size("x_sections")
@@ -48,6 +50,26 @@ def test_branches_locate_an_edit(spark):
     assert sections[0] == 1 and sections[1] > 3
 
 
+def test_spans_are_those_of_the_paragraphs_side_by_side(spark):
+    random.seed(12)
+    rows = []
+    for i in range(300):
+        old = [random.choice(["", "a.", "b", "c. d", f"p{random.randint(0, 60)}"]) for _ in range(random.randint(1, 60))]
+        new = list(old)
+        for _ in range(random.randint(0, 3)):
+            at = random.randint(0, len(new))
+            new[at : at + random.randint(0, 2)] = ["new", f"p{i}", ""][: random.randint(0, 3)]
+        rows.append((i, "\n".join(old), "\n".join(new)))
+    trees = with_tree(with_tree(spark.createDataFrame(rows, "i long, a string, b string"), "a", "x_"), "b", "y_")
+    for r in trees.select("i", "a", "b", edit_span("x_", "y_").alias("s")).collect():
+        old, new = r.a.split("\n"), r.b.split("\n")
+        same = [x == y for x, y in zip(old, new)]
+        back = [x == y for x, y in zip(old[::-1], new[::-1])]
+        head = same.index(False) if False in same else len(same)
+        tail = back.index(False) if False in back else len(back)
+        assert (None if r.a == r.b else (head, max(head, len(old) - tail))) == (r.s and tuple(r.s))
+
+
 @pytest.mark.parametrize("shifts", [(), (2, 3), (12, 18, 17)])
 def test_following_ids(spark, shifts):
     ids = [0, 1, 5, 4096, 4097, 2**40, 2**62, -3, -(2**63), 2**63 - 1]
