@@ -207,7 +207,7 @@ def near_links(prints: DataFrame, distance: int = 3, group_rows: int = GROUP_ROW
     most 2^n, which ends the splitting after six levels whatever the data.
     """
     spark = prints.sparkSession
-    level = prints.select(F.lit(0).cast("long").alias("_mask"), "_bits")
+    level = None
     masks = [0]  # the masks of the groups to be split
     links = []
     while masks:
@@ -215,9 +215,13 @@ def near_links(prints: DataFrame, distance: int = 3, group_rows: int = GROUP_ROW
             (_signed(mask), [_signed(mask | b) for b in _blocks(~mask & ALL_BITS, distance + 1)])
             for mask in masks
         ]
-        # At most (distance + 1) ^ 6 masks, as masks that leave few bits free are not split.
-        pieces = F.broadcast(spark.createDataFrame(finer, "_mask long, _finer array<long>"))
-        rows = level.join(pieces, "_mask").select(F.explode("_finer").alias("_mask"), "_bits")
+        if masks == [0]:
+            first = F.array(*[F.lit(m).cast("long") for m in finer[0][1]])
+            rows = prints.select(F.explode(first).alias("_mask"), "_bits")
+        else:
+            # At most (distance + 1) ^ 6 masks, as masks that leave few bits free are not split.
+            pieces = F.broadcast(spark.createDataFrame(finer, "_mask long, _finer array<long>"))
+            rows = level.join(pieces, "_mask").select(F.explode("_finer").alias("_mask"), "_bits")
         rows = rows.withColumn("_pattern", F.col("_mask").bitwiseAND(F.col("_bits")))
         if masks != [0]:
             rows = rows.distinct()  # a finer group can be reached over several coarser ones
