@@ -45,7 +45,7 @@ def buckets(text: str | None) -> np.ndarray:
     marks = {b"\x00" + m for m in set(low.encode().translate(None, LETTERS).split())}
     found = {zlib.crc32(w.encode()) % BUCKETS for w in words | starts}
     found |= {zlib.crc32(m) % BUCKETS for m in marks}
-    return np.fromiter(found, np.int32, len(found))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 @dataclass(frozen=True)
@@ -65,11 +65,14 @@ def tails(cuts: np.ndarray, scores: np.ndarray) -> np.ndarray:
 
 
 def _sums(weights: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    if not docs:
-        return np.zeros(0)
-    ends = np.cumsum([len(d) for d in docs])
-    total = np.append(0.0, np.cumsum(weights[np.concatenate(docs)]))
-    return total[ends] - total[np.append(0, ends[:-1])]
+    """The sum of each document's weights, whatever documents it is worked on with."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    total = np.zeros(len(docs))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        total[some] = np.add.reduceat(weights[np.concatenate([docs[i] for i in some])], starts)
+    return total
 
 
 def fit(docs: list[np.ndarray], grades: np.ndarray, max_loss: float = MAX_LOSS) -> OrdinalModel:
@@ -146,7 +149,7 @@ def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.sort(buckets(t)) for t in batch.column("_text").to_pylist()]
+        found = [buckets(t) for t in batch.column("_text").to_pylist()]
         columns = [batch.column("_at"), batch.column("_grade"), pa.array(found, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, names=["_at", "_grade", "_buckets"])
 
@@ -162,7 +165,7 @@ def fit_grades(
 
     Labels with a null are left out; of several labels of one id the lowest quality and the
     highest toxic count.  Texts are hashed where they are; the driver gets the distinct
-    buckets of the chosen rows, which the bound keeps small.
+    buckets of ``fit_rows`` rows at most, also where many rows share a labelled id.
     """
     chosen = (
         labels.select(id_col, "quality", "toxic").dropna()
@@ -176,6 +179,8 @@ def fit_grades(
     found = (
         labelled.select(F.xxhash64(id_col, "_text").alias("_at"), "_grade", "_text")
         .mapInArrow(_hashed, "_at long, _grade int, _buckets array<int>")
+        .orderBy("_at", "_grade")
+        .limit(fit_rows)
         .toArrow()
         .sort_by([("_at", "ascending"), ("_grade", "ascending")])
     )

@@ -291,12 +291,15 @@ def fit_forest(
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(fit_rows)
     )
-    # At most fit_rows ids, so small enough for every task whatever the corpus.
+    # At most fit_rows ids, so small enough for every task whatever the corpus; the rows with
+    # them are bounded once more below, as many may share an id.
     labelled = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     seen = _scan(labelled.select(id_col, "_quality", text_col), text_col, None)
     found = (
         seen.filter(~F.col("base_failed"))
         .select(F.xxhash64(id_col).alias("_at"), "_quality", *RATIOS)
+        .orderBy("_at", "_quality", *RATIOS)
+        .limit(fit_rows)
         .toArrow()
         .sort_by([(c, "ascending") for c in ("_at", "_quality", *RATIOS)])
     )
