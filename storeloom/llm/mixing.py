@@ -34,8 +34,9 @@ EPOCHS, BATCH, PACE, PENALTY, SEED = 40, 512, 0.2, 3e-4, 3
 # One labelled document in HELD, by its text, is kept out of the fit; on those, at most this
 # share of the clean ones may count as recognised toxic.
 HELD, MAX_LOSS = 5, 0.01
-ROUNDS = 8
 CLOSE = 1e-6  # stop when all domains are this close to their targets, as a share of all
+# Or when a round takes less than this share off the distance, or after so many rounds.
+GAIN, ROUNDS = 0.02, 16
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,8 @@ def fit_domains(
     ``labels`` has the id, ``quality`` and ``toxic``; rows with a null are left out, of
     several rows of one id the lowest quality and the highest toxic count.  Counts are
     summed by Spark; the driver gets the buckets that tell domains apart better than chance,
-    at most ``BUCKETS`` of them, and the chosen documents as lists of those.  Without
+    at most ``BUCKETS`` of them, and ``fit_rows`` chosen rows at most as lists of those, also
+    where many rows share a labelled id.  Without
     labelled documents all domains are equally likely everywhere.
     """
     chosen = (
@@ -212,6 +214,8 @@ def fit_domains(
     known = _table([str(x).lower() for x in isin], "boolean")
     found = (
         seen.select("_at", "_kind", "_held", F.filter("_features", lambda b: known[b]).alias("_features"))
+        .orderBy("_at", "_kind")
+        .limit(fit_rows)
         .toArrow()
         .sort_by([("_at", "ascending"), ("_kind", "ascending")])
     )
@@ -270,7 +274,9 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
     rest = F.lit(1.0)
     for d in DOMAINS[1:]:
         rest = rest - F.col(f"p_{d}")
-    rows = rows.withColumns({f"p_{DOMAINS[0]}": F.round(rest, 6), "n_tokens": F.col("_tokens")})
+    # Two shares rounded up can leave the first one a millionth short of nothing.
+    first = F.greatest(F.round(rest, 6), F.lit(0.0))
+    rows = rows.withColumns({f"p_{DOMAINS[0]}": first, "n_tokens": F.col("_tokens")})
     return rows.drop("_text", "_tokens", "_features", *[f"_s{i}" for i in range(len(scores))])
 
 
@@ -284,17 +290,40 @@ def least_rate(keep_from: float | None) -> Column:
 def rate(
     steps: Sequence[Sequence[float]], keep_from: float | None = None, most: float | None = None
 ) -> Column:
-    """The rate after the given projected steps, from 1, for a row with posteriors."""
-    r, least = F.lit(1.0), least_rate(keep_from)
-    for step in steps:
-        move = sum(
-            (F.col(f"p_{d}") * F.lit(float(c)) for d, c in zip(DOMAINS[1:], step[1:])),
-            F.col(f"p_{DOMAINS[0]}") * F.lit(float(step[0])),
-        )
+    """The rate after the given projected steps, from 1, for a row with posteriors.
+
+    The steps are a constant that is gone through row by row, so that many of them make no
+    long expression.
+    """
+    if not len(steps):
+        return F.lit(1.0)
+    least = least_rate(keep_from)
+
+    def moved(r: Column, step: Column) -> Column:
+        move = F.col(f"p_{DOMAINS[0]}") * step[f"c{0}"]
+        for i, d in enumerate(DOMAINS[1:], 1):
+            move = F.col(f"p_{d}") * step[f"c{i}"] + move
         r = F.greatest(least, r - move)
-        if most is not None:
-            r = F.least(F.lit(float(most)), r)
-    return r
+        return r if most is None else F.least(F.lit(float(most)), r)
+
+    moves = F.array(*[F.struct(*[F.lit(float(c)).alias(f"c{i}") for i, c in enumerate(s)]) for s in steps])
+    return F.aggregate(moves, F.lit(1.0), moved)
+
+
+class Steps(list):
+    """Steps for ``rate``, with the tokens per domain that they lead to and those aimed at."""
+
+    def __init__(self, steps: Sequence = (), expected: Sequence[float] = (), wanted: Sequence[float] = ()) -> None:
+        super().__init__(steps)
+        self.expected = dict(zip(DOMAINS, map(float, expected)))
+        self.wanted = dict(zip(DOMAINS, map(float, wanted)))
+
+    @property
+    def miss(self) -> float:
+        """The largest distance of a domain from its target, as a share of all tokens wanted."""
+        total = sum(self.wanted.values())
+        gaps = [abs(self.expected[d] - w) for d, w in self.wanted.items()]
+        return max(gaps) / total if total else 0.0
 
 
 def fit_rates(
@@ -303,7 +332,7 @@ def fit_rates(
     total: float | None = None,
     keep_from: float | None = None,
     most: float | None = None,
-) -> list[list[float]]:
+) -> Steps:
     """Steps of projected gradient descent, to be given to ``rate``.
 
     Minimises the squared distance of the domains' expected tokens from their targets over
@@ -311,8 +340,9 @@ def fit_rates(
     reaches ``keep_from``.  Rates move in the metric of token counts, so documents of equal
     posteriors keep equal rates, and the gradient is scaled by the token moments of the
     documents whose rate is above its bound, which makes one the right step length.  A round is one
-    sum over all rows; only a few numbers per domain reach the driver.  Ends at the targets,
-    or when a round gains nothing.  Domains without tokens cannot meet a target and are left
+    sum over all rows; only a few numbers per domain reach the driver.  Ends at the targets
+    (``CLOSE``), or when a round gains hardly more (``GAIN``) or after ``ROUNDS``; the steps tell
+    which by their ``miss``.  Domains without tokens cannot meet a target and are left
     out; an empty table gives no steps.  With ``most`` no rate exceeds it, and the targets
     are upper bounds: a domain that has less from the start is not made more.
     """
@@ -336,7 +366,7 @@ def fit_rates(
 
     now, moments = state()
     if not now.sum():
-        return []
+        return Steps()
     share = np.array([targets[d] for d in DOMAINS], dtype=float)
     share /= share.sum()
     if total is None:
@@ -361,11 +391,11 @@ def fit_rates(
                 best = tried, move
             if distance(tried[0]) < (1 - 0.5 * length) * distance(now):
                 break
-        if distance(best[0][0]) > 0.95 * distance(now):
+        if not distance(best[0][0]) < (1 - GAIN) * distance(now):
             steps[:] = old
             break
         (now, moments), steps[:] = best[0], [*old, best[1]]
-    return steps
+    return Steps(steps, now, goal)
 
 
 def copies(rates: Column, id_col: str, seed: int = 11) -> Column:
@@ -382,9 +412,10 @@ def mix(
     text_col: str = "text",
     total: float | None = None,
 ) -> DataFrame:
-    """Per row: the id, ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
+    """Per row: the id, ``n_tokens``, ``p_<domain>``, ``rate``, ``copies`` and ``miss``.
 
-    Null and empty texts have no tokens and the prior of the domains; repeated rows are
+    ``miss`` is one value: how far the domain that is farthest from its target stays off it
+    after the fit, as a share of all tokens wanted.  Null and empty texts have no tokens and the prior of the domains; repeated rows are
     rows like others; other columns are not looked at.  Every text is read once for the
     few labelled ones and once for the posteriors, which are written down; the rounds read
     only those narrow rows.  No text is shuffled.
@@ -398,7 +429,9 @@ def mix(
         "mixing-posteriors",
     )
     steps = fit_rates(soft, targets, total)
-    return soft.withColumns({"rate": rate(steps), "copies": copies(rate(steps), id_col)})
+    return soft.withColumns(
+        {"rate": rate(steps), "copies": copies(rate(steps), id_col), "miss": F.lit(steps.miss)}
+    )
 
 
 def take_mixed(

@@ -61,6 +61,7 @@ def test_rates_meet_the_targets_and_equal_a_plain_fit(corpus):
     want, goal = plain_rates((p, n), share)
     assert np.abs((n[:, None] * p * r[:, None]).sum(0) - goal).max() < 1e-4 * goal.sum()
     assert np.abs(r - want).max() < 1e-2 and (r >= 0).all()
+    assert got[0].miss < 1e-5
     assert all(abs(x.copies - x.rate) < 1 for x in got)
     assert sum(x.copies for x in got) == pytest.approx(r.sum(), rel=0.1)
 
@@ -78,10 +79,12 @@ def test_classifier_on_documents_without_label(corpus):
 
 def test_targets_out_of_reach_end_with_bounded_rates(corpus):
     docs, labels, _ = corpus
-    soft = mixing.with_posteriors(docs, mixing.fit_domains(docs, labels))
+    soft = mixing.with_posteriors(docs, mixing.fit_domains(docs, labels)).cache()
     steps = mixing.fit_rates(soft, {"clean": 1.0, "poor": 0.0, "toxic": 0.0})
     low, high = soft.select(mixing.rate(steps).alias("r")).agg(F.min("r"), F.max("r")).first()
     assert low >= 0 and high < 3
+    # Every document is to some part poor or toxic, so the fit misses, and says so.
+    assert steps.miss > 1e-4 and steps.wanted["toxic"] == 0 < steps.expected["toxic"]
     kept = mixing.rate(mixing.fit_rates(soft, keep_from=0.5), 0.5)
     assert soft.filter("p_clean >= 0.5").filter(kept < 1).count() == 0
 
