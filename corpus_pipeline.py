@@ -6,7 +6,7 @@ it.  All but the last give back the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeloom.llm import bpe
@@ -22,32 +22,68 @@ from storeloom.plans.registry import Query
 ORACLE_SQL = None
 
 
+class Packed:
+    """Documents as id, text and one struct of all other columns, whatever these are called."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.columns = docs.columns
+        self.rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.rest)]
+        self.rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *others).alias("columns"))
+
+    def unpacked(self, df: DataFrame, **changed: Column) -> DataFrame:
+        """The documents' own columns again, those in ``changed`` anew."""
+        own = {c: F.col(f"columns.c{i}") for i, c in enumerate(self.rest)}
+        own |= {c: F.col(c) for c in ("doc_id", "text")} | changed
+        return df.select(*[own[c].alias(c) for c in self.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the forest let pass."""
-    judged = quality_rules(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that the base rules and the forest let pass, unchanged."""
+    packed = Packed(docs)
+    judged = quality_rules(packed.rows, table(spark, sf_dir, "labels"))
+    return packed.unpacked(judged.filter("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first; ``n_chars`` follows the text."""
-    kept = line_dedup(docs)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    """Lines that several documents share stay in the first; ``n_chars`` follows the text.
+
+    Other columns stay as they are.
+    """
+    packed = Packed(docs)
+    counted = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return packed.unpacked(line_dedup(packed.rows), **counted)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates, the document with the smallest id.
+    """Of every group of near-duplicates one document: that with the smallest id.
 
-    Documents without an id stay.
+    Rows that share an id, or have none, are documents of their own: among those with the
+    smallest id the one whose text has the smallest MD5 stays, of identical ones one; rows
+    without an id count as the largest.
     """
-    groups = near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.filter("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi"))
+    ids = docs.select("doc_id").groupBy("doc_id").count()
+    if not ids.filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        groups = near_duplicates(docs)
+        kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi")
+    packed = Packed(docs)
+    name = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = saved(
+        packed.rows.withColumn("name", name)
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "name")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "name")
+        .withColumn("row", F.monotonically_increasing_id()),
+        "pipeline-rows",
+    )
+    groups = near_duplicates(numbered, id_col="row")
+    kept = groups.filter(F.col("row") == F.col("component_id")).select("row")
+    return packed.unpacked(numbered.join(kept, "row", "left_semi"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that mixing to the target weights takes at least once."""
+    """Documents that mixing to the target weights takes at least once, unchanged."""
     return take_mixed(docs, table(spark, sf_dir, "labels"))
 
 
