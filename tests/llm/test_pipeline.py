@@ -1,9 +1,11 @@
 """The stages one after the other, against plain versions of what each decides."""
 
+from collections import Counter
+
 import corpus_pipeline as cp
 import pytest
 from compare import sf_dir
-from llm.odd import empty_docs, odd_docs
+from llm.odd import empty_docs, odd_rows, stored
 from llm.test_line_dedup import plain as plain_lines
 from llm.test_simhash import plain as plain_groups
 
@@ -74,11 +76,50 @@ def test_run_gives_the_same(spark, steps):
     assert got == sorted((r.doc_id, r.ids_sha256, r.n_tokens) for r in steps[5].collect())
 
 
-def test_odd_and_empty_documents(spark, tmp_path):
-    for make in (odd_docs, empty_docs):
-        docs = make(spark, tmp_path / make.__name__)
-        for n, (_, stage) in enumerate(cp.STAGES):
-            out = stage(spark, docs, DIR)
-            if n < len(cp.STAGES) - 1:
-                assert out.columns == docs.columns
-            out.collect()
+ODD = "doc_id long, text string, lang string, kept boolean, n_lines string, anomaly string, row int, columns string, `a.b` string, n_chars long"
+
+
+def odd_table(spark, folder, rows):
+    rows = [(i, t, "xx", None, "mine", "own", n, "c", f"dot {n}", -1) for n, (i, t) in enumerate(rows)]
+    return stored(spark, folder, rows, ODD)
+
+
+def everything(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_odd_documents_keep_all_their_columns(spark, tmp_path):
+    docs = odd_table(spark, tmp_path / "odd", odd_rows())
+    at = {c: n for n, c in enumerate(docs.columns)}
+    for n, (name, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        got = everything(out)
+        if name == "line_dedup":
+            assert len(got) == docs.count()
+            plain_cut = Counter((i, t) for i, t, *_ in plain_lines(odd_rows()))
+            assert Counter((r[0], r[1]) for r in got.elements()) == plain_cut
+            assert all(r[at["n_chars"]] == len(r[1]) for r in got)
+            rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+            assert everything(out.select(*[f"`{c}`" for c in rest])) == everything(
+                docs.select(*[f"`{c}`" for c in rest])
+            )
+        else:
+            assert got <= everything(docs)
+    assert cp.token_stage(spark, docs, DIR).count() == docs.count()
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    one, other = "a b c d e f g", "quite another text of some length"
+    rows = [(1, one), (5, other), (5, one), (None, one), (None, one), (7, one), (None, "third kind of text here")]
+    docs = odd_table(spark, tmp_path / "near", rows)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_stage(spark, docs, DIR).collect()), key=str)
+    assert got == [(1, one), (5, other), (None, "third kind of text here")]
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = empty_docs(spark, tmp_path / "empty")
+    for n, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, DIR)
+        assert out.collect() == []
+        assert n == len(cp.STAGES) - 1 or out.columns == docs.columns
