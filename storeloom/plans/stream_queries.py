@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeloom.operators.dedup import last_by_key
 from storeloom.operators.keyed import upsert_latest
 from storeloom.plans.fixtures import TABLES, table
-from storeloom.plans.inbound import accepted
+from storeloom.plans.inbound import InboundStream, accepted
 from storeloom.plans.keyed_queries import APP_KEY, TTL_ORACLE
 from storeloom.plans.registry import REGISTRY, query
 from storeloom.plans.traffic_queries import LEVELS, OPTOUT_WORDS, REFUSED
 from storeloom.session import work_folder
 from storeloom.sources.webhooks import table_stream
 from storeloom.streaming import streams
-from storeloom.streaming.ttl_state import stream_dedup_ttl
+from storeloom.streaming.rolling import RollingStream
+from storeloom.streaming.ttl_state import TtlStream
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +39,75 @@ def stream_dedup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, streams.stream_first(twice, ["event_id"]), "stream_dedup_id")
 
 
+TTL_COLUMNS = ["event_id", "event_type", "ts"]
+
+
+def _ttl_stream(spark: SparkSession, stream: DataFrame, label: str, **rules) -> TtlStream:
+    return TtlStream(
+        work_folder(spark, label), stream.schema, "event_type", "ts", "event_id", 300, **rules
+    )
+
+
 @query("stream_dedup_ttl", TTL_ORACLE)
 def stream_dedup_ttl_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    kept = stream_dedup_ttl(events, "event_type", "ts", "event_id", 300)
-    return _run(spark, kept, "stream_dedup_ttl")
+    events = _stream(spark, sf_dir, "events").select(*TTL_COLUMNS)
+    deduped = _ttl_stream(spark, events, "stream_dedup_ttl")
+    deduped.start(events).awaitTermination()
+    return deduped.kept(spark).drop("batch_id")
+
+
+# Where the deliveries of the next two queries are cut into micro-batches.
+CUTS = ["2024-01-08 00:00:00", "2024-01-12 00:00:00", "2024-01-24 00:00:00"]
+
+
+def _in_batches(spark: SparkSession, events: DataFrame, batch: Column) -> DataFrame:
+    """The events as a stream of one file per micro-batch, files in the order of ``batch``."""
+    folder = work_folder(spark, "drops")
+    parts = events.withColumn("_batch", batch)
+    for n in range(len(CUTS) + 1):
+        own = parts.filter(F.col("_batch") == n).drop("_batch").coalesce(1)
+        own.write.mode("append").parquet(folder)
+    return table_stream(spark, folder, events.schema, files_per_trigger=1)
+
+
+def _turn() -> Column:
+    at = F.lit(0)
+    for cut in CUTS:
+        at = at + (F.col("ts") >= F.lit(cut).cast("timestamp_ntz")).cast("int")
+    return at
+
+
+@query("stream_dedup_ttl_batches", TTL_ORACLE)
+def stream_dedup_ttl_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four micro-batches in time order, their anchors folded every second one, the last
+    batch done twice: the answer of one batch."""
+    events = table(spark, sf_dir, "events").select(*TTL_COLUMNS)
+    stream = _in_batches(spark, events, _turn())
+    deduped = _ttl_stream(spark, stream, "ttl_batches", merge_every=2, horizon_seconds=86400)
+    deduped.start(stream).awaitTermination()
+    last = events.filter(_turn() == len(CUTS))
+    deduped.step(last, len(CUTS))
+    return deduped.kept(spark).drop("batch_id")
+
+
+@query(
+    "stream_ttl_late",
+    f"""
+    SELECT event_id, event_type, ts FROM events JOIN (
+        SELECT event_type, max(ts) AS last FROM events
+        WHERE ts < TIMESTAMP '{CUTS[0]}' OR ts >= TIMESTAMP '{CUTS[1]}' GROUP BY event_type)
+        USING (event_type)
+    WHERE ts >= TIMESTAMP '{CUTS[0]}' AND ts < TIMESTAMP '{CUTS[1]}'
+      AND last >= TIMESTAMP '{CUTS[1]}'
+    """,
+)
+def stream_ttl_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stretch of events comes after all others: its rows are late, kept apart, not lost."""
+    events = table(spark, sf_dir, "events").select(*TTL_COLUMNS)
+    stream = _in_batches(spark, events, F.when(_turn() == 1, len(CUTS)).otherwise(F.lit(0)))
+    deduped = _ttl_stream(spark, stream, "ttl_late")
+    deduped.start(stream).awaitTermination()
+    return deduped.late(spark).drop("batch_id")
 
 
 @query("stream_replica", REGISTRY["upsert_latest"].oracle)
@@ -109,6 +174,69 @@ def stream_rate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("stream_rolling", REGISTRY["rate_rolling_per_key"].oracle)
+def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing counts in four micro-batches, each with the last hour before it."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    stream = _in_batches(spark, events, _turn())
+    rolling = RollingStream(work_folder(spark, "rolling"), stream.schema, "ts", 3600, 5, "event_type")
+    rolling.start(stream).awaitTermination()
+    return rolling.counted(spark).drop("batch_id", "event_type")
+
+
+# Half a day off the orders' dates, so that no interval ends just at the watermark.
+WAIT, UNTIL = "732 HOURS", "2172 HOURS"
+_CLOSED = f"""o_orderdate + INTERVAL {WAIT} < (SELECT least(
+    max(o_orderdate) FILTER (o_orderstatus = 'P'), max(o_orderdate) FILTER (o_orderstatus = 'F'))
+    - INTERVAL 1 HOUR FROM orders)"""
+
+
+def _order_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders that wait for a payment, and payments, each a stream of its own."""
+    at = F.col("o_orderdate").cast("timestamp")
+    waiting = _stream(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    paid = _stream(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    return (
+        waiting.select("o_orderkey", "o_custkey", at.alias("created")),
+        paid.select("o_custkey", at.alias("paid_at")),
+    )
+
+
+@query(
+    "stream_recovery",
+    f"""
+    SELECT o_orderkey, o_custkey, o_orderdate AS created FROM orders p
+    WHERE o_orderstatus = 'P' AND {_CLOSED} AND NOT EXISTS (
+        SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_custkey = p.o_custkey
+           AND f.o_orderdate > p.o_orderdate AND f.o_orderdate <= p.o_orderdate + INTERVAL {WAIT})
+    """,
+)
+def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pending, payments = _order_streams(spark, sf_dir)
+    unpaid = streams.stream_recovery(pending, payments, "o_custkey", "created", "paid_at", WAIT)
+    out = _run(spark, unpaid, "stream_recovery")
+    return out.withColumn("created", F.col("created").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_late_payments",
+    f"""
+    SELECT p.o_orderkey, p.o_custkey, p.o_orderdate AS created, f.o_orderdate AS late_at
+    FROM orders p JOIN orders f ON f.o_orderstatus = 'F' AND f.o_custkey = p.o_custkey
+        AND f.o_orderdate > p.o_orderdate + INTERVAL {WAIT}
+        AND f.o_orderdate <= p.o_orderdate + INTERVAL {UNTIL}
+    WHERE p.o_orderstatus = 'P'
+    """,
+)
+def stream_late_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pending, payments = _order_streams(spark, sf_dir)
+    late = streams.stream_late_payments(pending, payments, "o_custkey", "created", "paid_at", WAIT, UNTIL)
+    out = _run(spark, late, "stream_late_payments")
+    for c in ("created", "late_at"):
+        out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return out
+
+
 @query(
     "stream_purge",
     """
@@ -183,8 +311,11 @@ def inbound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(deliveries, APP_KEY, "event_id", "ts", "body").select("event_id", "ts")
 
 
-@query("stream_inbound", "SELECT DISTINCT event_id FROM (" + ACCEPTED_ORACLE + ")")
+@query("stream_inbound", ACCEPTED_ORACLE)
 def stream_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     deliveries = _deliveries(_stream(spark, sf_dir, "events"))
-    fresh = accepted(deliveries, APP_KEY, "event_id", "ts", "body").select("event_id")
-    return _run(spark, fresh, "stream_inbound")
+    inbound = InboundStream(
+        deliveries, work_folder(spark, "stream_inbound"), APP_KEY, "event_id", "ts", "body"
+    )
+    inbound.start().awaitTermination()
+    return inbound.accepted(spark).select("event_id", "ts")

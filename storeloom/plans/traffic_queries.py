@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeloom.functions.clock import minutes
-from storeloom.operators import ops, outbox, privacy, rates
+from storeloom.operators import claims, identity, ops, outbox, privacy, rates
 from storeloom.plans.fixtures import ntz, some_without, table
 from storeloom.plans.registry import query
+from storeloom.session import work_folder
 from storeloom.sources.payloads import payload_fields
 
 
@@ -29,6 +32,42 @@ def outbox_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Runs of the next query: when, and which messages were sent before it.
+RUNS = ["2024-01-15 00:00:00", "2024-01-15 12:00:00", "2024-01-16 06:00:00"]
+SENT = "event_id % 3 = 0"
+
+
+def _runs_sql() -> str:
+    """Each run spelled out: what earlier runs hold and what is sent is not claimed."""
+    parts, earlier = [], "SELECT NULL::BIGINT AS event_id, NULL::TIMESTAMP AS expires_at, 0 AS attempt WHERE false"
+    for n, at in enumerate(RUNS):
+        parts.append(f"""run{n} AS (
+            SELECT event_id, worker, turn, attempt, TIMESTAMP '{at}' AS claimed_at,
+                   TIMESTAMP '{at}' + INTERVAL 1 DAY AS expires_at, {n} AS run FROM (
+                SELECT event_id, event_id % 4 AS worker, coalesce(attempt, 0) + 1 AS attempt,
+                       row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS turn
+                FROM events LEFT JOIN (SELECT event_id, max(expires_at) AS until, max(attempt) AS attempt
+                                       FROM ({earlier}) GROUP BY event_id) USING (event_id)
+                WHERE event_type = 'signup' AND ts <= TIMESTAMP '{at}'
+                  AND (until IS NULL OR until <= TIMESTAMP '{at}')
+                  AND ({n} = 0 OR NOT ({SENT}))) WHERE turn <= 20)""")
+        earlier = " UNION ALL ".join(f"SELECT event_id, expires_at, attempt FROM run{i}" for i in range(n + 1))
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM run{n}" for n in range(len(RUNS)))
+
+
+@query("outbox_claim_runs", _runs_sql())
+def outbox_claim_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs: the second finds the first one's messages taken, the third finds them free."""
+    queue = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    runs = claims.ClaimTable(work_folder(spark, "claims"), "event_id", queue.schema["event_id"].dataType, 86400)
+    sent = queue.filter(SENT)
+    held = [
+        runs.run(queue, n, ntz(at), 4, 20, "ts", "event_type", "signup", sent if n else None)
+        for n, at in enumerate(RUNS)
+    ]
+    return reduce(DataFrame.unionByName, held)
+
+
 @query(
     "outbox_backlog",
     """
@@ -161,6 +200,65 @@ def optout_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.erase(events, people, "user_id", ["value", "props"])
 
 
+# People are known by document and phone: three customers share a phone, and some orders
+# carry the document of one group of three and the phone of the next.
+PEOPLE = {
+    "customers": ("customer", "c_custkey", "c_custkey", "c_custkey // 3", "c_name"),
+    "leads": (
+        "orders",
+        "o_orderkey",
+        "CASE WHEN o_orderkey % 7 = 0 THEN o_custkey END",
+        "CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey + 1) // 3 END",
+        "CAST(CAST(o_totalprice AS DECIMAL(10, 2)) AS VARCHAR)",
+    ),
+    "messages": (
+        "events",
+        "event_id",
+        "CASE WHEN event_id % 2 = 0 THEN user_id END",
+        "CASE WHEN event_id % 3 = 0 THEN user_id // 3 END",
+        "props",
+    ),
+}
+REFUSERS = "event_type = 'error' AND contains(props, ': 40}')"
+_PEOPLE_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS source, {row_id} AS row_id, {doc} AS document, {phone} AS phone, {what} AS personal"
+    f" FROM {source}"
+    for name, (source, row_id, doc, phone, what) in PEOPLE.items()
+)
+
+
+@query(
+    "erase_everywhere",
+    f"""
+    WITH RECURSIVE people AS ({_PEOPLE_SQL}),
+    pairs AS (SELECT DISTINCT 'd' || document AS a, 'p' || phone AS b FROM people
+              WHERE document IS NOT NULL AND phone IS NOT NULL),
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    gone(id) AS (
+        SELECT DISTINCT 'd' || user_id FROM events WHERE {REFUSERS}
+        UNION SELECT b FROM gone JOIN links ON a = id)
+    SELECT source, row_id, document, phone,
+           CASE WHEN coalesce('d' || document IN (SELECT id FROM gone), false)
+                  OR coalesce('p' || phone IN (SELECT id FROM gone), false)
+                THEN NULL ELSE personal END AS personal
+    FROM people
+    """,
+)
+def erase_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {}
+    for name, (source, row_id, doc, phone, what) in PEOPLE.items():
+        columns = [row_id, doc.replace("//", "div"), phone.replace("//", "div"), what.replace("VARCHAR", "STRING")]
+        names = ["row_id", "document", "phone", "personal"]
+        rows = table(spark, sf_dir, source).select(
+            F.lit(name).alias("source"), *[F.expr(c).alias(n) for c, n in zip(columns, names)]
+        )
+        known = {"document": F.col("document"), "phone": F.col("phone")}
+        tables[name] = identity.Personal(rows, known, ["personal"])
+    people = table(spark, sf_dir, "events").filter(REFUSERS)
+    erased = identity.erase_everywhere(tables, people, "document", "user_id")
+    return reduce(DataFrame.unionByName, erased.values())
+
+
 @query(
     "inactive_scrub",
     """

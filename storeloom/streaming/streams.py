@@ -103,6 +103,58 @@ def purge_on_failures(
     return purge(entries, reports, row_id, failed_id, message, needle)
 
 
+def stream_recovery(
+    pending: DataFrame,
+    payments: DataFrame,
+    key: str,
+    created: str,
+    paid_at: str,
+    wait: str,
+    delay: str = "1 hour",
+) -> DataFrame:
+    """Pending orders that were not paid within ``wait``, as soon as that is certain.
+
+    An order waits in the state until both streams have passed the end of its interval, by
+    more than ``delay``; payments wait until no order can need them.  Rows later than
+    ``delay`` behind the newest take no part.  The customer's row spreads by the key, so
+    what a task holds are the open intervals of its customers.
+    """
+    orders = pending.withWatermark(created, delay)
+    paid = payments.select(F.col(key).alias("_payer"), F.col(paid_at).alias("_paid_at")).withWatermark(
+        "_paid_at", delay
+    )
+    in_time = (
+        (F.col(key) == F.col("_payer"))
+        & (F.col("_paid_at") > F.col(created))
+        & (F.col("_paid_at") <= F.col(created) + F.expr(f"INTERVAL {wait}"))
+    )
+    return orders.join(paid, in_time, "leftOuter").filter(F.col("_payer").isNull()).select(*pending.columns)
+
+
+def stream_late_payments(
+    pending: DataFrame,
+    payments: DataFrame,
+    key: str,
+    created: str,
+    paid_at: str,
+    wait: str,
+    until: str,
+    delay: str = "1 hour",
+) -> DataFrame:
+    """Payments that came after ``wait``, when a reminder was out, but within ``until``: with
+    the order's columns, one row for each payment and order."""
+    orders = pending.withWatermark(created, delay)
+    paid = payments.select(F.col(key).alias("_payer"), F.col(paid_at).alias("late_at")).withWatermark(
+        "late_at", delay
+    )
+    after = (
+        (F.col(key) == F.col("_payer"))
+        & (F.col("late_at") > F.col(created) + F.expr(f"INTERVAL {wait}"))
+        & (F.col("late_at") <= F.col(created) + F.expr(f"INTERVAL {until}"))
+    )
+    return orders.join(paid, after).select(*pending.columns, "late_at")
+
+
 def stream_optouts(
     stream: DataFrame, text: str, words: Sequence[str] = OPTOUT_WORDS, mode: str = "message"
 ) -> DataFrame:

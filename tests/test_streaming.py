@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from storeloom.operators.dedup import dedup_ttl, last_by_key
 from storeloom.operators.keyed import upsert_latest
-from storeloom.plans.inbound import accepted
+from storeloom.plans.inbound import InboundStream, accepted
 from storeloom.session import work_folder
 from storeloom.sources.webhooks import table_stream, typed, webhook_stream
 from storeloom.streaming import streams
-from storeloom.streaming.ttl_state import stream_dedup_ttl
+from storeloom.streaming.ttl_state import TtlStream
 
 T0 = datetime(2024, 1, 1)
 
@@ -69,21 +69,55 @@ def test_webhooks_are_typed_by_topic(spark, tmp_path):
     ]
 
 
-def test_ttl_stream_in_several_batches_equals_batch(spark, tmp_path):
+def ttl_run(spark, stream, ttl, **rules):
+    deduped = TtlStream(work_folder(spark, "ttl"), stream.schema, "body", "ts", "event_id", ttl, **rules)
+    deduped.start(stream).awaitTermination()
+    return deduped
+
+
+def ids(df):
+    return sorted(r.event_id for r in df.collect())
+
+
+@pytest.mark.parametrize("merge_every, hot_rows, horizon", [(16, 10**6, None), (2, 10**6, 600), (3, 5, None)])
+def test_ttl_stream_in_several_batches_equals_batch(spark, tmp_path, merge_every, hot_rows, horizon):
     items = random_items(300, 1)
-    folder = drop(tmp_path, in_batches(items, 4), delivery)
+    folder = drop(tmp_path, in_batches(items, 7), delivery)
     stream = webhook_stream(spark, folder, files_per_trigger=1)
-    out = streams.run_available(spark, stream_dedup_ttl(stream, "body", "ts", "event_id", 120), "t", partitions=2)
+    out = ttl_run(spark, stream, 120, merge_every=merge_every, hot_rows=hot_rows, horizon_seconds=horizon)
     want = dedup_ttl(batch_frame(spark, items), "body", "ts", "event_id", 120)
-    assert {r.event_id for r in out.collect()} == {r.event_id for r in want.collect()}
+    assert ids(out.kept(spark)) == ids(want)
+    assert out.late(spark).count() == 0
 
 
-def test_ttl_stream_drops_late_rows_and_keeps_its_anchor(spark, tmp_path):
-    batches = [[(1, "a", 1000)], [(2, "a", 10), (3, "a", 1099)], [(4, "a", 1100)]]
-    folder = drop(tmp_path, batches, delivery)
-    stream = webhook_stream(spark, folder, files_per_trigger=1)
-    out = streams.run_available(spark, stream_dedup_ttl(stream, "body", "ts", "event_id", 100), "t", partitions=2)
-    assert {r.event_id for r in out.collect()} == {"1", "4"}
+def test_ttl_stream_puts_late_rows_aside_and_keeps_its_anchor(spark, tmp_path):
+    batches = [[(1, "a", 1000)], [(2, "a", 10), (3, "a", 1099), (5, "b", 20)], [(4, "a", 1100), (6, "b", 19)]]
+    stream = webhook_stream(spark, drop(tmp_path, batches, delivery), files_per_trigger=1)
+    out = ttl_run(spark, stream, 100)
+    assert ids(out.kept(spark)) == ["1", "4", "5"]
+    assert sorted((r.event_id, r.batch_id) for r in out.late(spark).collect()) == [("2", 1), ("6", 2)]
+
+
+def test_ttl_stream_with_a_horizon_forgets_old_anchors(spark, tmp_path):
+    batches = [[(n, f"k{n}", 1000 * n)] for n in range(9)] + [[(20, "k8", 8050), (21, "k2", 2500), (22, "z", 7900)]]
+    stream = webhook_stream(spark, drop(tmp_path, batches, delivery), files_per_trigger=1)
+    out = ttl_run(spark, stream, 100, merge_every=3, horizon_seconds=500)
+    assert ids(out.kept(spark)) == sorted(map(str, [*range(9), 22]))
+    assert ids(out.late(spark)) == ["21"]
+    # The table does not grow with the stream: of nine keys those of the last batches are left.
+    assert out.anchors(spark, 9).count() == 1 and out.anchors(spark, 8).count() <= 3
+
+
+def test_ttl_stream_batch_done_twice_changes_nothing(spark, tmp_path):
+    items = random_items(200, 5)
+    parts = in_batches(items, 4)
+    stream = webhook_stream(spark, drop(tmp_path, parts, delivery), files_per_trigger=1)
+    out = ttl_run(spark, stream, 120, merge_every=2)
+    before = ids(out.kept(spark)), rows(out.anchors(spark, 4))
+    for n in (2, 3, 3):
+        again = batch_frame(spark, parts[n]).withColumn("topic", F.lit("pedido.criado"))
+        out.step(again.select(*stream.columns), n)
+    assert (ids(out.kept(spark)), rows(out.anchors(spark, 4))) == before
 
 
 @pytest.mark.parametrize("delay", [None, "1 hour"])
@@ -154,10 +188,15 @@ def test_inbound_stages_as_stream_and_batch(spark, tmp_path):
     # 1 repeats as 2 (other id, same body, in time); 1 repeats much later; 3 is new.
     items = [(1, "a", 0), (2, "a", 100), (3, "b", 150), (1, "a", 1000), (4, "a", 1400)]
     folder = drop(tmp_path, [items[:2], items[2:]], delivery)
-    stream = accepted(webhook_stream(spark, folder, files_per_trigger=1), "key", "event_id", "ts", "body")
-    out = streams.run_available(spark, stream, "t", partitions=2)
+    stream = webhook_stream(spark, folder, files_per_trigger=1)
+    inbound = InboundStream(stream, work_folder(spark, "in"), "key", "event_id", "ts", "body")
+    # Nothing new: a second run adds nothing.
+    for _ in range(2):
+        inbound.start().awaitTermination()
+    out = inbound.accepted(spark)
     batch = accepted(batch_frame(spark, items), "key", "event_id", "ts", "body")
-    assert {r.event_id for r in out.collect()} == {r.event_id for r in batch.collect()} == {"1", "3", "4"}
+    assert ids(out) == ids(batch) == ["1", "3", "4"]
+    assert rows(out.select("event_id", "ts")) == rows(batch.select("event_id", "ts"))
 
 
 def test_settings_are_put_back(spark):
@@ -179,5 +218,5 @@ def test_ttl_stream_passes_rows_that_cannot_be_compared(spark, tmp_path):
 
     folder = drop(tmp_path, [[(1, "a", 0), (2, "a", 0)], [(3, "a", 0), (4, "a", 0)]], make)
     stream = webhook_stream(spark, folder, files_per_trigger=1)
-    out = streams.run_available(spark, stream_dedup_ttl(stream, "body", "ts", "event_id", 100), "t", partitions=2)
-    assert sorted(r.event_id for r in out.collect()) == ["1", "2", "3", "4"]
+    out = ttl_run(spark, stream, 100)
+    assert ids(out.kept(spark)) == ["1", "2", "3", "4"]
