@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storeloom.plans.fixtures import ntz, table
 from storeloom.plans.registry import query
 from storeloom.session import work_folder
+from storeloom.sources.checksum_tree import differing_rows, read_tree, write_tree
 from storeloom.sources.payloads import explode_list, payload_fields
 from storeloom.sources.snapshots import (
     latest_snapshot,
@@ -149,6 +150,52 @@ def snapshot_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_snapshot(*_snapshot(spark, sf_dir, "snapshot_verify"))
 
 
+# What goes wrong with a copy of the orders in the next two queries.
+LOST, CHANGED, ADDED = "o_orderkey % 997 = 3", "o_orderkey % 1009 = 5", "o_orderkey % 1013 = 7"
+
+
+def _damaged_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The orders, and a copy that was written with some lost, changed and added."""
+    orders = table(spark, sf_dir, "orders")
+    price = F.when(F.expr(CHANGED), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = orders.filter(f"NOT ({LOST})").withColumn("o_totalprice", price.cast(orders.schema["o_totalprice"].dataType))
+    more = orders.filter(ADDED).withColumn("o_orderkey", -F.col("o_orderkey"))
+    root = work_folder(spark, "snapshot_damaged")
+    write_snapshot({"orders": kept.unionByName(more)}, root, "2024-01-30")
+    return orders, read_snapshot(spark, root, "orders", "2024-01-30")
+
+
+@query(
+    "snapshot_diff",
+    f"""
+    SELECT o_orderkey AS key, 'lost' AS change, 1 AS n_source, 0 AS n_copy FROM orders WHERE {LOST}
+    UNION ALL SELECT o_orderkey, 'changed', 1, 1 FROM orders WHERE {CHANGED} AND NOT ({LOST})
+    UNION ALL SELECT -o_orderkey, 'added', 0, 1 FROM orders WHERE {ADDED}
+    """,
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which orders a copy lost, changed or added, by descending both checksum trees."""
+    orders, copy = _damaged_orders(spark, sf_dir)
+    root, trees = work_folder(spark, "snapshot_trees"), []
+    for name, side in (("orders", orders), ("copy", copy)):
+        write_tree(side, "o_orderkey", f"{root}/{name}", leaf_bits=6)
+        trees.append(read_tree(spark, f"{root}/{name}"))
+    return differing_rows(orders, copy, "o_orderkey", tuple(trees), leaf_bits=6)
+
+
+@query(
+    "snapshot_verify_damaged",
+    f"""
+    SELECT 'orders' AS table_name, count(*) AS n_source,
+           count(*) FILTER (NOT ({LOST})) + count(*) FILTER ({ADDED}) AS n_snapshot,
+           count(*) FILTER ({LOST} OR {CHANGED} OR {ADDED}) = 0 AS matches FROM orders
+    """,
+)
+def snapshot_verify_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, copy = _damaged_orders(spark, sf_dir)
+    return verify_snapshot({"orders": orders}, {"orders": copy})
+
+
 @query(
     "snapshot_latest",
     """
