@@ -59,13 +59,15 @@ def knn_lsh(
     tables: int = 8,
     bucket: float = 0.5,
     seed: int = 7,
+    report: bool = False,
 ) -> DataFrame:
     """Approximate search through random projections of the unit vectors.
 
     Only rows sharing a hash bucket with the query are compared; buckets are widened until
-    ``k`` rows are found, and where that is not enough the exact search answers.  ``exact_hit`` tells which of the answers
-    the exact search gives too; its mean is the recall.  A query without a direction has no
-    neighbours.
+    ``k`` rows are found, and where that is not enough the exact search answers.  With
+    ``report`` an exact search runs too, and ``exact_hit`` tells which of the answers it gives;
+    its mean is the recall.  A query without a direction has no neighbours.  For searches with
+    a measured recall over many queries see ``vector_cells``.
     """
     length = sum(float(x) ** 2 for x in query) ** 0.5
     unit = [float(x) / (length or 1.0) for x in query]
@@ -73,24 +75,28 @@ def knn_lsh(
     scaled = F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector)))
     points = corpus.filter(usable).select(row_id, array_to_vector(scaled).alias("_unit"))
     wanted = min(k, points.limit(k).count())
-    exact = knn(corpus.select(row_id, vector), query, k, row_id, vector)
-    hits = exact.select(row_id).withColumn("exact_hit", F.lit(True))
+    found = None
     # Unit vectors are at most 2 apart, so wider buckets than 8 change nothing any more.
     while length and bucket < 32:
         lsh = BucketedRandomProjectionLSH(
             inputCol="_unit", outputCol="_hashes", numHashTables=tables, bucketLength=bucket, seed=seed
         )
         near = lsh.fit(points).approxNearestNeighbors(points, Vectors.dense(unit), k, distCol="_d")
-        if wanted and near.count() < wanted:
-            bucket *= 4
-            continue
         # Squared straight-line distance is twice the cosine distance.
-        found = near.select(row_id, F.round(F.col("_d") * F.col("_d") / 2, 6).alias("distance"))
-        return found.join(hits, row_id, "left").fillna(False, ["exact_hit"])
-    # The border between buckets at zero parts some rows from the query at any width.
-    return exact.select(
-        row_id, F.round("distance", 6).alias("distance"), F.lit(True).alias("exact_hit")
-    )
+        near = near.select(row_id, F.round(F.col("_d") * F.col("_d") / 2, 6).alias("distance"))
+        rows = near.collect()  # k rows at most
+        if len(rows) >= wanted:
+            found = corpus.sparkSession.createDataFrame(rows, near.schema)
+            break
+        bucket *= 4
+    if found is None:
+        # The border between buckets at zero parts some rows from the query at any width.
+        exact = knn(corpus.select(row_id, vector), query, k, row_id, vector)
+        found = exact.select(row_id, F.round("distance", 6).alias("distance"))
+    if not report:
+        return found
+    hits = knn(corpus.select(row_id, vector), query, k, row_id, vector).select(row_id)
+    return found.join(hits.withColumn("exact_hit", F.lit(True)), row_id, "left").fillna(False, ["exact_hit"])
 
 
 def check_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeloom.operators import search
+from storeloom.operators import search, vector_cells
 from storeloom.operators.knn_join import knn_join
 from storeloom.plans.fixtures import table
 from storeloom.plans.registry import query
+from storeloom.session import work_folder
 
 DISTANCE = """round(round(1 - list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]),
     CAST({b}.embedding AS DOUBLE[])), 9), 6)"""
@@ -116,7 +117,51 @@ def knn_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("knn_lsh")
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_lsh(
-        table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 4, "vec_id", "embedding"
+        table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 4, "vec_id", "embedding", report=True
+    )
+
+
+# Small cells, so that the smallest tables have some.
+CELL_ROWS, NEIGHBOURS = 64, 10
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[vector_cells.VectorCells, DataFrame, DataFrame]:
+    """The index of all vectors, the vectors, and those that are asked for."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    root = work_folder(spark, "vector_cells")
+    index = vector_cells.build_cells(vectors, "vec_id", "embedding", root, NEIGHBOURS, CELL_ROWS)
+    return index, vectors, vectors.filter("vec_id % 100 = 0")
+
+
+@query("knn_cells")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _, queries = _cells(spark, sf_dir)
+    near = vector_cells.search_cells(index, queries, "vec_id", "embedding", NEIGHBOURS)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "knn_cells_recall",
+    f"""
+    SELECT count(*) FILTER (vec_id % 100 = 0) AS queries,
+           count(*) FILTER (vec_id % 100 = 0) * least({NEIGHBOURS}, count(*)) AS answers,
+           true AS recall_reached
+    FROM embeddings
+    """,
+)
+def knn_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the queries' exact neighbours, nine of ten are found through the cells."""
+    index, vectors, queries = _cells(spark, sf_dir)
+    near = vector_cells.search_cells(index, queries, "vec_id", "embedding", NEIGHBOURS)
+    keys = ["query_id", "corpus_id"]
+    exact = knn_join(queries, vectors, NEIGHBOURS, "vec_id", "vec_id", "embedding").select(*keys)
+    both = near.select(*keys, F.lit(1).alias("found")).join(
+        exact.withColumn("right", F.lit(1)), keys, "full_outer"
+    )
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"),
+        F.sum("found").alias("answers"),
+        (F.count(F.col("found") + F.col("right")) >= 0.9 * F.sum("right")).alias("recall_reached"),
     )
 
 

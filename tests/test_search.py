@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from storeloom.operators import search
+from storeloom.operators import search, vector_cells
 from storeloom.operators.knn_join import knn_join
 
 
@@ -39,14 +39,14 @@ def found(df):
 @pytest.mark.parametrize("budget", [1 << 20, 0])
 def test_knn_join_is_exact_both_ways(spark, copies, budget):
     m, df = vectors(spark, 400, 6, 1, copies)
-    got = knn_join(df, df, 3, "id", "id", "vec", True, broadcast_bytes=budget, chunk_rows=32)
+    got = knn_join(df, df, 3, "id", "id", "vec", True, broadcast_bytes=budget, chunk_rows=32, cell_rows=8)
     assert found(got) == brute_force(m, m, 3, True)
 
 
 def test_knn_join_by_cells_with_fewer_rows_than_k_and_other_queries(spark):
     c, corpus = vectors(spark, 5, 4, 2)
     q, queries = vectors(spark, 40, 4, 3)
-    got = knn_join(queries, corpus, 8, "id", "id", "vec", broadcast_bytes=0, chunk_rows=4)
+    got = knn_join(queries, corpus, 8, "id", "id", "vec", broadcast_bytes=0, cell_rows=20, chunk_rows=4)
     assert found(got) == brute_force(q, c, 8, False)
 
 
@@ -56,10 +56,10 @@ def test_knn_join_skips_vectors_without_direction(spark):
         "id BIGINT, vec ARRAY<FLOAT>",
     )
     for budget in (1 << 20, 0):
-        got = knn_join(bad, bad, 2, "id", "id", "vec", True, broadcast_bytes=budget)
+        got = knn_join(bad, bad, 2, "id", "id", "vec", True, broadcast_bytes=budget, cell_rows=1)
         assert found(got) == {1: [6], 6: [1]}
     assert knn_join(bad.limit(0), bad, 2, "id", "id", "vec").isEmpty()
-    assert knn_join(bad, bad.limit(0), 2, "id", "id", "vec", broadcast_bytes=0).isEmpty()
+    assert knn_join(bad, bad.limit(0), 2, "id", "id", "vec", broadcast_bytes=0, cell_rows=20).isEmpty()
 
 
 def test_knn_ties_by_id_and_leaves_out_unfit_vectors(spark):
@@ -82,13 +82,42 @@ def test_hidden_category_is_filtered_before_ranking(spark):
 
 def test_lsh_reports_its_hits(spark):
     m, df = vectors(spark, 300, 8, 5)
-    got = search.knn_lsh(df, list(m[0]), 5, "id", "vec", tables=16, bucket=2.0).collect()
+    got = search.knn_lsh(df, list(m[0]), 5, "id", "vec", tables=16, bucket=2.0, report=True).collect()
     assert len(got) == 5
+    plain = search.knn_lsh(df, list(m[0]), 5, "id", "vec", tables=16, bucket=2.0)
+    assert plain.columns == ["id", "distance"] and {r.id for r in plain.collect()} == {r.id for r in got}
     exact = {r.id for r in search.knn(df, list(m[0]), 5, "id", "vec").collect()}
     assert {r.id for r in got if r.exact_hit} == exact & {r.id for r in got}
     assert sum(r.exact_hit for r in got) >= 3
 
 
+@pytest.mark.parametrize("n, cell_rows", [(3000, 64), (30, 2048)])
+def test_cells_reach_their_recall(spark, tmp_path, n, cell_rows):
+    rng = np.random.default_rng(4)
+    groups = rng.normal(size=(40, 16)) * 2
+    m = (groups[rng.integers(0, 40, n)] + rng.normal(size=(n, 16))).astype("float32")
+    m[: n // 3] = m[0]  # a third of all rows are copies
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(n, None), (n + 1, [0.0] * 16), (n + 2, [1.0])]
+    df = spark.createDataFrame(rows, "id BIGINT, vec ARRAY<FLOAT>")
+    index = vector_cells.build_cells(df, "id", "vec", str(tmp_path / "cells"), 10, cell_rows)
+    assert index.rows.count() == index.cells.selectExpr("sum(n)").first()[0] == n
+    queries = df.filter("id % 10 = 7")
+    got = vector_cells.search_cells(index, queries, "id", "vec", 10)
+    exact = knn_join(queries, df, 10, "id", "id", "vec")
+    assert got.count() == exact.count()
+    # Copies tie in great number; what counts is that no nearer row was missed.
+    assert vector_cells.recall(got, exact) >= 0.9 and index.recall >= 0.9
+    if n > 1000:
+        assert index.cells.count() > 10 and index.probes < index.cells.count()
+
+
+def test_cells_find_all_when_all_are_probed(spark, tmp_path):
+    m, df = vectors(spark, 400, 6, 9, 50)
+    index = vector_cells.build_cells(df, "id", "vec", str(tmp_path / "cells"), 3, 20)
+    got = vector_cells.search_cells(index, df, "id", "vec", 3, index.cells.count(), True)
+    assert found(got) == brute_force(m, m, 3, True)
+
+
 def test_check_vectors_puts_each_row_in_one_class(spark):
     df = spark.createDataFrame(
         [(None,), ([1.0],), ([float("nan"), 0.0],), ([0.0, 0.0],), ([1.0, 0.0],)], "v ARRAY<FLOAT>"
