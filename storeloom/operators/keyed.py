@@ -50,12 +50,14 @@ def upsert_latest(
 
     Rows of the target whose key changed are left out, the last state of each changed
     key is added.  Only the keys of the changes meet the target, broadcast if they are
-    few, so a small set of changes does not shuffle a large target.
+    few, so a small set of changes does not shuffle a large target.  A null in a key is a
+    value like others, so that the same changes can be applied again.
     """
     last = last_by_key(changes, keys, order)
     live = last.filter(~F.coalesce(F.col(op_col) == delete, F.lit(False)))
-    changed = changes.select(*keys).distinct()
-    return target.join(changed, list(keys), "left_anti").unionByName(live.select(target.columns))
+    changed = changes.select(*[F.col(k).alias(f"_changed_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_changed_{k}")) for k in keys])
+    return target.join(changed, same, "left_anti").unionByName(live.select(target.columns))
 
 
 def partial_upsert(

@@ -2,6 +2,7 @@
 
 from storeloom.plans import (  # noqa: F401  (each module registers its queries)
     catalog_queries,
+    declared_queries,
     keyed_queries,
     search_queries,
     shop_queries,

@@ -93,6 +93,15 @@ GOOGLE_FREE = "gemma|flash"
 DEEPSEEK_FAMILIES = ("^(deepseek-v[0-9]+)",)
 DEEPSEEK_CATEGORY = "chat, tools, reasoning"
 
+# How an entry without a description of its own is described.
+DESCRIPTIONS = {
+    "openai": "Modelo Oficial OpenAI: ",
+    "anthropic": "Modelo Anthropic ",
+    "google": "Modelo multimodal Google Gemini",
+    "deepseek": ("Modelo Oficial DeepSeek ", " (Suporte a Raciocínio CoT e Function Calling)"),
+    "openrouter": "Modelo agregado via OpenRouter",
+}
+
 # Which source requests go to first, which of its entries, and the default.
 ROUTES = (
     catalog.Source("google", ("-flash$", "-flash-lite$"), prefix="gemini"),
@@ -150,7 +159,7 @@ def openai_entries(items: DataFrame) -> DataFrame:
                     (ident.rlike("^o[0-9]"), ["reasoning"]),
                 ]
             ),
-            "Description": F.concat(F.lit("Modelo Oficial OpenAI: "), ident),
+            "Description": F.concat(F.lit(DESCRIPTIONS["openai"]), ident),
             "Free": F.lit(False),
             "Created": F.col("created"),
             "Alias": F.col("is_alias"),
@@ -194,7 +203,7 @@ def anthropic_entries(items: DataFrame) -> DataFrame:
                 ]
             ),
             "Description": F.coalesce(
-                "display_name", F.concat(F.lit("Modelo Anthropic "), ident)
+                "display_name", F.concat(F.lit(DESCRIPTIONS["anthropic"]), ident)
             ),
             "Free": F.lit(False),
             "Created": created,
@@ -239,7 +248,7 @@ def google_entries(items: DataFrame, free_only: bool = False) -> DataFrame:
                     (F.col("thinking"), ["reasoning"]),
                 ]
             ),
-            "Description": F.coalesce("description", F.lit("Modelo multimodal Google Gemini")),
+            "Description": F.coalesce("description", F.lit(DESCRIPTIONS["google"])),
             "Free": catalog.free_tier(name=ident, patterns=[GOOGLE_FREE]),
             "Created": F.lit(0).cast("bigint"),
             "Alias": F.col("is_stable"),
@@ -259,9 +268,9 @@ def deepseek_entries(items: DataFrame) -> DataFrame:
             "Family": catalog.derive_line(ident, DEEPSEEK_FAMILIES, F.lit("deepseek")),
             "Category": F.lit(DEEPSEEK_CATEGORY),
             "Description": F.concat(
-                F.lit("Modelo Oficial DeepSeek "),
+                F.lit(DESCRIPTIONS["deepseek"][0]),
                 ident,
-                F.lit(" (Suporte a Raciocínio CoT e Function Calling)"),
+                F.lit(DESCRIPTIONS["deepseek"][1]),
             ),
             "Free": F.lit(False),
             "Created": F.coalesce("created", F.lit(0)),
@@ -293,7 +302,7 @@ def openrouter_entries(items: DataFrame) -> DataFrame:
                 lists=[F.col("architecture.input_modalities")],
                 drop=["text"],
             ),
-            "Description": F.coalesce("description", F.lit("Modelo agregado via OpenRouter")),
+            "Description": F.coalesce("description", F.lit(DESCRIPTIONS["openrouter"])),
             "Free": F.col("free"),
             "Created": F.col("created"),
             "Alias": F.lit(True),
@@ -323,10 +332,14 @@ def entries_of(name: str, documents: DataFrame) -> DataFrame:
     return items.withColumn("pos", F.col("_page") * PAGE_ENTRIES + F.col("pos")).drop("_page")
 
 
-def sync(documents: Mapping[str, DataFrame]) -> DataFrame:
-    """Current entries of all sources that answered, in one schema."""
+def sync(documents: Mapping[str, DataFrame], free_only: bool = False) -> DataFrame:
+    """Current entries of all sources that answered, in one schema.
+
+    ``free_only`` leaves out what costs something at the source that lists both.
+    """
+    options = {"google": {"free_only": free_only}}
     parts = [
-        entries(entries_of(name, documents[name]))
+        entries(entries_of(name, documents[name]), **options.get(name, {}))
         for name, entries in ENTRIES.items()
         if name in documents
     ]

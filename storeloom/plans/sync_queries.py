@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeloom.operators import catalog
 from storeloom.plans import catalog_sync
 from storeloom.plans.catalog_queries import spark_sql
 from storeloom.plans.fixtures import table
@@ -28,6 +31,13 @@ GOOGLE_NAME = f"""'models/' || CASE WHEN p_type = 'PROMO' THEN 'gemma-' ELSE 'ge
             WHEN p_type = 'PROMO' THEN '-' || {WORD2} ELSE '' END
     || CASE p_brand WHEN 'Brand#1' THEN '-preview' WHEN 'Brand#2' THEN '-001'
             WHEN 'Brand#3' THEN '-002' WHEN 'Brand#4' THEN '-preview-05' ELSE '' END"""
+ANTHROPIC_ID = """'claude-' || CASE p_type WHEN 'ECONOMY' THEN 'opus-' WHEN 'SMALL' THEN 'sonnet-'
+        WHEN 'MEDIUM' THEN 'haiku-' WHEN 'LARGE' THEN '' ELSE 'sonnet-' END
+    || (p_size % 4 + 1) || CASE WHEN p_size % 2 = 0 THEN '.' || (p_size % 3) ELSE '' END
+    || CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
+            THEN '-2025' || lpad(CAST(p_size AS VARCHAR), 4, '0')
+            WHEN p_brand = 'Brand#7' THEN '-latest' ELSE '' END"""
+ANTHROPIC_AT = "'2024-' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '-01T00:00:00Z'"
 DEEPSEEK_ID = f"""CASE WHEN p_type = 'PROMO' THEN 'deepseek-v' || p_size
     WHEN p_type = 'LARGE' THEN 'deepseek-latest' ELSE 'deepseek-' || {WORD2} END"""
 ROUTER_ID = f"{WORD1} || '-' || {WORD2} || CASE WHEN p_type = 'PROMO' THEN ':free' ELSE '' END"
@@ -35,8 +45,8 @@ ROUTER_PROMPT = "CASE WHEN p_size < 20 THEN '0' ELSE CAST(p_size AS VARCHAR) END
 ROUTER_COMPLETION = "CASE WHEN p_size % 2 = 0 THEN '0' ELSE '0.0' END"
 
 
-ORACLE = f"""
-WITH openai AS (
+CURRENT = f"""
+openai AS (
     SELECT *, regexp_replace(id, '-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', '') AS canonical
     FROM (SELECT p_partkey AS pos, p_size AS created, {OPENAI_ID} AS id, {OPENAI_OWNER} AS owner
           FROM part)
@@ -68,7 +78,24 @@ WITH openai AS (
 ), google_named AS (
     SELECT * FROM google
     QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY NOT stable, pos) = 1
-), google_newest AS (SELECT tier, max(version) AS version FROM google_named GROUP BY tier)
+), google_newest AS (SELECT tier, max(version) AS version FROM google_named GROUP BY tier),
+anthropic AS (
+    SELECT *, regexp_replace(id, '-[0-9]{{8}}$', '') AS canonical,
+           coalesce(nullif(regexp_extract(id, '^claude-([a-z]+)', 1), ''), 'other') AS tier
+    FROM (SELECT *, p_partkey AS pos, {ANTHROPIC_ID} AS id,
+                 CAST({ANTHROPIC_AT} AS TIMESTAMP) AS created FROM part)
+    WHERE NOT regexp_matches(id, 'latest$')
+), anthropic_named AS (
+    SELECT *, coalesce(nullif(regexp_extract(canonical,
+                  '^claude-[a-z]+-[0-9]+([.-][0-9]+)?'), ''), canonical) AS version
+    FROM anthropic
+    QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY id <> canonical, pos) = 1
+), anthropic_newest AS (
+    SELECT tier, version FROM anthropic_named
+    QUALIFY row_number() OVER (PARTITION BY tier ORDER BY created DESC, canonical DESC) = 1
+)
+"""
+ENTRIES = f"""
 SELECT canonical AS "ID", version AS "Family", 'openai' AS "Provider",
        CASE WHEN regexp_matches(canonical, 'gpt-4|gpt-5') THEN 'chat, image, tools, vision'
             WHEN line = 'o' THEN 'chat, reasoning, tools' ELSE 'chat, tools' END AS "Category",
@@ -76,6 +103,15 @@ SELECT canonical AS "ID", version AS "Family", 'openai' AS "Provider",
        CAST(created AS BIGINT) AS "Created", id = canonical AS "Alias"
 FROM openai_named JOIN openai_newest USING (line, version)
 UNION ALL
+SELECT canonical, tier, 'anthropic',
+       'chat' || CASE WHEN p_size > 25 THEN ', image' ELSE '' END
+           || CASE WHEN p_brand <> 'Brand#5' AND p_size % 3 = 0 THEN ', pdf_analysis' ELSE '' END
+           || CASE WHEN p_size % 2 = 0 THEN ', reasoning' ELSE '' END || ', tools'
+           || CASE WHEN p_size > 25 THEN ', vision' ELSE '' END,
+       CASE WHEN p_brand = 'Brand#6' THEN p_name ELSE 'Modelo Anthropic ' || canonical END, false,
+       CAST(epoch(created) AS BIGINT), id = canonical
+FROM anthropic_named JOIN anthropic_newest USING (tier, version)
+UNION ALL
 SELECT id, CASE WHEN starts_with(id, 'gemma') THEN 'gemma-' ELSE 'gemini-' END || tier, 'google',
        CASE WHEN NOT contains(id, 'gemini')
                 THEN CASE WHEN p_size > 25 THEN 'chat, reasoning, tools' ELSE 'chat, tools' END
@@ -97,6 +133,10 @@ SELECT replace(id, ':free', ''), split_part(replace(id, ':free', ''), '-', 1), '
 FROM (SELECT *, {ROUTER_ID} AS id FROM part)
 WHERE {ROUTER_PROMPT} = '0' AND {ROUTER_COMPLETION} = '0'
 """
+ORACLE = f"WITH {CURRENT} {ENTRIES}"
+FREE_ONLY = ORACLE.replace(
+    "p_brand <> 'Brand#8'\n", "p_brand <> 'Brand#8' AND regexp_matches(id, 'gemma|flash')\n"
+)
 
 
 def _documents(parts: DataFrame, path: str, **fields: Column) -> DataFrame:
@@ -106,8 +146,10 @@ def _documents(parts: DataFrame, path: str, **fields: Column) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("page"), doc.alias("doc"))
 
 
-def part_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    parts = table(spark, sf_dir, "part")
+def part_documents(
+    spark: SparkSession, sf_dir: str, parts: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    parts = table(spark, sf_dir, "part") if parts is None else parts
     brand, size = F.col("p_brand"), F.col("p_size")
     method = F.when(brand == "Brand#8", "embedContent").otherwise("generateContent")
     price = F.struct(
@@ -123,6 +165,20 @@ def part_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             owned_by=spark_sql(OPENAI_OWNER),
             created=size.cast("bigint"),
         ),
+        "anthropic": _documents(
+            parts,
+            "data",
+            id=spark_sql(ANTHROPIC_ID),
+            display_name=F.when(brand == "Brand#6", F.col("p_name")),
+            created_at=spark_sql(ANTHROPIC_AT),
+            capabilities=F.struct(
+                F.struct((size > 25).alias("supported")).alias("image_input"),
+                F.struct((size % 2 == 0).alias("supported")).alias("thinking"),
+                F.when(brand != "Brand#5", F.struct((size % 3 == 0).alias("supported"))).alias(
+                    "pdf_input"
+                ),
+            ),
+        ),
         "google": _documents(
             parts,
             "models",
@@ -149,3 +205,102 @@ def part_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def catalog_sync_(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = catalog_sync.sync(part_documents(spark, sf_dir))
     return entries.select(*catalog_sync.UNIFIED)
+
+
+@query("catalog_sync_free", FREE_ONLY)
+def catalog_sync_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what costs nothing of the source that has both."""
+    entries = catalog_sync.sync(part_documents(spark, sf_dir), free_only=True)
+    return entries.select(*catalog_sync.UNIFIED)
+
+
+# What is asked for when the sources before it in the router's order did not answer.
+TARGETS = f"""
+WITH {CURRENT}, g AS (SELECT * FROM google_named JOIN google_newest USING (tier, version)),
+a AS (SELECT * FROM anthropic_named JOIN anthropic_newest USING (tier, version)),
+o AS (SELECT * FROM openai_named JOIN openai_newest USING (line, version)),
+d AS (SELECT p_partkey AS pos, {DEEPSEEK_ID} AS id FROM part)
+SELECT 'google' AS first_source, 'gemini/' || (SELECT id FROM g ORDER BY
+    CASE WHEN regexp_matches(id, '-flash$') THEN 0 WHEN regexp_matches(id, '-flash-lite$') THEN 1
+         ELSE 2 END, version DESC, tier DESC, canonical DESC LIMIT 1) AS target
+UNION ALL SELECT 'deepseek', 'deepseek/' || (SELECT id FROM d WHERE NOT regexp_matches(id, 'latest$')
+    ORDER BY CASE WHEN contains(id, 'flash') THEN 0 ELSE 1 END, pos LIMIT 1)
+UNION ALL SELECT 'anthropic', 'anthropic/' || coalesce(
+    (SELECT canonical FROM a WHERE contains(canonical, 'sonnet')
+     ORDER BY created DESC, tier, canonical LIMIT 1),
+    (SELECT canonical FROM a ORDER BY created DESC, tier DESC, canonical DESC LIMIT 1))
+UNION ALL SELECT 'openai', 'openai/' || coalesce(
+    (SELECT canonical FROM o WHERE contains(canonical, 'luna')
+     ORDER BY created DESC, line, canonical LIMIT 1),
+    (SELECT canonical FROM o ORDER BY created DESC, line DESC, canonical DESC LIMIT 1))
+UNION ALL SELECT 'openrouter', 'openrouter/free'
+"""
+
+
+@query("catalog_target", TARGETS)
+def catalog_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where requests go: the sources fall silent one after the other."""
+    entries = catalog_sync.sync(part_documents(spark, sf_dir))
+    order = [s.name for s in catalog_sync.ROUTES] + ["openrouter"]
+    return reduce(
+        DataFrame.unionByName,
+        [
+            catalog_sync.target(entries.filter(F.col("Provider").isin(order[n:]))).select(
+                F.lit(name).alias("first_source"), "target"
+            )
+            for n, name in enumerate(order)
+        ],
+    )
+
+
+PUBLISHED = """
+SELECT "ID" AS id, CASE "Provider" WHEN 'google' THEN 'gemini' ELSE "Provider" END || '/'
+           || CASE WHEN "Free" THEN 'FREE-' ELSE '' END || "ID" AS model_name,
+       CASE "Provider" WHEN 'google' THEN 'gemini' ELSE "Provider" END || '/' || "ID" AS model,
+       CAST(to_json(CASE WHEN "Free" THEN '🟢 FREE: ' ELSE '' END || "ID") AS VARCHAR) AS name,
+       CAST(to_json("Description") AS VARCHAR) AS description,
+       CAST(to_json(list_append(string_split("Category", ', '),
+           CASE WHEN "Free" THEN 'grátis' ELSE 'pago' END)) AS VARCHAR) AS tags
+FROM (ENTRIES)
+"""
+
+
+def _published_sql(parts: str) -> str:
+    entries = f"WITH {CURRENT} {ENTRIES}".replace("FROM part", f"FROM {parts}")
+    return PUBLISHED.replace("ENTRIES", entries)
+
+
+@query("catalog_published", _published_sql("part"))
+def catalog_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_sync.published(catalog_sync.sync(part_documents(spark, sf_dir)))
+
+
+def _states_sql(parts: str) -> str:
+    return f"""SELECT model_name, list(row(name, description, tags) ORDER BY name, description, tags)
+        AS shown FROM ({_published_sql(parts)}) GROUP BY model_name"""
+
+
+@query(
+    "catalog_sync_diff",
+    f"""
+    WITH before AS (SELECT * FROM part WHERE p_partkey % 10 <> 0),
+    old AS ({_states_sql("before")}), new AS ({_states_sql("part")})
+    SELECT model_name, CASE WHEN old.shown IS NULL THEN 'added' WHEN new.shown IS NULL
+               THEN 'removed' ELSE 'changed' END AS change
+    FROM old FULL JOIN new USING (model_name)
+    WHERE old.shown IS DISTINCT FROM new.shown
+    """,
+)
+def catalog_sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sync changes against the one before, when a tenth of the parts was not listed.
+
+    A name that several entries share is compared with all it stands for.
+    """
+    parts = table(spark, sf_dir, "part")
+    states = []
+    for listed in (parts.filter("p_partkey % 10 <> 0"), parts):
+        documents = part_documents(spark, sf_dir, listed)
+        shown = catalog_sync.published(catalog_sync.sync(documents))
+        entry = F.struct("name", "description", "tags")
+        states.append(shown.groupBy("model_name").agg(F.sort_array(F.collect_list(entry)).alias("shown")))
+    return catalog.publish_diff(*states, ["model_name"])

@@ -42,6 +42,17 @@ def test_upsert_latest_edits_deletes_and_recreates(spark):
     assert rows(keyed.upsert_latest(once, changes, ["id"], ["ts"])) == rows(once)
 
 
+def test_upsert_latest_twice_with_null_keys(spark):
+    target = spark.createDataFrame([(None, 1, "a"), (2, None, "b")], "x INT, y INT, v STRING")
+    changes = spark.createDataFrame(
+        [(None, 1, "a2", "edit", 1), (None, None, "n", "create", 1), (2, None, None, "delete", 2)],
+        "x INT, y INT, v STRING, op STRING, ts INT",
+    )
+    once = keyed.upsert_latest(target, changes, ["x", "y"], ["ts"])
+    assert rows(once) == [(None, None, "n"), (None, 1, "a2")]
+    assert rows(keyed.upsert_latest(once, changes, ["x", "y"], ["ts"])) == rows(once)
+
+
 def test_upsert_latest_breaks_ties_by_the_next_order_column(spark):
     target = spark.createDataFrame([], "id INT, v STRING")
     changes = spark.createDataFrame(
