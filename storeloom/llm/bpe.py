@@ -30,6 +30,8 @@ PATTERN = (
 PACK_CHARS = 8_000_000
 # Buckets of words at most, and so blocks of a pack, however many partitions there are.
 BUCKETS = 4096
+# How hard blocks are squeezed: the codes go through two shuffles.
+SQUEEZE = 5
 # Words longer than this are merged with a heap.
 SHORT_WORD = 48
 OUT_ROWS = 512
@@ -105,7 +107,7 @@ def _encode_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
 def _packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, byte planes apart so that they compress well."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return zstandard.ZstdCompressor(level=SQUEEZE).compress(planes)
 
 
 def _numbers(data: bytes) -> np.ndarray:
@@ -193,7 +195,7 @@ def _send(batches: Iterator[pa.RecordBatch], pack_chars: int, n: int) -> Iterato
         )
         order = np.argsort(bucket, kind="stable")
         ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=n)))
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=SQUEEZE)
         names, blocks = [], []
         for b in np.flatnonzero(np.diff(ends)).tolist():
             words = [pack.words[i] for i in order[ends[b] : ends[b + 1]].tolist()]
