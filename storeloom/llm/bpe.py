@@ -27,7 +27,7 @@ PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
 # Text of a pack in characters, beyond which it is closed: bounds what a task holds.
-PACK_CHARS = 8_000_000
+PACK_CHARS = 12_000_000
 # Buckets of words at most, and so blocks of a pack, however many partitions there are.
 BUCKETS = 4096
 # How hard blocks are squeezed: the codes go through two shuffles.
