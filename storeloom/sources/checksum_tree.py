@@ -71,18 +71,15 @@ def differing_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
     """The leaves (``leaf``) of two trees that do not agree, by descending from the top."""
     known = None
     for level in reversed(range(LEVELS)):
-        sides = []
-        for tree, side in ((a, "a"), (b, "b")):
-            nodes = tree.filter(F.col("level") == level)
-            if known is not None:
-                above = F.shiftright("node", FAN_BITS).eqNullSafe(F.col("_above"))
-                nodes = nodes.join(known.withColumnRenamed("node", "_above"), above, "left_semi")
-            sides.append(nodes.select("node", *[F.col(c).alias(f"{side}_{c}") for c in SUMS]))
-        left, right = sides[0], sides[1].withColumnRenamed("node", "_node")
-        both = left.join(right, F.col("node").eqNullSafe(F.col("_node")), "full_outer")
-        same = reduce(lambda x, y: x & y, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in SUMS])
-        there = F.when(F.col("a_n").isNull(), F.col("_node")).otherwise(F.col("node"))
-        known = both.filter(~same).select(there.alias("node"))
+        # Equal nodes of both trees add up to nothing.
+        ours = a.filter(F.col("level") == level).select("node", *SUMS)
+        theirs = b.filter(F.col("level") == level).select("node", *[(-F.col(c)).alias(c) for c in SUMS])
+        nodes = ours.unionByName(theirs)
+        if known is not None:
+            above = F.shiftright("node", FAN_BITS).eqNullSafe(F.col("_above"))
+            nodes = nodes.join(known.withColumnRenamed("node", "_above"), above, "left_semi")
+        unequal = reduce(lambda x, y: x | y, [F.col(c) != 0 for c in SUMS])
+        known = _summed(nodes.groupBy("node")).filter(unequal).select("node")
     return known.withColumnRenamed("node", "leaf")
 
 

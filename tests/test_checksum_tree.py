@@ -16,11 +16,15 @@ SCHEMA = "id long, v string, w double"
 
 def plain(a, b):
     """Rows compared key by key, in number and content."""
-    left, right = Counter(a), Counter(b)
-    out = []
-    for key in {r[0] for r in a} | {r[0] for r in b}:
-        one = {r: n for r, n in left.items() if r[0] == key}
-        two = {r: n for r, n in right.items() if r[0] == key}
+    sides = []
+    for rows_ in (a, b):
+        by_key = {}
+        for r in rows_:
+            by_key.setdefault(r[0], Counter())[r] += 1
+        sides.append(by_key)
+    out, (left, right) = [], sides
+    for key in {*left, *right}:
+        one, two = left.get(key, Counter()), right.get(key, Counter())
         if one != two:
             change = "lost" if not two else "added" if not one else "changed"
             out.append((key, change, sum(one.values()), sum(two.values())))

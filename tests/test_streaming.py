@@ -14,6 +14,8 @@ from storeloom.plans.inbound import InboundStream, accepted
 from storeloom.session import work_folder
 from storeloom.sources.webhooks import table_stream, typed, webhook_stream
 from storeloom.streaming import streams
+from storeloom.operators.rates import rate_rolling
+from storeloom.streaming.rolling import RollingStream
 from storeloom.streaming.ttl_state import TtlStream
 
 T0 = datetime(2024, 1, 1)
@@ -220,3 +222,57 @@ def test_ttl_stream_passes_rows_that_cannot_be_compared(spark, tmp_path):
     stream = webhook_stream(spark, folder, files_per_trigger=1)
     out = ttl_run(spark, stream, 100)
     assert ids(out.kept(spark)) == ["1", "2", "3", "4"]
+
+
+@pytest.mark.parametrize("key, hot_rows", [("body", 10**6), ("body", 5), (None, 10**6)])
+def test_rolling_stream_equals_batch(spark, tmp_path, key, hot_rows):
+    items = random_items(250, 6)
+    # No instant is split over two batches.
+    cut = [t for n, t in enumerate(sorted({s for _, _, s in items})) if n % 40 == 0]
+    parts = [[x for x in items if lo <= x[2] < hi] for lo, hi in zip(cut, [*cut[1:], 10**9])]
+    stream = webhook_stream(spark, drop(tmp_path, parts, delivery), files_per_trigger=1)
+    rolling = RollingStream(work_folder(spark, "rolling"), stream.schema, "ts", 60, 3, key, hot_rows)
+    rolling.start(stream).awaitTermination()
+    want = rate_rolling(batch_frame(spark, items), "ts", 60, 3, key)
+    columns = ["event_id", "ts", "in_window", "breached"]
+    assert rows(rolling.counted(spark).select(*columns)) == rows(want.select(*columns))
+    assert rolling.late(spark).count() == 0
+    tail = spark.read.parquet(f"{rolling.root}/tail/batch_id={len(parts) - 1}")
+    last = max(s for _, _, s in items)
+    assert tail.count() == sum(s > last - 60 for _, _, s in items)
+
+
+def test_rolling_stream_puts_late_rows_aside_and_can_repeat_a_batch(spark, tmp_path):
+    parts = [[(1, "a", 100), (2, "a", 130)], [(3, "a", 120), (4, "a", 150)]]
+    stream = webhook_stream(spark, drop(tmp_path, parts, delivery), files_per_trigger=1)
+    rolling = RollingStream(work_folder(spark, "rolling"), stream.schema, "ts", 60, 3, "body")
+    rolling.start(stream).awaitTermination()
+    again = batch_frame(spark, parts[1]).withColumn("topic", F.lit("pedido.criado"))
+    rolling.step(again, 1)
+    assert [(r.event_id, r.in_window) for r in rolling.counted(spark).orderBy("ts").collect()] == [("1", 1), ("2", 2), ("4", 3)]
+    assert ids(rolling.late(spark)) == ["3"]
+
+
+def test_orders_without_payment_in_time_over_batches(spark, tmp_path):
+    hour = 3600
+    orders = [[("o1", "a", 0), ("o2", "b", 0)], [("o3", "a", 50 * hour)], [("o4", "c", 100 * hour)]]
+    paid = [[("p1", "a", 5 * hour)], [("p2", "b", 30 * hour)], [("p3", "z", 101 * hour)]]
+
+    def make(x):
+        return {"event_id": x[0], "body": x[1], "ts": (T0 + timedelta(seconds=x[2])).isoformat()}
+
+    def stream(name, batches):
+        (tmp_path / name).mkdir()
+        return webhook_stream(spark, drop(tmp_path / name, batches, make), files_per_trigger=1)
+
+    def both():
+        pending = stream(f"o{next(runs)}", orders).select("event_id", "body", F.col("ts").alias("created"))
+        payments = stream(f"p{next(runs)}", paid).select("body", F.col("ts").alias("paid_at"))
+        return pending, payments
+
+    runs = iter(range(99))
+    open_ = streams.stream_recovery(*both(), "body", "created", "paid_at", "24 HOURS")
+    # o1 is paid in time, o2 too late, o3 never; the interval of o4 is not closed yet.
+    assert ids(streams.run_available(spark, open_, "t", partitions=2)) == ["o2", "o3"]
+    late = streams.stream_late_payments(*both(), "body", "created", "paid_at", "24 HOURS", "48 HOURS")
+    assert ids(streams.run_available(spark, late, "t", partitions=2)) == ["o2"]
