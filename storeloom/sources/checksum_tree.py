@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeloom.session import work_folder
+
 # A leaf covers 2^LEAF_BITS keys, each level above it 2^FAN_BITS times as many.
 LEAF_BITS, FAN_BITS, LEVELS = 12, 8, 5
 # A hash in three parts, so that the sums of a table of 2^41 rows still fit in a long.
@@ -94,11 +96,16 @@ def differing_rows(
 
     ``change`` is ``lost`` where the copy has none, ``added`` where only the copy has some,
     else ``changed``.  Rows that share a key, or have none, are compared together, in
-    number and content.  Without ``trees`` both are made here.
+    number and content.  Without ``trees`` both are made here; they and the leaves found are
+    written down, so that no level is added up again for the next one.
     """
+    spark, folder = source.sparkSession, work_folder(source.sparkSession, "checksum-trees")
     if trees is None:
-        trees = (checksum_tree(source, key, leaf_bits), checksum_tree(copy, key, leaf_bits))
-    leaves = differing_leaves(*trees)
+        for name, df in (("source", source), ("copy", copy)):
+            write_tree(df, key, f"{folder}/{name}", leaf_bits)
+        trees = tuple(read_tree(spark, f"{folder}/{name}") for name in ("source", "copy"))
+    differing_leaves(*trees).write.parquet(f"{folder}/leaves")
+    leaves = spark.read.schema("leaf long").parquet(f"{folder}/leaves")
     sides = []
     for df, side in ((source, 0), (copy, 1)):
         rows = df.select(
