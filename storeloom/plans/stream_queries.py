@@ -15,6 +15,7 @@ from storeloom.plans.traffic_queries import LEVELS, OPTOUT_WORDS, REFUSED
 from storeloom.session import work_folder
 from storeloom.sources.webhooks import table_stream
 from storeloom.streaming import streams
+from storeloom.streaming.id_log import IdLog
 from storeloom.streaming.rolling import RollingStream
 from storeloom.streaming.ttl_state import TtlStream
 
@@ -90,6 +91,28 @@ def stream_dedup_ttl_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.kept(spark).drop("batch_id")
 
 
+@query(
+    "stream_id_log",
+    f"""
+    SELECT event_id, event_type, ts, FALSE AS again,
+        CAST({" + ".join(f"CAST(ts >= TIMESTAMP '{c}' AS INT)" for c in CUTS)} AS BIGINT) AS batch_id
+    FROM events
+    """,
+)
+def stream_id_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of events in four micro-batches; the last delivers all of them again with later
+    times and is done twice: each id stays as it first came."""
+    events = table(spark, sf_dir, "events").select(*TTL_COLUMNS, F.lit(False).alias("again"))
+    later = F.col("ts") + F.expr("INTERVAL 3 DAYS")
+    both = events.unionByName(events.withColumns({"ts": later, "again": F.lit(True)}))
+    turn = F.when(F.col("again"), len(CUTS)).otherwise(_turn())
+    stream = _in_batches(spark, both, turn)
+    log = IdLog(work_folder(spark, "id_log"), stream.schema, "event_id", "ts", merge_every=2)
+    log.start(stream).awaitTermination()
+    log.step(both.filter(turn == len(CUTS)), len(CUTS))
+    return log.kept(spark)
+
+
 @query(
     "stream_ttl_late",
     f"""
