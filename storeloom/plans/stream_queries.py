@@ -107,7 +107,7 @@ def stream_id_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = events.unionByName(events.withColumns({"ts": later, "again": F.lit(True)}))
     turn = F.when(F.col("again"), len(CUTS)).otherwise(_turn())
     stream = _in_batches(spark, both, turn)
-    log = IdLog(work_folder(spark, "id_log"), stream.schema, "event_id", "ts", merge_every=2)
+    log = IdLog(work_folder(spark, "id_log"), stream.schema, "event_id", "ts", parts=1, merge_every=2)
     log.start(stream).awaitTermination()
     log.step(both.filter(turn == len(CUTS)), len(CUTS))
     return log.kept(spark)

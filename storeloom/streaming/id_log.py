@@ -25,7 +25,7 @@ MERGE_EVERY = 16
 WORDS = 1 << 20
 # Bits that an id sets in its word.
 BITS = 5
-# Parts of a day's ids.
+# Parts of a day's ids: one for about a million that a day brings.
 PARTS = 32
 # The day of rows without a time.
 NO_DAY = "none"
@@ -55,6 +55,7 @@ class IdLog:
     ts: str
     order: tuple[str, ...] = ()
     words: int = WORDS
+    parts: int = PARTS
     merge_every: int = MERGE_EVERY
 
     def _sources(self, kind: str, batch_id: int) -> list[str]:
@@ -83,7 +84,7 @@ class IdLog:
         return rows.filter(key.isNotNull()).select(
             key.alias("_id"),
             day.alias("_day"),
-            F.pmod(F.shiftright(h, 40), F.lit(PARTS)).cast("int").alias("_part"),
+            F.pmod(F.shiftright(h, 40), F.lit(self.parts)).cast("int").alias("_part"),
             F.pmod(h, F.lit(self.words)).alias("_word"),
             _mask(key).alias("_mask"),
         )
@@ -115,7 +116,7 @@ class IdLog:
 
         Ids and filters meet in joins with one row per id on either side, so no id, however
         often it comes, weighs on one task.  Only the days (and parts) of possible hits are
-        fetched by the driver, at most ``PARTS`` for each day of the log.
+        fetched by the driver, at most ``parts`` for each day of the log.
         """
         spark = batch.sparkSession
         if batch_id and batch_id % self.merge_every == 0:
