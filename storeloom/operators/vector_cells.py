@@ -18,16 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storeloom.operators.knn_join import _best_k, _block_best, _unit, _usable, knn_join
+from storeloom.operators.knn_join import _PAIRS, _best_k, _block_best, _pieces, _unit, _usable, knn_join
+from storeloom.session import work_folder
 
 # Rows of a fine cell on average.
 CELL_ROWS = 2048
-# Rows the coarse centres are fitted on, at most, and rows of a sample per fine centre.
+# Rows the coarse centres, or the fine ones of a coarse cell, are fitted on, at most, and rows
+# of a sample per fine centre.
 FIT_ROWS, ROWS_PER_CENTRE = 100_000, 64
 # Queries the number of cells to probe is found with, and the recall they are to reach.
 TRIAL_QUERIES, WANTED_RECALL = 256, 0.95
-# A cell with more rows than this is searched in several groups.
+# Rows of the cells that are searched as one group, and queries of a group; a cell with more
+# rows is searched in several.
 CHUNK_ROWS = 8192
+# Queries and centres that meet in one group.
+MEET_ROWS = 1024
 ROUNDS, SEED = 12, 11
 
 
@@ -47,8 +52,9 @@ def centres(unit: np.ndarray, n: int) -> np.ndarray:
 
 def _nearest(unit: np.ndarray, points: np.ndarray) -> np.ndarray:
     best = np.empty(len(unit), np.int64)
-    for lo in range(0, len(unit), 8192):
-        best[lo : lo + 8192] = (unit[lo : lo + 8192] @ points.T).argmax(axis=1)
+    step = max(1, _PAIRS // len(points))
+    for lo in range(0, len(unit), step):
+        best[lo : lo + step] = (unit[lo : lo + step] @ points.T).argmax(axis=1)
     return best
 
 
@@ -70,10 +76,9 @@ def _coarse(points: np.ndarray, row_id: str, kind: str, df: DataFrame) -> DataFr
     sent = df.sparkSession.sparkContext.broadcast(points)  # at most sqrt(corpus / CELL_ROWS) rows
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                unit = _unit(pdf["vec"])
-                yield pdf.assign(vec=list(unit), coarse=_nearest(unit, sent.value).astype("int32"))
+        for pdf in _pieces(batches):
+            unit = _unit(pdf["vec"])
+            yield pdf.assign(vec=list(unit), coarse=_nearest(unit, sent.value).astype("int32"))
 
     return df.mapInPandas(assign, f"{row_id} {kind}, vec array<double>, coarse int")
 
@@ -88,7 +93,8 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             part = batch.slice(lo, hi - lo)
             if centres_of[lo].is_valid:
-                points = np.array(centres_of[lo].as_py())
+                held = centres_of.slice(lo, 1).flatten()
+                points = held.flatten().to_numpy().reshape(len(held), -1)
                 part = part.slice(1)
             if not part.num_rows:
                 continue
@@ -140,7 +146,10 @@ def build_cells(
     least = placed.groupBy("coarse").agg(F.min(by_hash).alias("_least"))
     seen = (
         placed.join(sizes.join(least, "coarse"), "coarse")
-        .filter((F.pmod(by_hash, F.lit(every)) == 0) | (by_hash == F.col("_least")))
+        .filter(
+            (F.pmod(by_hash, F.greatest(F.lit(every), F.ceil(F.col("n") / FIT_ROWS))) == 0)
+            | (by_hash == F.col("_least"))
+        )
         .select("coarse", "n", "vec")
     )
     seen.groupBy("coarse").applyInPandas(
@@ -215,11 +224,10 @@ def _calibrate(
     def nearer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked, at, gap = sent.value
         count = np.zeros(len(at), np.int64)
-        for pdf in batches:
-            if len(pdf):
-                like = asked @ np.vstack(pdf["centre"].to_numpy()).T
-                # A little slack, as products are added up in another order here.
-                count += (like[at] > gap[:, None] + 1e-9).sum(axis=1)
+        for pdf in _pieces(batches):
+            like = asked @ np.vstack(pdf["centre"].to_numpy()).T
+            # A little slack, as products are added up in another order here.
+            count += (like[at] > gap[:, None] + 1e-9).sum(axis=1)
         yield pd.DataFrame({"pair": np.arange(len(at)), "n": count})
 
     counted = cells.select("centre").mapInPandas(nearer, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -244,37 +252,35 @@ def search_cells(
     ``corpus_id``, ``rank``, ``distance``.
 
     Every query meets the centres of the coarse cells that lie nearest and then the rows of
-    the fine cells chosen; given ``probes``, it meets all coarse ones.  Cells with very many rows are
-    searched in chunks, each of which gives its best ``k`` per query.
+    the fine cells chosen; given ``probes``, it meets all coarse ones.  Fine cells are searched
+    in packs of a coarse cell's neighbouring ones, so that a query travels once per pack and
+    a pack gives its best ``k`` per query; cells with very many rows are searched in chunks.
+    The usable queries are written down, each with a number, and only numbers are sorted.
     """
     wide = min(index.wide if probes is None else len(index.coarse), len(index.coarse))
     probes = index.probes if probes is None else probes
     spark = queries.sparkSession
     asked = _usable(queries, query_id, vector).withColumnRenamed(query_id, "query_id")
     asked = asked.filter(F.size("vec") == index.coarse.shape[1])
+    asked = asked.withColumn("ask", F.monotonically_increasing_id())
+    path = work_folder(spark, "cells_asked")
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    n_asked = asked.count()
     kind = asked.schema["query_id"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(index.coarse)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _pieces(batches):
             unit = _unit(pdf["vec"])
             order = np.argsort(-(unit @ sent.value.T), axis=1, kind="stable")[:, :wide]
-            row = np.repeat(np.arange(len(pdf)), wide)
-            yield pd.DataFrame(
-                {
-                    "query_id": pdf["query_id"].to_numpy()[row],
-                    "vec": [unit[i] for i in row],
-                    "coarse": order.ravel().astype("int32"),
-                }
-            )
+            yield pdf.assign(vec=list(unit), wide=list(order.astype("int32")))
 
-    met = asked.mapInPandas(nearest, f"query_id {kind}, vec array<double>, coarse int")
+    met = asked.mapInPandas(nearest, f"query_id {kind}, vec array<double>, ask long, wide array<int>")
 
     def gaps(asks: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if asks.empty or cells.empty:
-            return pd.DataFrame({n: [] for n in ("query_id", "vec", "coarse", "fine", "gap")}, dtype=object)
+            return pd.DataFrame({n: [] for n in ("query_id", "ask", "coarse", "fine", "gap")}, dtype=object)
         unit, centre = np.vstack(asks["vec"].to_numpy()), np.vstack(cells["centre"].to_numpy())
         gap = -(unit @ centre.T)
         order = np.argsort(gap, axis=1, kind="stable")[:, :probes]
@@ -282,58 +288,105 @@ def search_cells(
         return pd.DataFrame(
             {
                 "query_id": asks["query_id"].to_numpy()[row],
-                "vec": [unit[i] for i in row],
+                "ask": asks["ask"].to_numpy()[row],
                 "coarse": asks["coarse"].to_numpy()[row],
                 "fine": cells["fine"].to_numpy()[order.ravel()],
                 "gap": gap[row, order.ravel()],
             }
         )
 
-    # Queries of a coarse cell are dealt over groups, which all have the cell's centres.
-    groups = max(1, ceil(asked.count() / CHUNK_ROWS))
-    dealt = met.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    centres_of = index.cells.select(
-        "coarse", "fine", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_part")
+    zero = F.lit(0).cast("long")
+
+    def dealt(df: DataFrame, rows: int) -> DataFrame:
+        return df.withColumn("_part", F.pmod(F.xxhash64("ask"), F.lit(max(1, ceil(n_asked / rows)))))
+
+    def for_all(rows: int):
+        """The parts that ``dealt`` makes, for the side that all of them meet."""
+        return F.explode(F.sequence(zero, F.lit(max(1, ceil(n_asked / rows)) - 1).cast("long")))
+
+    # Queries of a coarse cell are dealt over groups; so are its centres, should it have many.
+    blocks = index.cells.groupBy("coarse").agg(F.floor(F.max("fine") / MEET_ROWS).alias("_last"))
+    asks_of = dealt(met.select("query_id", "vec", "ask", F.explode("wide").alias("coarse")), MEET_ROWS)
+    asks_of = asks_of.join(blocks, "coarse").select(
+        "query_id", "vec", "ask", "coarse", "_part", F.explode(F.sequence(zero, "_last")).alias("_block")
     )
+    block = F.floor(F.col("fine") / MEET_ROWS).alias("_block")
+    centres_of = index.cells.select("coarse", "fine", "centre", block, for_all(MEET_ROWS).alias("_part"))
+    meeting = ["coarse", "_part", "_block"]
     chosen = (
-        dealt.groupBy("coarse", "_part")
-        .cogroup(centres_of.groupBy("coarse", "_part"))
-        .applyInPandas(gaps, f"query_id {kind}, vec array<double>, coarse int, fine int, gap double")
+        asks_of.groupBy(*meeting)
+        .cogroup(centres_of.groupBy(*meeting))
+        .applyInPandas(gaps, f"query_id {kind}, ask long, coarse int, fine int, gap double")
     )
     best = Window.partitionBy("query_id").orderBy("gap", "coarse", "fine")
     probed = chosen.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= probes)
 
-    chunks = index.cells.select("coarse", "fine", F.ceil(F.col("n") / CHUNK_ROWS).cast("long").alias("_chunks"))
-    rows = index.rows.join(chunks, ["coarse", "fine"]).withColumn(
-        "_chunk", F.pmod(F.xxhash64("corpus_id"), "_chunks")
-    )
-    asks = probed.join(chunks, ["coarse", "fine"]).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-    )
-
-    def search(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or own.empty:
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "distance": []})
-        return _block_best(
-            own["query_id"].to_numpy(),
-            np.vstack(own["vec"].to_numpy()),
-            block["corpus_id"].to_numpy(),
-            np.vstack(block["vec"].to_numpy()),
-            k,
-            skip_same_id,
+    def in_packs(df: DataFrame) -> DataFrame:
+        before = F.sum("n").over(Window.partitionBy("coarse").orderBy("fine")) - F.col("n")
+        packs = index.cells.select(
+            "coarse",
+            "fine",
+            F.floor(before / CHUNK_ROWS).alias("_pack"),
+            F.ceil(F.col("n") / CHUNK_ROWS).cast("long").alias("_chunks"),
         )
-
+        return df.join(packs, ["coarse", "fine"])
+
+    pack = ["coarse", "_pack", "_chunk"]
+    rows = in_packs(index.rows).withColumn("_chunk", F.pmod(F.xxhash64("corpus_id"), "_chunks"))
+    rows = rows.select(*pack, "fine", "corpus_id", "vec", for_all(CHUNK_ROWS).alias("_part"))
+    asks = (
+        in_packs(probed)
+        .withColumn("_chunk", F.explode(F.sequence(zero, F.col("_chunks") - 1)))
+        .groupBy("ask", *pack)
+        .agg(F.collect_list("fine").alias("fines"))
+        .join(asked, "ask")
+    )
+    asks = dealt(asks, CHUNK_ROWS).select(*pack, "_part", "query_id", "vec", "fines")
     c_kind = index.rows.schema["corpus_id"].dataType.simpleString()
-    cell = ["coarse", "fine", "_chunk"]
     found = (
-        rows.select(*cell, "corpus_id", "vec")
-        .groupBy(*cell)
-        .cogroup(asks.select(*cell, "query_id", "vec").groupBy(*cell))
-        .applyInPandas(search, f"query_id {kind}, corpus_id {c_kind}, distance double")
+        rows.groupBy(*pack, "_part")
+        .cogroup(asks.groupBy(*pack, "_part"))
+        .applyInPandas(
+            lambda block, own: _search_pack(block, own, k, skip_same_id),
+            f"query_id {kind}, corpus_id {c_kind}, distance double",
+        )
     )
     return _best_k(found, k).select("query_id", "corpus_id", "rank", "distance")
 
 
+def _search_pack(block: pd.DataFrame, own: pd.DataFrame, k: int, skip: bool) -> pd.DataFrame:
+    """The best ``k`` rows of the pack per query among the cells that the query named."""
+    best = pd.DataFrame({"query_id": [], "corpus_id": [], "distance": []})
+    if block.empty or own.empty:
+        return best
+    unit, ids = _unit(own["vec"]), own["query_id"].to_numpy()
+    names = np.concatenate(own["fines"].to_numpy())
+    askers = np.repeat(np.arange(len(own)), own["fines"].str.len())
+    askers = askers[np.argsort(names, kind="stable")]
+    names = np.sort(names)
+    new, held = [], 0
+    for fine, cell in block.groupby("fine", sort=False):
+        at = askers[slice(*np.searchsorted(names, [fine, fine + 1]))]
+        if not len(at):
+            continue
+        rows = np.vstack(cell["vec"].to_numpy())
+        new.append(_block_best(ids[at], unit[at], cell["corpus_id"].to_numpy(), rows, k, skip))
+        held += len(new[-1])
+        if held > _PAIRS // 4:
+            best, new, held = _merged([best, *new], k), [], 0
+    return _merged([best, *new], k)
+
+
+def _merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    some = [f for f in found if len(f)]
+    if len(some) < 2:
+        return some[0] if some else found[0]
+    # Nulls first, as in Spark.
+    both = pd.concat(some, ignore_index=True)
+    both = both.sort_values(["query_id", "distance", "corpus_id"], na_position="first")
+    return both.groupby("query_id", sort=False, dropna=False).head(k)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact answers (query_id, corpus_id) that were found."""
     keys = ["query_id", "corpus_id"]

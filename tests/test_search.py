@@ -142,6 +142,40 @@ def test_cells_find_all_when_all_are_probed(spark, tmp_path):
     assert found(got) == brute_force(m, m, 3, True)
 
 
+def test_cells_search_names_all_coarse_cells_of_a_query_in_one_row(spark, tmp_path, small_frames):
+    m, df = vectors(spark, 400, 24, 12)
+    index = vector_cells.build_cells(df, "id", "vec", str(tmp_path / "cells"), 3, 4)
+    assert len(index.coarse) == 10
+    got = vector_cells.search_cells(index, df.coalesce(1), "id", "vec", 3, index.cells.count(), True)
+    assert found(got) == brute_force(m, m, 3, True)
+
+
+def test_cells_found_in_many_small_groups_are_the_same(spark, tmp_path, monkeypatch):
+    m, df = vectors(spark, 400, 6, 9, 50)
+    index = vector_cells.build_cells(df, "id", "vec", str(tmp_path / "cells"), 3, 20)
+    assert index.cells.filter("n >= 50").count()  # the copies' cell, in several chunks below
+    few = {p: found(vector_cells.search_cells(index, df, "id", "vec", 3, p)) for p in (2, 7)}
+    monkeypatch.setattr(vector_cells, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(vector_cells, "MEET_ROWS", 3)
+    for p, wanted in few.items():
+        assert found(vector_cells.search_cells(index, df, "id", "vec", 3, p)) == wanted
+    got = vector_cells.search_cells(index, df, "id", "vec", 3, index.cells.count(), True)
+    assert found(got) == brute_force(m, m, 3, True)
+
+
+def test_cells_search_of_repeated_and_missing_query_ids(spark, tmp_path):
+    m, df = vectors(spark, 60, 4, 3)
+    index = vector_cells.build_cells(df, "id", "vec", str(tmp_path / "cells"), 2, 8)
+    rows = [(i, [float(x) for x in m[j]]) for i, j in ((None, 0), (7, 1), (7, 1), (7, 2))]
+    queries = spark.createDataFrame(rows, "id BIGINT, vec ARRAY<FLOAT>")
+    got = vector_cells.search_cells(index, queries, "id", "vec", 3, 4 * index.cells.count())
+    want = brute_force(m, m, 3, False)
+    # One id's vectors are one query.
+    assert found(got.filter("query_id = 7")) == {7: [1, 1, 2]}
+    assert found(got.filter("query_id IS NULL").fillna(0, "query_id")) == {0: want[0]}
+    assert vector_cells.search_cells(index, queries.limit(0), "id", "vec", 3).isEmpty()
+
+
 def test_check_vectors_puts_each_row_in_one_class(spark):
     df = spark.createDataFrame(
         [(None,), ([1.0],), ([float("nan"), 0.0],), ([0.0, 0.0],), ([1.0, 0.0],)], "v ARRAY<FLOAT>"
